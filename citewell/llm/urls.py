@@ -10,6 +10,8 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import materialize
+
 #: Hash buckets of n-grams; also the bound of the weights' size.
 BUCKETS = 2048
 SIZES = (3, 4, 5)
@@ -63,14 +65,15 @@ def fit_url_model(labelled: DataFrame) -> tuple[list[float], float]:
     """Weights and intercept from a small labelled table ``(url, label)``; rows with a null label are left out."""
     host, path = parse_url(F.col("url"))
     hit = buckets(host, path)
-    rows = labelled.filter(F.col("label").isNotNull()).select("label", hit.alias("hit"))
+    rows = materialize(labelled.filter(F.col("label").isNotNull()).select("label", hit.alias("hit")).coalesce(1))
     dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.array_contains("hit", b).cast("double"))
-    model = LogisticRegression(regParam=0.01, maxIter=50, standardization=False).fit(rows.select("label", array_to_vector(dense).alias("features")))
+    dense_rows = materialize(rows.select("label", dense.alias("dense")))
+    model = LogisticRegression(regParam=0.01, maxIter=50, standardization=False).fit(dense_rows.select("label", array_to_vector("dense").alias("features")))
     return [float(x) for x in model.coefficients.toArray()], float(model.intercept)
 
 
 def url_probability(host: Column, path: Column, weights: list[float], intercept: float) -> Column:
-    table = F.lit(weights)
+    table = F.split(F.lit(" ".join(map(repr, weights))), " ").cast("array<double>")  # folded to a literal
     total = F.aggregate(buckets(host, path), F.lit(intercept), lambda s, b: s + F.element_at(table, b + 1))
     return F.when((host == "") & (path == ""), F.lit(0.0)).otherwise(1.0 / (1.0 + F.exp(-total)))
 
