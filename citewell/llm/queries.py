@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, quality, toxicity, urls, warc
+from . import chat, packing, quality, similarity, toxicity, urls, warc
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -99,3 +99,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.similarity_components(table(spark, sf_dir, "documents"), k=3, percent=90)
