@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, quality, similarity, toxicity, urls, warc
+from . import chat, decontam, lm_score, packing, quality, similarity, toxicity, urls, warc
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -104,3 +104,29 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similarity_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+@query
+def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("bm25")
+
+
+ORACLES["op9_bm25_decontamination"] = r"""
+WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT kind, id, list_filter(list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'),
+        lambda x: regexp_replace(x, '^[.,;:!?"''()\[\]]+|[.,;:!?"''()\[\]]+$', '', 'g')), lambda x: x <> '') AS w FROM t),
+s AS (SELECT kind, id, len(w) AS n, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >= 5),
+g AS (SELECT kind, id, n, i, array_to_string(w[i:i + 4], ' ') AS g FROM s),
+d AS (SELECT DISTINCT id AS doc_id, g FROM g WHERE kind = 0),
+b AS (SELECT id AS item_id, n, i, g, i + 4 > 2 * n // 3 AS in_answer FROM g WHERE kind = 1),
+z AS (SELECT item_id, count(*) AS n_shingles, count(*) FILTER (NOT in_answer) AS q, count(*) FILTER (in_answer) AS a FROM b GROUP BY item_id),
+h AS (SELECT doc_id, item_id, count(*) AS n_matched, count(*) FILTER (NOT in_answer) AS n_question, count(*) FILTER (in_answer) AS n_answer FROM b JOIN d USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, n_shingles, n_matched, n_question, n_answer FROM h JOIN z USING (item_id)
+WHERE 100 * n_matched >= 80 * n_shingles AND 100 * n_question >= 50 * q AND 100 * n_answer >= 50 * a
+"""
+
+
+@query
+def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), target)
