@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, lm_score, packing, quality, similarity, toxicity, urls, warc
+from . import chat, decontam, langid, lm_score, packing, quality, similarity, toxicity, urls, warc
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -130,3 +130,19 @@ WHERE 100 * n_matched >= 80 * n_shingles AND 100 * n_question >= 50 * q AND 100
 def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), target)
+
+
+@query
+def op1_bayesian_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    langs, models = langid.fit_text_models(docs)
+    found = langid.identify_languages(langid.document_rows(docs).unionByName(langid.page_rows(pages)), langs, models)
+    is_page = found["kind"] == "page"
+    return found.select(F.when(~is_page, found["id"]).alias("doc_id"), F.when(is_page, found["id"]).alias("page_id"), "lang", "text_lang", "posterior")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -1,3 +1,71 @@
-"""The corpus pipeline: stages that each call one operator of ``citewell.llm``."""
+"""The corpus pipeline: stages that each call one operator of ``citewell.llm``.
 
-STAGES = []
+toxicity -> host quality rules -> near duplicates -> benchmark decontamination -> packing. Every stage works on all rows
+that the one before kept and, but for the last, returns the columns of documents. No stage is expressible in SQL as a
+whole (the first is a trained model), so the rows are tested against brute-force versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from citewell.llm import decontam, packing, quality, similarity, toxicity
+from citewell.llm.common import materialize, table
+
+ORACLE_SQL = None
+
+
+def _one_per_id(docs: DataFrame) -> DataFrame:
+    """Repeated rows of one doc_id are one document; rows without an id stay."""
+    spread = F.when(F.col("doc_id").isNull(), F.rand(0))  # rows without an id are not gathered
+    first = F.row_number().over(W.partitionBy("doc_id", spread).orderBy(F.xxhash64("text"), "text"))
+    return docs.withColumn("_citewell_nth", first).filter((F.col("_citewell_nth") == 1) | F.col("doc_id").isNull()).drop("_citewell_nth")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the model is fitted on this input's labelled rows."""
+    return toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail their own rules, or whose host does, go."""
+    judged = quality.quality_rules(docs)
+    rejected = materialize(judged.filter("NOT kept").select("doc_id").distinct())
+    return docs.join(rejected, "doc_id", "left_anti")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles at 0.8 or more the smallest doc_id stays."""
+    found = similarity.similarity_components(docs, k=5, percent=80)
+    dropped = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct())
+    return _one_per_id(docs.join(dropped, "doc_id", "left_anti"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    leaks = materialize(decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    return docs.join(leaks, "doc_id", "left_anti")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left and their places in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("quality_rules", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs)
+    return docs
