@@ -1,0 +1,6 @@
+"""The registered queries: importing the modules fills the registry."""
+
+from . import facts, screening  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
