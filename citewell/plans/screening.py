@@ -147,7 +147,7 @@ def a12_default_weight(spark, sf):
     return fx.table(spark, sf, "part").select("p_partkey", admission.default_weight(kind, weight).alias("weight"))
 
 
-@query(f"WITH {WINDOWS_SQL} SELECT window_id, opens <= "at" AND "at" < closes AS open FROM windows")
+@query(f"WITH {WINDOWS_SQL} SELECT window_id, opens <= \"at\" AND \"at\" < closes AS open FROM windows")
 def a13_application_open(spark, sf):
     return _windows(spark, sf).select("window_id", admission.application_open(F.col("opens"), F.col("closes"), F.col("at")).alias("open"))
 
