@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..operators import integrity, ranking
@@ -161,35 +164,16 @@ def q8_invitation_lookup(spark, sf):
 # Streaming forms: each reads the table as a stream where its result is a table afterwards.
 
 
-def _streamed(spark, sf, name, each, key):
-    """Run ``each`` over the table as a stream into the shared folder and return what it wrote."""
-    from uuid import uuid4
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+def _streamed(spark, sf, name, each, before=lambda stream: stream):
+    """Run ``each`` over the batches of the table as a stream, changed by ``before``; return all that they wrote."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     target = f"{root.rstrip('/')}/stream-{uuid4().hex}"
-    schema = fx.table(spark, sf, name).schema
-    # the table may be one file: the glob makes a folder of it
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf) if not _is_folder(spark, f"{sf}/{name}.parquet") else jobs.file_stream(spark, f"{sf}/{name}.parquet", schema)
-    jobs.stream_facts(stream, each, f"{target}/out", f"{target}/state")
+    # a pattern, as the table may be one file or a folder
+    stream = jobs.file_stream(spark, f"{sf}/[{name[0]}]{name[1:]}.parquet", fx.table(spark, sf, name).schema)
+    jobs.stream_facts(before(stream), each, f"{target}/out", f"{target}/state")
     return spark.read.parquet(f"{target}/out").drop("batch")
 
 
-_folders: list[str] = []
-
-
-def _own_folder() -> str:
-    import tempfile
-
-    if not _folders:
-        _folders.append("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return _folders[0]
-
-
-def _is_folder(spark, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(jvm_path).isDirectory()
-
-
 @query(f"{fx.SPANS_SQL}, {fx.EVIDENCE_SQL} SELECT doc_id, canonical, evidence FROM evidence")
 def k1_stream_facts(spark, sf):
     from ..operators import matching
@@ -201,25 +185,26 @@ def k1_stream_facts(spark, sf):
         blocks = lines.select("doc_id", (F.col("i") + 1).alias("block_pos"), F.concat(F.lit("p"), F.col("i") + 1, F.lit("-b1")).alias("block_id"), "text")
         return matching.skill_evidence(matching.leftmost_longest(blocks, ["doc_id", "block_pos", "block_id"], phrases))
 
-    return _streamed(spark, sf, "documents", extract, "doc_id")
+    return _streamed(spark, sf, "documents", extract)
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def k2_stream_dedupe(spark, sf):
-    return _streamed(spark, sf, "events", lambda batch: batch.select("user_id", "event_type").dropDuplicates(), "user_id")
+    once = lambda stream: jobs.stream_dedupe(stream.withColumn("ts", F.col("ts").cast("timestamp")), ["user_id", "event_type"], late="3650 days")
+    return _streamed(spark, sf, "events", lambda batch: batch.select("user_id", "event_type"), once)
 
 
 @query(f"WITH {fx.SUBMISSIONS_SQL} SELECT evaluation_id, job_id, doc_id FROM submissions")
 def k3_stream_fanout(spark, sf):
     static = fx.submissions(spark, sf).select("evaluation_id", "job_id", "doc_id")
-    return _streamed(spark, sf, "documents", lambda batch: jobs.stream_fanout(batch.select("doc_id"), static), "doc_id")
+    return _streamed(spark, sf, "documents", lambda batch: jobs.stream_fanout(batch.select("doc_id"), static))
 
 
 @query("SELECT c_custkey AS candidate_id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'old' ELSE m.s END AS email, m.n AS location FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS s, min(o_orderstatus) AS n FROM orders GROUP BY 1) m ON o_custkey = c_custkey")
 def k4_stream_upsert_candidate(spark, sf):
     current = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("candidate_id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, "old").alias("email"), F.lit(None).cast("string").alias("location"))
     found = lambda batch: batch.select(F.col("o_custkey").alias("candidate_id"), F.lit("new").alias("name"), F.col("o_orderpriority").alias("email"), F.col("o_orderstatus").alias("location"))
-    return jobs.upsert_contacts(current, _streamed(spark, sf, "orders", found, "o_custkey"))
+    return jobs.upsert_contacts(current, _streamed(spark, sf, "orders", found))
 
 
 STATUS_SQL = "CASE event_type WHEN 'signup' THEN 'ready' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END"
@@ -254,7 +239,7 @@ def k7_stream_admission(spark, sf):
         at = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(days=(F.col("o_orderkey") % 20).cast("int"))
         return jobs.stream_admission(batch.select(F.col("o_orderkey").alias("job_id"), at.alias("at")), windows).select("job_id", "at")
 
-    return _streamed(spark, sf, "orders", admit, "o_orderkey")
+    return _streamed(spark, sf, "orders", admit)
 
 
 @query(f"WITH {STATES_SQL} SELECT c_custkey AS job_id, CASE WHEN state = 'dead' THEN 'failed' ELSE 'processing' END AS status, CASE WHEN state = 'dead' THEN 'The report could not be completed.' END AS error FROM customer LEFT JOIN states ON job_id = c_custkey")
