@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -23,6 +24,10 @@ from .common import materialize
 CAPACITY, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long"
 
+#: How this tokenizer finds words; texts that try its corners.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PROBES = (" The quick brown fox", "don't  we'll\n\n stop.\t x", "1234 a1b2 \u00e9\u00df\u6f22 \U0001f600\u200d", " nterthish hoverestion", "&amp;&&& %%% $$$ ###", "<|endoftext|> a", "\xa0\u2003 b\x00c", "IT'S 'tis''re")
+
 _workers: dict[str, "Encoder"] = {}
 
 
@@ -48,9 +53,30 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.fast = self._same_in_fewer_seconds()
+
+    def _same_in_fewer_seconds(self):
+        """The file's vocabulary in tiktoken, four times as fast; None unless it gives the tokenizer's ids for all probes."""
+        import tiktoken
+
+        byte_of = {}
+        for b in range(256):  # byte-level vocabularies write visible bytes as themselves and the others from U+0100 on
+            shown = 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b
+            byte_of[chr(b if shown else 256 + len([c for c in byte_of if ord(c) > 255]))] = b
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        try:
+            ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if t not in special}
+            fast = tiktoken.Encoding("same", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+            same = all(fast.encode_ordinary(x) == self.tokenizer.encode(x, add_special_tokens=False).ids for x in PROBES)
+        except (KeyError, ValueError):
+            return None
+        return fast if same else None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.fast:
+            return [array("I", ids).tobytes() for ids in map(self.fast.encode_ordinary, texts)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.later) > self.MOST or len(self.first) > self.MOST:
