@@ -134,13 +134,15 @@ def blocks(members: DataFrame, percent: int) -> DataFrame:
 
 def verify(pdf: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
     """Exact links of one pair of blocks: per document its linked documents (copies counted) and a root it reaches."""
-    pdf = pdf.drop_duplicates("doc_id")
-    sets, keep = [], []
-    for i, (text, n, s1, s2) in enumerate(zip(pdf.text, pdf.n, pdf.s1, pdf.s2, strict=True)):
+    sets, keep, seen = [], [], set()
+    for i, (doc_id, text, n, s1, s2) in enumerate(zip(pdf.doc_id, pdf.text, pdf.n, pdf.s1, pdf.s2, strict=True)):
+        if (doc_id, s1, s2) in seen:
+            continue
         tokens = np.unique(shingles(text, k) >> np.uint64(1))
         if len(tokens) == n and signature(tokens) == (s1, s2):
             sets.append(tokens)
             keep.append(i)
+            seen.add((doc_id, s1, s2))
     pdf = pdf.iloc[keep].reset_index(drop=True)
     out = pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64")})
     if len(pdf) < 2:
