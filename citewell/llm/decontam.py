@@ -46,6 +46,7 @@ class Index:
     shingles: list[list[tuple[int, ...]]]  # of term ids
     sizes: list[int]
     postings: list[tuple[np.ndarray, np.ndarray]]  # per term: items, weights
+    blocks: list[tuple[np.ndarray, np.ndarray]]  # per block of items: its terms, their weights in each item
     block_max: np.ndarray  # terms x blocks
     window: int
 
@@ -71,8 +72,17 @@ def build_index(items: list[tuple[int, str]], df: dict[bytes, int], n_items: int
     for t, posts in enumerate(found):
         for at, x in posts:
             block_max[t, at // BLOCK_ITEMS] = max(block_max[t, at // BLOCK_ITEMS], x)
+    blocks = []
+    for b in range(block_max.shape[1]):
+        held = np.flatnonzero(block_max[:, b])
+        weights = np.zeros((len(held), BLOCK_ITEMS))
+        for i, t in enumerate(held):
+            for at, x in found[t]:
+                if at // BLOCK_ITEMS == b:
+                    weights[i, at % BLOCK_ITEMS] = x
+        blocks.append((held, weights))
     ids = [[terms[w] for w in r[2]] for r in rows]
-    return Index(terms, [r[1] for r in rows], [item_shingles(x, k) for x in ids], [r[0] for r in rows], [(np.array([p[0] for p in x]), np.array([p[1] for p in x])) for x in found], block_max, 2 * max((r[0] for r in rows), default=1))
+    return Index(terms, [r[1] for r in rows], [item_shingles(x, k) for x in ids], [r[0] for r in rows], [(np.array([p[0] for p in x]), np.array([p[1] for p in x])) for x in found], blocks, block_max, 2 * max((r[0] for r in rows), default=1))
 
 
 class TermIds(dict):
@@ -110,20 +120,18 @@ def retrieve(index: Index, ids: list[np.ndarray], threshold: float) -> dict[tupl
     starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
     bounds = np.add.reduceat(index.block_max[term], starts, axis=0)
     found: dict[tuple[int, int], float] = {}
-    ends = np.r_[starts[1:], len(term)]
-    for row in np.flatnonzero((bounds >= threshold - 1e-5).any(axis=1)):
-        blocks = np.flatnonzero(bounds[row] >= threshold - 1e-5)
-        scores: dict[int, float] = {}
-        for t in term[starts[row] : ends[row]]:
-            items, weights = index.postings[t]
-            for b in blocks:
-                lo, hi = np.searchsorted(items, (b * BLOCK_ITEMS, (b + 1) * BLOCK_ITEMS))
-                for j in range(lo, hi):
-                    scores[int(items[j])] = scores.get(int(items[j]), 0.0) + float(weights[j])
-        text = int(np.searchsorted(first, passage[starts[row]], side="right")) - 1
-        for item, score in scores.items():
-            if score >= threshold - 1e-9:
-                found[text, item] = max(found.get((text, item), 0.0), score)
+    sizes = np.diff(np.r_[starts, len(term)])
+    texts = np.searchsorted(first, passage[starts], side="right") - 1
+    for b in np.flatnonzero((bounds >= threshold - 1e-5).any(axis=0)):
+        rows = np.flatnonzero(bounds[:, b] >= threshold - 1e-5)
+        to = np.cumsum(sizes[rows])
+        own = term[np.repeat(starts[rows] - to + sizes[rows], sizes[rows]) + np.arange(to[-1])]
+        held, weights = index.blocks[b]
+        at = np.minimum(np.searchsorted(held, own), len(held) - 1)
+        scores = np.add.reduceat(np.where((held[at] == own)[:, None], weights[at], 0.0), to - sizes[rows], axis=0)
+        for r, j in zip(*np.nonzero(scores >= threshold - 1e-9), strict=True):
+            key = int(texts[rows[r]]), int(b) * BLOCK_ITEMS + int(j)
+            found[key] = max(found.get(key, 0.0), float(scores[r, j]))
     return found
 
 
