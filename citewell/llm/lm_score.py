@@ -1,21 +1,26 @@
-"""Cross-entropy difference: a target and a background bigram model over one vocabulary score each document."""
+"""Cross-entropy difference: a target and a background bigram model over all words score each document."""
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import mix, word_hashes
 
-#: Symbols: unknown, words, and the start of a text; its square bounds the models' size.
-SYMBOLS = 1024
-UNKNOWN, START = 0, SYMBOLS - 1
+#: Symbols that the smoothing spreads over, at least: more words than these count as many as they are.
+SYMBOLS = 1 << 16
+#: The number of a text's start for a caller that numbers words from 1; nothing here depends on it.
+START = SYMBOLS - 1
 MIX, ADDED = 0.7, 0.5
-MOST_WORDS = 200_000
+#: Bytes of text in one block, about; each text has ROW_BYTES besides.
+BLOCK_BYTES, ROW_BYTES = 8 << 20, 100
+#: One doc_id's rows are dealt over this many blocks, each with its own copy of the target ids.
+SALTS = 16
+COUNTS = "block long, part long, n binary, n_target binary, words long, tokens long, target_tokens long"
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -26,90 +31,129 @@ def _texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), *more)
 
 
-def vocabulary(docs: DataFrame) -> list[bytes]:
-    """The most frequent words of all documents, ties by bytes; A-Z lower-cased, cut at ASCII blanks."""
+def pack(values: np.ndarray) -> bytes:
+    """Numbers by byte planes, most of them zero, compressed here as Spark's sort would hold them whole."""
+    planes = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found.update(_words(text))
-                if len(found) > MOST_WORDS:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-                    found = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
-    counts = _texts(docs).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(SYMBOLS - 2).collect()]
+def unpack(data: bytes) -> np.ndarray:
+    planes = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
-def symbol_pairs(texts: list[bytes], symbols: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """For all words of all texts: the text's number and previous * SYMBOLS + own symbol."""
-    found = [np.fromiter((symbols.get(w, UNKNOWN) for w in _words(t)), np.int64) for t in texts]
-    of = np.repeat(np.arange(len(texts)), [len(x) for x in found])
-    own = np.concatenate([*found, np.zeros(0, np.int64)])
-    if not len(own):
-        return of, own
-    before = np.r_[START, own[:-1]]
-    before[np.r_[True, of[1:] != of[:-1]]] = START
-    return of, before * SYMBOLS + own
+class Block:
+    """The words of some texts and, in order, the 63-bit keys of their distinct bigrams, words and contexts; a word's key is odd.
 
+    A context is a word, or the start of a text, as what another word follows.
+    """
 
-def losses(counts: np.ndarray) -> np.ndarray:
-    """-log P(word | previous) for all pairs: bigram shares mixed with smoothed word shares."""
-    counts = counts.reshape(SYMBOLS, SYMBOLS).astype(np.float64)
-    words = counts.sum(axis=0) + ADDED
-    single = words / words.sum()
-    rows = counts.sum(axis=1, keepdims=True)
-    pair = np.divide(counts, rows, out=np.broadcast_to(single, counts.shape).copy(), where=rows > 0)
-    return -np.log(MIX * pair + (1 - MIX) * single).ravel()
+    def __init__(self, texts: list[bytes]):
+        found = [word_hashes(_words(t)) for t in texts]
+        self.sizes = np.array([len(x) for x in found], np.int64)
+        own = np.concatenate([*found, np.zeros(0, np.uint64)])
+        del found
+        self.of = np.repeat(np.arange(len(texts), dtype=np.int32), self.sizes)
+        words, self.word = np.unique(own, return_inverse=True)
+        self.word = self.word.astype(np.int32)
+        contexts = np.r_[words, np.uint64(0)]
+        self.before = np.r_[np.int32(len(words)), self.word[:-1]][: len(own)]
+        self.before[np.r_[True, self.of[1:] != self.of[:-1]][: len(own)]] = len(words)
+        even = np.uint64(2**64 - 2)
+        pairs = mix(mix(contexts[self.before]) * np.uint64(0x9E3779B97F4A7C15) + own) & even
+        del own
+        pairs, self.pair = np.unique(pairs, return_inverse=True)
+        self.pair = self.pair.astype(np.int32)
+        keys = np.concatenate([pairs, mix(words ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1), mix(contexts ^ np.uint64(0x14057B7EF767814F)) & even])
+        self.at = np.cumsum([0, len(pairs), len(words), len(contexts)])
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    def counts(self, weights: np.ndarray) -> np.ndarray:
+        """The weights' sums by key."""
+        parts = (self.pair, self.word, self.before)
+        return np.concatenate([np.bincount(x, weights=weights, minlength=n) for x, n in zip(parts, np.diff(self.at), strict=True)])[self.order]
+
+    def losses(self, counts: np.ndarray, tokens: int, words: int) -> np.ndarray:
+        """Per word -log P(word | previous): bigram shares mixed with smoothed word shares, from the whole corpus's counts by key."""
+        by = np.empty(len(counts), np.float64)
+        by[self.order] = counts
+        pair, word, context = (by[a + x] for a, x in zip(self.at, (self.pair, self.word, self.before), strict=False))
+        single = (word + ADDED) / (tokens + ADDED * max(SYMBOLS, words + 2))
+        share = np.divide(pair, context, out=single.copy(), where=context > 0)
+        return -np.log(MIX * share + (1 - MIX) * single)
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """Per row: ``doc_id, n_tokens, target_loss, background_loss, score``.
 
-    ``target`` names the target documents by ``doc_id``; the background is all documents. Losses are means per word in
-    nats; ``score`` is the mean of the words' differences (target minus background): the lower, the more like the
-    target. A null or wordless text has no words and null losses. Without target documents the target model is the
+    ``target`` names the target documents by ``doc_id``; the background is all documents. Words are cut at ASCII blanks,
+    A-Z lower-cased; both models hold all words and bigrams (by 63-bit hashes), so that none is unknown. Losses are means
+    per word in nats; ``score`` is the mean of the words' differences (target minus background): the lower, the more like
+    the target. A null or wordless text has no words and null losses. Without target documents the target model is the
     uniform one. Repeated rows count and are scored each; other columns are ignored; an empty table gives no rows.
+
+    Texts are dealt into blocks by a hash. Each block sends its distinct keys with its counts to the keys' owners; these
+    add up all blocks' counts and send each block the sums of its keys, with which it scores its texts. A key comes once
+    from a block however often it occurs, so a very common word or pair makes no large group.
     """
     spark = docs.sparkSession
-    symbols = spark.sparkContext.broadcast({w: i + 1 for i, w in enumerate(vocabulary(docs))})
-    chosen = materialize(target.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("is_target", F.lit(True)))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, SYMBOLS * SYMBOLS), dtype=np.int64)
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                of, pairs = symbol_pairs(part.column("text").to_pylist(), symbols.value)
-                chosen = np.array([bool(x) for x in part.column("is_target").to_pylist()], dtype=bool)
-                np.add.at(sums[0], pairs, 1)
-                np.add.at(sums[1], pairs[chosen[of]], 1)
-        at = np.flatnonzero(sums[0])
-        for i in range(0, len(at), 100_000):
-            own = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(sums[0][own]), pa.array(sums[1][own])], names=["pair", "n", "n_target"])
-
-    # a merge join at every size: the texts are shuffled once, and AQE splits skewed keys
-    flagged = _texts(docs).join(chosen.hint("merge"), "doc_id", "left")
-    counted = flagged.mapInArrow(count, "pair long, n long, n_target long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    table = counted.toArrow()  # at most SYMBOLS ** 2 rows
-    sums = np.zeros((2, SYMBOLS * SYMBOLS), dtype=np.int64)
-    pair = table.column("pair").to_numpy()
-    sums[0][pair], sums[1][pair] = table.column("n").to_numpy(), table.column("n_target").to_numpy()
-    models = spark.sparkContext.broadcast(np.stack([losses(sums[0]), losses(sums[1])]).astype(np.float32))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        background, wanted = models.value
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                of, pairs = symbol_pairs(part.column("text").to_pylist(), symbols.value)
-                n = np.bincount(of, minlength=len(part))
-                means = [np.divide(np.bincount(of, weights=m[pairs], minlength=len(part)), n, out=np.zeros(len(part)), where=n > 0) for m in (wanted, background)]
-                none = n == 0
-                values = [pa.array(x, mask=none) for x in (*means, means[0] - means[1])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), *values], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return _texts(docs).mapInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    texts = _texts(docs)
+    n_blocks = max(1, math.ceil((texts.agg(F.sum(F.octet_length("text") + F.lit(ROW_BYTES))).first()[0] or 0) / BLOCK_BYTES))
+    salt = F.pmod(F.xxhash64("text"), F.lit(SALTS))
+    by_id = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id", salt))
+    rows = texts.select(F.pmod(by_id, F.lit(n_blocks)).alias("block"), "doc_id", "text")
+    ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    copies = ids.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    chosen = copies.select(F.pmod(F.xxhash64("doc_id", "salt"), F.lit(n_blocks)).alias("block"), "doc_id", F.lit(None).cast("binary").alias("text"))
+    blocks = rows.unionByName(chosen)  # a row without a text is a target id
+    edges = np.array([i * 2**64 // n_blocks for i in range(1, n_blocks)], np.uint64)
+
+    def ask(block: pa.Table) -> pa.Table:
+        is_text = pc.is_valid(block.column("text"))
+        ids = set(block.filter(pc.invert(is_text)).column("doc_id").to_pylist())
+        own = block.filter(is_text)
+        if not len(own):
+            return pa.table({k: pa.array([], t) for k, t in (("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("n_target", pa.binary()))})
+        found = Block(own.column("text").to_pylist())
+        wanted = np.array([x in ids for x in own.column("doc_id").to_pylist()], np.float64)
+        sums = [found.counts(np.ones(len(found.of))), found.counts(wanted[found.of])]
+        cut = np.searchsorted(found.keys, edges)
+        keys = [pack(np.diff(k, prepend=np.uint64(0))) for k in np.split(found.keys, cut)]
+        n, n_target = ([pack(x) for x in np.split(s, cut)] for s in sums)
+        number = block.column("block")[0].as_py()
+        return pa.table({"part": pa.array(range(n_blocks), pa.int64()), "block": pa.array([number] * n_blocks, pa.int64()), "keys": pa.array(keys, pa.binary()), "n": pa.array(n, pa.binary()), "n_target": pa.array(n_target, pa.binary())})
+
+    def add(part: pa.Table) -> pa.Table:
+        lists = [np.cumsum(unpack(k), dtype=np.uint64) for k in part.column("keys").to_pylist()]
+        cut = np.cumsum([len(x) for x in lists])[:-1]
+        keys, at = np.unique(np.concatenate(lists), return_inverse=True)
+        del lists
+        is_word = (keys & np.uint64(1)).astype(bool)
+        sums, totals = [], []
+        for name in ("n", "n_target"):
+            total = np.bincount(at, weights=np.concatenate([unpack(x) for x in part.column(name).to_pylist()]), minlength=len(keys))
+            totals.append(int(total[is_word].sum()))
+            sums.append(pa.array([pack(x) for x in np.split(total[at], cut)], pa.binary()))
+        same = lambda x: pa.array([x] * len(part), pa.int64())
+        return pa.table([part.column("block"), part.column("part"), *sums, same(int(is_word.sum())), same(totals[0]), same(totals[1])], names=["block", "part", "n", "n_target", "words", "tokens", "target_tokens"])
+
+    def score(block: pa.Table, answers: pa.Table) -> pa.Table:
+        own = block.filter(pc.is_valid(block.column("text")))
+        found = Block(own.column("text").to_pylist())
+        none = found.sizes == 0
+        means = []
+        if len(own):
+            answers = answers.sort_by("part")
+            words, tokens, target_tokens = (sum(answers.column(c).to_pylist()) for c in ("words", "tokens", "target_tokens"))
+            for name, total in (("n_target", target_tokens), ("n", tokens)):
+                losses = found.losses(np.concatenate([unpack(x) for x in answers.column(name).to_pylist()]), total, words)
+                means.append(np.divide(np.bincount(found.of, weights=losses, minlength=len(own)), found.sizes, out=np.zeros(len(own)), where=~none))
+        else:
+            means = [np.zeros(0), np.zeros(0)]
+        values = [pa.array(x, pa.float64(), mask=none) for x in (*means, means[0] - means[1])]
+        return pa.table([own.column("doc_id"), pa.array(found.sizes), *values], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    asked = blocks.groupBy("block").applyInArrow(ask, "part long, block long, keys binary, n binary, n_target binary")
+    counts = asked.groupBy("part").applyInArrow(add, COUNTS)
+    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -182,6 +182,24 @@ def test_loss_is_that_of_a_plain_loop(spark):
         assert found[d]["background_loss"] == pytest.approx(loss(pairs[0], d), rel=1e-4) and found[d]["target_loss"] == pytest.approx(loss(pairs[1], d), rel=1e-4)
 
 
+def test_losses_know_rare_words(spark):
+    """Two documents of words far down the list, one like the target's: no word is merged with others."""
+    common = [" ".join(f"common{j}" for j in range(1500)) for _ in range(4)]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(common)]
+    rows += [(10, "ruby topaz opal garnet", None, None, 0), (11, "opal ruby garnet topaz", None, None, 0), (12, "rust tin zinc lead", None, None, 0)]
+    target = spark.createDataFrame([(0,), (10,)], "doc_id long")
+    found = {r["doc_id"]: r["score"] for r in lm_score.cross_entropy_difference(spark.createDataFrame(rows, DOC), target).collect()}
+    assert found[10] < found[11] < found[12] and found[12] > 0
+
+
+def test_blocks_give_the_same_losses(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 50, f"word{i % 7} w{i} again word{i % 3}", None, None, 0) for i in range(300)] + [(None, "no id", None, None, 0)] * 2, DOC)
+    target = spark.createDataFrame([(i,) for i in range(0, 50, 3)], "doc_id long")
+    one = sorted(map(str, lm_score.cross_entropy_difference(rows, target).selectExpr("doc_id", "n_tokens", "round(target_loss, 9)", "round(background_loss, 9)").collect()))
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 3000)
+    assert one == sorted(map(str, lm_score.cross_entropy_difference(rows, target).selectExpr("doc_id", "n_tokens", "round(target_loss, 9)", "round(background_loss, 9)").collect()))
+
+
 def test_chat_examples(spark):
     texts = ["</s>[INST] ok [/INST]", "<|end|>\n<|role:user|>\n<!|x <!!|", "<<SYS>> [!/INST] <!/s>", "", None, "plain"]
     rows = [(1, i, ("user", "assistant")[i % 2], t) for i, t in enumerate(texts)] + [(1, 6, "odd|>role<|", "tail"), (2, 0, None, None), (None, 0, "assistant", "x"), (3, 0, "assistant", "same"), (3, 0, "assistant", "same")]
