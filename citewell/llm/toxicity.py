@@ -1,8 +1,9 @@
 """Toxicity: noisy-channel deobfuscation, then a lexicon score of the restored text.
 
 Tokens with leetspeak, inner separators or letter runs, and runs of single letters, become character lattices. A
-Viterbi search under a character language model picks the likeliest reading. The language model and the lexicon are
-counted on a bounded sample of labelled documents; all texts are scored whole.
+Viterbi search under a character language model picks the likeliest reading. Tokens of any length are read: those with
+separators also by their parts and, as overlapping lattices, as several words. The language model counts all documents,
+the lexicon a bounded sample of labelled ones; all texts are scored whole.
 """
 
 from __future__ import annotations
@@ -32,7 +33,14 @@ LETTERS = re.compile(r"[^\W\d_]+")
 PLAIN = re.compile(r"[.,;:!?\"'()\[\]|*#$%&<>-]*([^\W\d_]+)[.,;:!?\"'()\[\]|*#$%&<>-]*")
 RUN = re.compile(r"([^\W\d_])\1\1", re.I)
 LETTER = re.compile(r"[^\W\d_]")
+#: What may stand between words as well as inside one, for nothing but itself.
+BETWEEN = re.compile("[" + re.escape("".join(sorted(DROPPED - LEET.keys()))) + "]+")
+#: Lattice positions of one piece of a token, and how many of them the next piece has in common with it.
+PIECE, OVERLAP = 64, 32
+#: Longer tokens and their parts are not cached.
+LONGEST_CACHED = 40
 MOST_CACHED = 500_000
+MOST_WORDS = 200_000
 SHORTEST, LONGEST = 5, 7
 COUNTED = ("clean_1", "clean_2", "toxic_1", "toxic_2", "clean_words")
 
@@ -124,7 +132,22 @@ def suspicious(token: str) -> bool:
     """Has letters, and digits, symbols or a long run between or beside them that plain punctuation doesn't explain."""
     if PLAIN.fullmatch(token):
         return bool(RUN.search(token)) or (not token[0].isalpha() and token[0] in LEET) or (token[-1] in "$!|+")
-    return bool(LETTER.search(token)) and len(token) <= 40
+    return bool(LETTER.search(token))
+
+
+def pieces(token: str) -> list[str]:
+    """A token with separators inside as overlapping pieces of PIECE lattice positions, cut before a letter run where there is one.
+
+    A row of separators is one position: each of them is read as nothing, whatever their number.
+    """
+    runs = [m[0] for m in re.finditer(r"([^\W\d_])\1*|(.)\2*", BETWEEN.sub("-", token), re.S)]
+    found, at = [], 0
+    while True:
+        found.append("".join(runs[at : at + PIECE]))
+        if at + PIECE >= len(runs):
+            return found
+        after = at + PIECE - OVERLAP
+        at = next((i for i in range(after, at + PIECE // 4, -1) if runs[i - 1] == "-"), after)
 
 
 def units(word: str) -> list[str]:
@@ -141,11 +164,22 @@ class Restorer(dict):
 
     def __missing__(self, token: str):
         words = set(x.lower() for x in LETTERS.findall(token))
+        found = frozenset()
         if suspicious(token):
-            words.update(decode(token, self.model, spaced=False))
-        if len(self) >= MOST_CACHED:
-            self.clear()
-        found = self[token] = self.keep(words)
+            parts = [x for x in BETWEEN.split(token) if x]
+            cut = pieces(token)
+            if len(cut) == 1:
+                words.update(decode(cut[0], self.model, spaced=False))
+            if len(parts) > 1:
+                found = frozenset().union(*(self[x] for x in set(parts)))
+            if len(parts) > 1 or len(cut) > 1:
+                for x in cut:
+                    words.update(decode(x, self.model, spaced=True))
+        found = frozenset(self.keep(words)) | found
+        if len(token) <= LONGEST_CACHED:
+            if len(self) >= MOST_CACHED:
+                self.clear()
+            self[token] = found
         return found
 
     def read(self, text: str) -> list:
@@ -190,12 +224,50 @@ class ToxicityModel:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, total))))
 
 
+def fit_characters(docs: DataFrame) -> CharModel:
+    """Character n-grams of the plain words of all documents, of any letters and length, each word by its occurrences."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(tokens: Counter) -> pa.RecordBatch:
+            found: Counter = Counter()
+            for token, n in tokens.items():
+                if m := PLAIN.fullmatch(token):
+                    found[m[1].lower()] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["item", "n"])
+
+        tokens: Counter = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                tokens.update(text.split())
+                if len(tokens) > MOST_WORDS:
+                    yield rows(tokens)
+                    tokens = Counter()
+        yield rows(tokens)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["item", "n"])
+        for batch in batches:
+            for word, n in zip(batch.column("item").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                for g in char_grams(word):
+                    found[g] += n
+                if len(found) > MOST_WORDS:
+                    yield rows()
+                    found.clear()
+        yield rows()
+
+    counted = docs.filter(F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text")).mapInArrow(words, "item string, n long").groupBy("item").agg(F.sum("n").alias("n"))
+    table = counted.mapInArrow(grams, "item string, n long").groupBy("item").agg(F.sum("n").alias("n")).toArrow()
+    counts = dict(zip(table.column("item").to_pylist(), table.column("n").to_pylist(), strict=True))
+    return CharModel(counts, max(CharModel.alphabet, sum(len(g) == 1 for g in counts)))
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
-    """Fit on at most ``fit_rows`` labelled documents outside the held-out third.
+    """Fit the lexicon on at most ``fit_rows`` labelled documents outside the held-out third, the characters on all documents.
 
     Of documents with the same smallest shingle hash (copies and near copies) one counts. A unit (a
     short word or the first letters of longer ones) joins the lexicon if toxic documents hold it, once or repeatedly,
@@ -217,7 +289,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
     one = texts.mapInArrow(keyed, "key long, doc_id long, text string, toxic int").groupBy("key").agg(F.min_by(F.struct("text", "toxic"), F.struct("doc_id", "text")).alias("x"))
 
     def count(batches):
-        grams, found, docs_of = Counter(), {}, [0, 0]
+        words, found, docs_of = 0, {}, [0, 0]
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 tokens = Counter(m[1].lower() for m in map(PLAIN.fullmatch, text.split()) if m)
@@ -226,15 +298,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
                 for w, n in tokens.items():
                     for u in units(w):
                         own[u] += n
-                    if w.isascii() and len(w) <= 20:
-                        for g in char_grams(w):
-                            grams[g] += n
-                grams[""] += 0 if toxic else sum(tokens.values())
+                words += 0 if toxic else sum(tokens.values())
                 for u, n in own.items():
                     row = found.setdefault(u, [0, 0, 0, 0, 0])
                     row[2 * toxic + (n > 1)] += 1
                     row[4] += 0 if toxic else n
-        rows = [("gram", g, n, 0, 0, 0, 0) for g, n in grams.items()] + [("docs", "", docs_of[0], 0, docs_of[1], 0, 0)]
+        rows = [("docs", "", docs_of[0], 0, docs_of[1], 0, words)]
         rows += [("unit", u, *row) for u, row in found.items()]
         for at in range(0, len(rows), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 50_000], strict=True)], names=["kind", "item", *COUNTED])
@@ -243,9 +312,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
     counts = materialize(counts.groupBy("kind", "item").agg(*(F.sum(k).alias(k) for k in COUNTED)))
     docs_row = counts.filter("kind = 'docs'").first()
     n0, n1 = (docs_row["clean_1"], docs_row["toxic_1"]) if docs_row else (0, 0)
-    # n-grams of 27 characters: at most 27**4 rows
-    grams = {r["item"]: r["clean_1"] for r in counts.filter("kind = 'gram'").select("item", "clean_1").collect()}
-    clean_words = max(1, grams.pop("", 1))
+    clean_words = max(1, docs_row["clean_words"] if docs_row else 1)
     lexicon: dict[str, tuple[float, float, float]] = {}
     if n1 and n0:
         share = n1 / (n0 + n1)
@@ -260,7 +327,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
             if not any(r["item"].startswith(u) or u.startswith(r["item"]) for u in lexicon):
                 once, more = (math.log((r[f"toxic_{k}"] + 0.5) / (n1 + 1)) - math.log((r[f"clean_{k}"] + 0.5) / (n0 + 1)) for k in (1, 2))
                 lexicon[r["item"]] = (once, max(once, more), r["clean_words"] / clean_words)
-    return ToxicityModel(CharModel(grams), lexicon, math.log((n1 + 1) / (n0 + 1)) if n1 and n0 else -3.0)
+    return ToxicityModel(fit_characters(docs), lexicon, math.log((n1 + 1) / (n0 + 1)) if n1 and n0 else -3.0)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:

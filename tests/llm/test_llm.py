@@ -262,6 +262,21 @@ def test_deobfuscation_and_edges(spark, odd, none):
     assert toxicity.drop_toxic(odd, model).columns == odd.columns
 
 
+def test_long_tokens_and_all_letters_are_read(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(40)) + (" you scum moron idiot" if i % 2 else " you fine people"), None, None, 0) for i in range(400)]
+    rows.append((None, "слово donaudampfschifffahrtsgesellschaft", None, None, 0))  # no label
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, DOC), labels)
+    assert model.chars.counts["слов"] == model.chars.counts["damp"] == 1
+    restorer = toxicity.Restorer(model.chars, model.keep)
+    clean = "you,fine_people/" + ",".join(words[:20])
+    for text in ("m" + "-" * 30 + "o-_-_-r" + "." * 30 + "o-n", f"{clean},m0r0n,{clean}", f"{clean}_1d10t", f"{clean}/m.o.r.o.n/{clean}", "fine,m0r0n", f"{clean},m_o_r_o_n,{clean}"):
+        assert restorer.read(text), text
+    assert not restorer.read(clean * 20)
+
+
 def test_leaks_equal_brute_force(spark, odd, none):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = {r["item_id"]: decontam.words_of(r["text"]) for r in bench.collect()}
