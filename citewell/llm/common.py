@@ -13,12 +13,14 @@ _own_roots: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``.
+    """A new path in the shared folder of ``spark.checkpoint.dir``. Nothing removes it; clear that folder when a job is done.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder of this machine is used.
+    Only where that setting is absent and Spark runs in one process (tests, a laptop) a temporary folder is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_roots:
             _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")

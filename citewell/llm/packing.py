@@ -137,10 +137,11 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
 
 
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
-    """Fix bins that dominate every other bin with the same largest item; return (pattern, times) and what is left.
+    """Fix bins that dominate every other bin with the same item; return (pattern, times) and what is left.
 
-    For the largest length L: with a partner that fills the bin exactly, that pair dominates. If nothing fits beside L
-    it stays alone. If no two items fit beside L, L with the largest that fits dominates. Else L is left for best-fit.
+    For each length L, the largest first: with a partner that fills the bin exactly, that pair dominates. If nothing
+    fits beside L it stays alone. If no two items fit beside L, L with the largest that fits dominates. Else L is left
+    for best-fit. A partner may be longer than L; only the single item L itself is none.
     """
     left = {k: v for k, v in counts.items() if v > 0}
     fixed: list[tuple[tuple[int, ...], int]] = []
@@ -148,32 +149,21 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
     while changed:
         changed = False
         for big in sorted(left, reverse=True):
-            if not left.get(big):
-                continue
-            room = capacity - big
-            if room == 0:
-                fixed.append(((big,), left.pop(big)))
-                changed = True
-                continue
-            lengths = sorted(left)
-            if room in left:
-                times = left[big] // 2 if room == big else min(left[big], left[room])
-                partner = room
-            else:
-                fitting = [x for x in lengths[: bisect.bisect_right(lengths, room)] if x < big or left[big] > 1]
+            while left.get(big):
+                others = Counter(left)  # what may lie beside one item of this length
+                others[big] -= 1
+                fitting = sorted(x for x, n in others.items() if n and x <= capacity - big)
                 if not fitting:
-                    fixed.append(((big,), left.pop(big)))
-                    changed = True
-                    continue
-                two = lengths[0] * 2 if left[lengths[0]] > 1 else lengths[0] + (lengths[1] if len(lengths) > 1 else capacity)
-                if two <= room or fitting[-1] == big:
-                    continue
-                partner = fitting[-1]
-                times = min(left[big], left[partner])
-            if times:
-                fixed.append(((big, partner), times))
+                    pattern, times = (big,), 1 if big * 2 <= capacity else left[big]
+                else:
+                    two = fitting[0] * 2 if others[fitting[0]] > 1 else sum(fitting[:2]) if len(fitting) > 1 else capacity
+                    if fitting[-1] != capacity - big and two <= capacity - big:
+                        break
+                    pattern = (big, fitting[-1])
+                    times = left[big] // 2 if fitting[-1] == big else min(left[big], left[fitting[-1]])
+                fixed.append((pattern, times))
                 changed = True
-                for x in (big, partner):
+                for x in pattern:
                     left[x] -= times
                     if not left[x]:
                         del left[x]

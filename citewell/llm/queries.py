@@ -73,8 +73,8 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
 p AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM w WHERE len(w) >= 8),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM p),
-r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
-c AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM r, range(8) x(j) GROUP BY doc_id),
+t AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM t, range(8) x(j) GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 s AS (SELECT w.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
@@ -84,7 +84,9 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
 m AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v, avg(1 / n) AS inv FROM h),
 k AS (SELECT m, CASE WHEN v > m * (1 - m) * inv THEN least(greatest(m * (1 - m) / (v - m * (1 - m) * inv) - 1, 1), 1000) ELSE 1000 END AS k FROM m),
-v AS (SELECT source, (f + m * k) / (n + k) > 0.8 AS host_failed FROM h, k)
+r AS (SELECT source, m, n + k AS n, (f + m * k) / (n + k) AS rate FROM h, k),
+q AS (SELECT source, m, rate - 2 * sqrt(rate * (1 - rate) / (n + 1)) AS low FROM r),
+v AS (SELECT source, low * (1 - m) > 4 * m * (1 - low) AS host_failed FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(host_failed, false) AS kept
 FROM b LEFT JOIN v USING (source)
 """

@@ -139,12 +139,16 @@ def parse_record(data: bytes) -> dict:
     }
 
 
-def read_records(index: DataFrame, with_payload: bool = True, gap_bytes: int = 1 << 16, span_bytes: int = 8 << 20) -> DataFrame:
+def read_records(index: DataFrame, with_payload: bool = True, gap_bytes: int = 1 << 16, span_bytes: int = 4 << 20, task_bytes: int = 64 << 20) -> DataFrame:
     """Read the records that ``index`` selects.
 
     Rows are dealt out by file and by ``span_bytes`` of offset, sorted by place, and ranges that lie at most
-    ``gap_bytes`` apart become one read. An empty index gives no rows.
+    ``gap_bytes`` apart become one read. The selected records' bytes, not the small index rows, set the number of
+    tasks: one per ``task_bytes``, and up to one per core while spans last. An empty index gives no rows.
     """
+    spark = index.sparkSession
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // task_bytes), min(-(-total // span_bytes), spark.sparkContext.defaultParallelism))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, at = None, None
@@ -171,4 +175,4 @@ def read_records(index: DataFrame, with_payload: bool = True, gap_bytes: int = 1
             opened.close()
 
     placed = index.select("file", "offset", "length", F.floor(F.col("offset") / span_bytes).alias("span"))
-    return placed.repartition("file", "span").sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)
+    return placed.repartition(tasks, "file", "span").sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)

@@ -1,13 +1,14 @@
 """The corpus pipeline: stages that each call one operator of ``citewell.llm``.
 
 toxicity -> host quality rules -> near duplicates -> benchmark decontamination -> packing. Every stage works on all rows
-that the one before kept and, but for the last, returns the columns of documents. No stage is expressible in SQL as a
-whole (the first is a trained model), so the rows are tested against brute-force versions.
+that the one before kept and, but for the last, returns the columns of documents. Rows are judged, never ids: a row
+without an id is judged like any other, and a repeated id doesn't take other rows along. No stage is expressible in SQL
+as a whole (the first is a trained model), so the rows are tested against brute-force versions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from citewell.llm import decontam, packing, quality, similarity, toxicity
 from citewell.llm.common import materialize, table
@@ -15,40 +16,56 @@ from citewell.llm.common import materialize, table
 ORACLE_SQL = None
 
 
-def _one_per_id(docs: DataFrame) -> DataFrame:
-    """Repeated rows of one doc_id are one document; rows without an id stay."""
-    spread = F.when(F.col("doc_id").isNull(), F.rand(0))  # rows without an id are not gathered
-    first = F.row_number().over(W.partitionBy("doc_id", spread).orderBy(F.xxhash64("text"), "text"))
-    return docs.withColumn("_citewell_nth", first).filter((F.col("_citewell_nth") == 1) | F.col("doc_id").isNull()).drop("_citewell_nth")
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go; the model is fitted on this input's labelled rows."""
+    """Documents that score as toxic go; the model is fitted on this input's labelled rows.
+
+    A null, empty or wordless text has no toxic word and stays. Any text is scored whole, however long. Repeated rows
+    score alike and share their fate. An empty table, or one without labels of both kinds, loses no row.
+    """
     return toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail their own rules, or whose host does, go."""
-    judged = quality.quality_rules(docs)
-    rejected = materialize(judged.filter("NOT kept").select("doc_id").distinct())
-    return docs.join(rejected, "doc_id", "left_anti")
+    """Documents that fail their own rules, or whose host does, go.
+
+    A null or empty text has too few words and goes. A null source is no host and takes nobody along. Long texts are
+    measured whole. Repeated rows are judged alike and count each for their host. An empty table stays empty.
+    """
+    return quality.drop_low_quality(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at 0.8 or more the smallest doc_id stays."""
-    found = similarity.similarity_components(docs, k=5, percent=80)
-    dropped = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct())
-    return _one_per_id(docs.join(dropped, "doc_id", "left_anti"))
+    """Of each group linked by five-word shingles at 0.8 or more the row with the smallest doc_id stays.
+
+    Rows, not ids, are the nodes: repeated rows are copies of which one stays, different texts of one id are compared
+    like any others, and a null id comes after all ids. Null, empty and wordless texts are linked with nothing and
+    stay. Of equal ids the one first in the written table stays. An empty table stays empty.
+    """
+    row, first = "_citewell_row", "_citewell_first"
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))  # written, which fixes the numbers
+    found = similarity.similarity_components(rows.select(F.col(row).alias("doc_id"), "text"), k=5, percent=80)
+    groups = materialize(found.filter("n_links > 0").select(F.col("doc_id").alias(row), "component_id"))
+    known = groups.join(rows.select(row, "doc_id"), row)
+    kept = known.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row].alias(first))
+    dropped = materialize(groups.join(kept, "component_id").filter(F.col(row) != F.col(first)).select(row))
+    return rows.join(dropped, row, "left_anti").drop(row)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
-    leaks = materialize(decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti")
+    """Documents that contain a benchmark item go.
+
+    A null or empty text contains nothing and stays. Long texts are searched whole. Each row is judged for itself, so
+    repeated rows share their fate. An empty table or benchmark loses no row.
+    """
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents left and their places in sequences."""
+    """The pieces of all documents left and their places in sequences.
+
+    A null or empty text is one end token. Long texts are cut into full pieces. Repeated rows are packed each, a null
+    id stays null. An empty table gives no pieces.
+    """
     return packing.pack_documents(docs)
 
 

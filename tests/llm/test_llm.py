@@ -379,7 +379,37 @@ def test_dominance_and_best_fit_hold_every_item():
                 rooms.append(100 - x)
             else:
                 rooms[at] -= x
-        assert sum(n for _, n in plan) <= len(rooms) + 1
+        assert sum(n for _, n in plan) <= len(rooms)
+
+
+def test_fixed_bins_are_those_of_a_best_packing():
+    """Fixed bins and the exhaustive best of the rest are as few as the exhaustive best of all."""
+    rng = random.Random(5)
+
+    def fewest(items, capacity=100):
+        items, best = sorted(items, reverse=True), [len(items)]
+
+        def go(i, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if i == len(items):
+                best[0] = len(rooms)
+                return
+            for room in set(rooms):
+                if room >= items[i]:
+                    at = rooms.index(room)
+                    go(i + 1, [*rooms[:at], room - items[i], *rooms[at + 1 :]])
+            go(i + 1, [*rooms, capacity - items[i]])
+
+        go(0, [])
+        return best[0]
+
+    assert packing.plan_bins({10: 1, 15: 1, 70: 1}, 100) in ([((70, 15, 10), 1)], [((70, 10, 15), 1)])
+    for i in range(500):
+        items = [rng.randrange(1, 101) if i % 2 else rng.choice((10, 15, 20, 30, 35, 50, 70)) for _ in range(rng.randrange(1, 10))]
+        fixed, left = packing.reduce_by_dominance(Counter(items), 100)
+        assert Counter(x for p, n in fixed for x in p * n) + Counter(left) == Counter(items)
+        assert sum(n for _, n in fixed) + fewest(Counter(left).elements()) == fewest(items)
 
 
 def test_language_evidence(spark, odd):
