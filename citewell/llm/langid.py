@@ -1,59 +1,63 @@
 """Language identification by Bayesian fusion of evidence.
 
-The text gives likelihoods under character trigram models; the declared markup language, the address suffix and the
-path's first segment give likelihoods estimated by grouped aggregation; the host gives a prior that is smoothed towards
-its domain and that towards all rows.
+The text gives likelihoods under models of its letters and letter trigrams, of any script, in hash buckets; the
+declared markup language, the address suffix and the path's first segment give likelihoods estimated by grouped
+aggregation; the host gives a prior that is smoothed towards its domain and that towards all rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, mix
 
-SYMBOLS = 64
-GRAMS = SYMBOLS**3
+#: Hash buckets of letters and trigrams: one language's model is 1 MB.
+GRAMS = 1 << 18
 ADDED = 0.5
-#: Trigrams of a text are not independent: their joint log likelihood counts this much, per text at most MOST_NATS.
-TEMPER, MOST_NATS = 0.2, 40.0
+#: The n-grams of a text are not independent: their joint log likelihood counts this much, per text at most MOST_NATS.
+TEMPER, MOST_NATS = 0.1, 40.0
 #: Pseudo-rows that a domain's shares add to a host, and all rows' shares to a domain.
 SMOOTHING = 20.0
-TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+HIDDEN = re.compile(r"<(?:(script|style)\b|(!--))", re.I)
+ENDS = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), "!--": re.compile("-->")}
 EVIDENCE = ("declared", "suffix", "segment")
 
 
-def _symbols() -> np.ndarray:
-    """code point -> symbol: 0 no letter, a-z, accented Latin letters by their code, 63 any other letter."""
-    table = np.zeros(0x3000, dtype=np.int64)
-    for c in range(len(table)):
-        if chr(c).isalpha():
-            table[c] = c - 96 if 97 <= c <= 122 else 27 + (c - 0xDF) % 36 if 0xDF <= c < 0x250 else 63
-    return table
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """code point -> itself if it is a letter, else 0"""
+    return np.array([c if chr(c).isalpha() else 0 for c in range(0x110000)], dtype=np.uint64)
 
 
-TABLE = _symbols()
+def _bucket(a, b, c, single) -> np.ndarray:
+    key = (a << np.uint64(42)) | (b << np.uint64(21)) | c
+    return (mix(key * np.uint64(2) + np.uint64(single)) >> np.uint64(64 - 18)).astype(np.int64)
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For all trigrams of all texts (each between two non-letters): the text's number and the code."""
-    joined = "  ".join(t.lower() for t in texts) + "  "
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    symbols = np.where(codes < len(TABLE), TABLE[np.minimum(codes, len(TABLE) - 1)], 63)
-    symbols = np.r_[0, 0, symbols]
-    grams = symbols[:-2] * SYMBOLS * SYMBOLS + symbols[1:-1] * SYMBOLS + symbols[2:]
-    sizes = np.array([len(t.lower()) + 2 for t in texts])
-    of = np.repeat(np.arange(len(texts)), sizes)
-    return of, grams
+def bucket(gram: tuple[int, ...]) -> int:
+    """The bucket of a trigram of code points, or, with a fourth entry, of its last letter alone."""
+    return int(_bucket(*np.array([gram[:3]], np.uint64).T, len(gram) > 3)[0])
+
+
+def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For all trigrams of all texts (each between two non-letters) and then all single letters: the text's number and the bucket."""
+    lower = [t.lower() for t in texts]
+    codes = np.frombuffer(("  ".join(lower) + "  ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    letters = np.r_[np.zeros(2, np.uint64), _letters()[codes]]
+    none = np.zeros(1, np.uint64)
+    of = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in lower])
+    return np.r_[of, of], np.r_[_bucket(letters[:-2], letters[1:-1], letters[2:], 0), _bucket(none, none, letters[2:], 1)]
 
 
 def fit_text_models(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their log P(third | two before), from all documents with a language outside the held-out third."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
+    """Languages in order and their log P(bucket), from all documents with a language; without any: no language."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -62,26 +66,43 @@ def fit_text_models(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 langs = np.array(batch.column("lang").slice(at, 200).to_pylist(), dtype=object)
                 texts = batch.column("text").slice(at, 200).to_pylist()
                 for lang in set(langs):
-                    _, grams = trigrams([t for t, x in zip(texts, langs, strict=True) if x == lang])
+                    _, grams = ngrams([t for t, x in zip(texts, langs, strict=True) if x == lang])
                     own = sums.setdefault(lang, np.zeros(GRAMS, dtype=np.int64))
-                    np.add.at(own, grams, 1)
+                    own += np.bincount(grams, minlength=GRAMS)
         for lang, own in sorted(sums.items()):
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(own[at])], names=["lang", "gram", "n"])
 
-    counts = known.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = counts.toArrow().to_pandas()  # at most GRAMS rows a language
     langs = sorted(table["lang"].unique())
-    sums = np.zeros((len(langs), GRAMS))
+    sums = np.full((len(langs), GRAMS), ADDED)
     for i, lang in enumerate(langs):
         own = table[table["lang"] == lang]
-        sums[i, own["gram"].to_numpy()] = own["n"].to_numpy()
-    sums = sums.reshape(len(langs), SYMBOLS * SYMBOLS, SYMBOLS) + ADDED
-    return langs, np.log(sums / sums.sum(axis=2, keepdims=True)).reshape(len(langs), GRAMS).astype(np.float32)
+        sums[i, own["gram"].to_numpy()] += own["n"].to_numpy()
+    return langs, np.log(sums / sums.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def visible_text(html: str) -> str:
-    return TAGS.sub(" ", html)
+    """What stands outside of tags, comments, scripts and styles; what is never closed counts as text. One pass."""
+    out, at, ended = [], 0, set()  # ended: of this kind no more end follows
+    while (i := html.find("<", at)) >= 0:
+        out.append(html[at:i])
+        hidden = HIDDEN.match(html, i)
+        kind = (hidden[1] or hidden[2]).lower() if hidden else None
+        end = -1
+        if kind and kind not in ended:
+            found = ENDS[kind].search(html, hidden.end())
+            end = found.end() if found else -1
+            if end < 0:
+                ended.add(kind)
+        if end < 0 and ">" not in ended:
+            end = html.find(">", i) + 1 or -1
+            if end < 0:
+                ended.add(">")
+        out.append(" " if end > 0 else "<")
+        at = end if end > 0 else i + 1
+    return "".join(out) + html[at:]
 
 
 def _clean_tag(value):
@@ -118,7 +139,7 @@ def text_evidence(rows: DataFrame, langs: list[str], models: np.ndarray) -> Data
                 part = batch.slice(at, 200)
                 kinds = part.column("kind").to_pylist()
                 texts = [visible_text(b or "") if k == "page" else b or "" for k, b in zip(kinds, part.column("body").to_pylist(), strict=True)]
-                of, grams = trigrams(texts)
+                of, grams = ngrams(texts)
                 sums = np.stack([np.bincount(of, weights=m[grams], minlength=len(texts)) for m in shared.value], axis=1) * TEMPER
                 sums = np.maximum(sums - sums.max(axis=1, keepdims=True), -MOST_NATS)
                 sums[[not t.strip() for t in texts]] = 0
@@ -134,10 +155,11 @@ def identify_languages(rows: DataFrame, langs: list[str], models: np.ndarray) ->
 
     Rows without any text have flat likelihoods and follow the other evidence; missing evidence counts as none; rows
     without a host take the domain's or the overall shares. A row's own reading is left out of its host's shares.
-    Repeated rows count each. Without training texts in any language there are no rows.
+    Repeated rows count each. Without training texts in any language all rows have a null language and posterior.
     """
     if not langs:
-        return rows.sparkSession.createDataFrame([], "kind string, id long, host string, lang string, posterior double, text_lang string")
+        null = F.lit(None)
+        return rows.select("kind", "id", "host", null.cast("string").alias("lang"), null.cast("double").alias("posterior"), null.cast("string").alias("text_lang"))
     sure = F.array_position("ll", F.lit(0.0)).cast("int")  # the best reading; with no text there is none
     scored = materialize(text_evidence(rows, langs, models).withColumn("best", F.when(F.exists("ll", lambda x: x < 0), sure)))
     n = len(langs)

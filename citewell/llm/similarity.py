@@ -1,10 +1,10 @@
 """Grouped prefix join: all documents linked by the Jaccard similarity of their word shingles, as components.
 
-1. A document becomes the sorted hashes of its distinct shingles. One order ranks all shingles: first those with a hash
-   below a cut, by how many documents have them, then the rest by hash. Two linked documents share one of the first
-   ``n - ceil(t n) + 1`` shingles of this order (their prefix).
-2. Documents with identical prefix and size collapse into one group. Groups that share a prefix shingle and may have
-   compatible sizes become connected through one pivot per shingle and size band, so that no pairs are listed.
+1. A document becomes the sorted hashes of its distinct shingles; equal sets become one. One order ranks all shingles:
+   first those with a hash below a cut, by how many sets have them, then the rest by hash. Two linked sets share one of
+   the first ``n - ceil(t n) + 1`` shingles of this order (their prefix).
+2. Sets with identical prefix and size collapse into one group. Groups that share a prefix shingle form pairs, filtered
+   by size and by the shingle's position; where more than LIST groups share one, they are connected through pivots.
 3. Each connected candidate set is expanded to its distinct members and cut into blocks; each pair of blocks is verified
    by exact counts of common shingles, and only a spanning set of links leaves the task.
 """
@@ -22,10 +22,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize, mix, rolling, word_hashes
-from .components import connected_components
+from .components import EDGE, connected_components
 
 #: Documents in a block, and shingles that make a block of one candidate set.
 BLOCK_DOCS, BLOCK_TOKENS = 64, 1_000_000
+#: Groups that share a prefix shingle and meet in pairs; more are connected through pivots.
+LIST = 64
 UNRANKED = 1 << 60
 SKETCH = "doc_id long, n long, s1 long, s2 long, ranked long, low array<long>"
 
@@ -70,37 +72,74 @@ def sketch(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (n, s1, s2, ranked)), lists], names=["doc_id", "n", "s1", "s2", "ranked", "low"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
 def prefixes(rows: DataFrame, percent: int) -> DataFrame:
-    """``doc_id, n, prefix, alone`` of documents that share something in their prefix; the rest can't have partners."""
-    known = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    tokens = known.select("doc_id", "n", "ranked", F.explode(F.slice("low", F.lit(1), F.col("ranked").cast("int"))).alias("token"))
+    """``row, doc_id, n, prefix, alone`` of sets that share something in their prefix; the rest can't have partners.
+
+    ``prefix`` holds the shingles that more than one set has, in the common order; before them come the ``alone`` ones.
+    """
+    tokens = rows.select("row", F.explode(F.slice("low", F.lit(1), F.col("ranked").cast("int"))).alias("token"))
     shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
-    p = prefix_size(F.col("n"), percent)
-    beyond = known.filter(F.col("ranked") < p)
-    beyond = beyond.select("doc_id", "n", "ranked", F.explode(F.slice("low", (F.col("ranked") + 1).cast("int"), F.size("low"))).alias("token"), F.lit(UNRANKED).alias("df"))
-    own = tokens.join(shared, "token").select("doc_id", "n", "ranked", "token", "df").unionByName(beyond)
-    own = own.groupBy("doc_id", "n", "ranked").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
+    beyond = rows.filter(F.col("ranked") < prefix_size(F.col("n"), percent))
+    beyond = beyond.select("row", F.explode(F.slice("low", (F.col("ranked") + 1).cast("int"), F.size("low"))).alias("token"), F.lit(UNRANKED).alias("df"))
+    own = tokens.join(shared, "token").select("row", "token", "df").unionByName(beyond)
+    own = own.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
+    own = rows.select("row", "doc_id", "n", "ranked").join(own, "row")
     alone = F.col("ranked") - F.size(F.filter("own", lambda x: x["df"] < UNRANKED))
-    own = own.withColumn("alone", alone).withColumn("take", (p - F.col("alone")).cast("int")).filter("take > 0")
-    return own.select("doc_id", "n", F.transform(F.slice("own", F.lit(1), F.col("take")), lambda x: x["token"]).alias("prefix"), "alone")
+    own = own.withColumn("alone", alone).withColumn("take", (prefix_size(F.col("n"), percent) - F.col("alone")).cast("int")).filter("take > 0")
+    return own.select("row", "doc_id", "n", F.transform(F.slice("own", F.lit(1), F.col("take")), lambda x: x["token"]).alias("prefix"), "alone")
+
+
+def group_pairs(posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of groups from ``posts(token, n, at, gid)``, whose lists are short: those that can be similar enough.
+
+    Sizes must be compatible, and what is left of both sets after the shared shingle (at position ``at``) must suffice.
+    Two similar sets pass at the first shingle that they share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, at, gid = (batch.column("list").flatten().field(k).to_numpy(zero_copy_only=False) for k in ("n", "at", "gid"))
+            sizes = np.diff(batch.column("list").offsets.to_numpy())
+            starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            left, right = [], []
+            for step in range(1, int(sizes.max(initial=0))):  # each list against itself, moved on by one more
+                i = np.flatnonzero(np.arange(len(n)) - starts >= step)
+                j = i - step
+                common = 1 + np.minimum(n[i] - at[i], n[j] - at[j])
+                fits = 100 * common >= percent * (n[i] + n[j] - common)
+                left.append(np.maximum(gid[i], gid[j])[fits]), right.append(np.minimum(gid[i], gid[j])[fits])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], names=["a", "b"])
+
+    lists = posts.groupBy("token").agg(F.collect_list(F.struct("n", "at", "gid")).alias("list")).filter(F.size("list") > 1)
+    return lists.select("list").mapInArrow(run, EDGE).filter("a <> b").distinct()
 
 
 def candidate_edges(found: DataFrame, percent: int) -> DataFrame:
-    """Edges that connect all documents that may be linked, in number linear in the prefixes' length."""
-    own = F.when(F.col("alone") > 0, F.col("doc_id"))  # it has a shingle that no other document has
+    """Edges that connect all documents that may be linked.
+
+    Groups that share a prefix shingle with at most LIST groups meet in pairs, which the filters thin out. A list that
+    is longer has too many pairs to write; its groups are connected through one pivot per size band, and what they
+    really have in common is found block by block.
+    """
+    own = F.when(F.col("alone") > 0, F.col("row"))  # it has a shingle that no other set has
     found = materialize(found.withColumn("key", F.xxhash64("n", "prefix", "alone", own)))
-    groups = materialize(found.groupBy("key").agg(F.min("doc_id").alias("gid"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")))
+    groups = materialize(found.groupBy("key").agg(F.min("doc_id").alias("gid"), F.any_value("n").alias("n"), F.any_value("alone").alias("alone"), F.any_value("prefix").alias("prefix")))
     expand = found.select("key", "doc_id").join(groups.select("key", "gid"), "key").select(F.col("doc_id").alias("a"), F.col("gid").alias("b"))
+    posts = groups.select("gid", "n", "alone", F.posexplode("prefix").alias("i", "token")).select("token", "gid", "n", (F.col("alone") + F.col("i") + 1).alias("at"))
+    long = materialize(posts.groupBy("token").agg(F.count("*").alias("groups")).filter(F.col("groups") > LIST).select("token"))
+    pairs = group_pairs(posts.join(long, "token", "left_anti"), percent)
     band = F.floor(F.log(F.col("n")) / (1.001 * math.log(100 / percent))).cast("long") if percent < 100 else F.col("n")
-    posts = groups.select("gid", band.alias("band"), F.explode("prefix").alias("token"))
-    pivots = materialize(posts.groupBy("token", "band").agg(F.min("gid").alias("pivot"), F.count("*").alias("members")))
-    to_pivot = posts.join(pivots.filter("members > 1").select("token", "band", "pivot"), ["token", "band"]).select(F.col("gid").alias("a"), F.col("pivot").alias("b"))
+    many = materialize(posts.join(long, "token").select("gid", band.alias("band"), "token"))
+    pivots = materialize(many.groupBy("token", "band").agg(F.min("gid").alias("pivot"), F.count("*").alias("members")))
+    to_pivot = many.join(pivots.filter("members > 1").select("token", "band", "pivot"), ["token", "band"]).select(F.col("gid").alias("a"), F.col("pivot").alias("b"))
     next_band = pivots.select("token", (F.col("band") - 1).alias("band"), F.col("pivot").alias("above"))
     across = pivots.join(next_band, ["token", "band"]).select(F.col("pivot").alias("a"), F.col("above").alias("b"))
-    return expand.unionByName(to_pivot).unionByName(across).filter("a <> b")
+    return expand.unionByName(pairs).unionByName(to_pivot).unionByName(across).filter("a <> b")
 
 
 def blocks(members: DataFrame, percent: int) -> DataFrame:
@@ -189,11 +228,14 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     repeat a doc_id are one node. Other columns are ignored; an empty table gives no rows.
     """
     rows = materialize(sketch(docs, k, percent))
-    found = materialize(prefixes(rows, percent))
+    slim = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "n", "s1", "s2", "row")
+    first = F.min(F.struct("doc_id", "row"))
+    sets = slim.groupBy("n", "s1", "s2").agg(first["doc_id"].alias("doc_id"), first["row"].alias("row"), F.count("*").alias("copies"))
+    sets = materialize(sets)  # equal sets are one from here on
+    own = rows.select("row", "doc_id", "n", "ranked", "low").join(sets.select("row"), "row", "left_semi")
+    found = materialize(prefixes(own, percent))
     comps = materialize(connected_components(candidate_edges(found, percent)))
-    slim = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "n", "s1", "s2")
-    members = slim.join(comps.withColumnRenamed("node", "doc_id"), "doc_id")
-    members = members.groupBy(F.col("component").alias("comp"), "n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    members = sets.join(comps.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("component").alias("comp"), "n", "s1", "s2", "doc_id", "copies")
     dealt = materialize(blocks(materialize(members), percent))
     wanted = materialize(dealt.select("doc_id").distinct())
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
@@ -202,8 +244,7 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     final = connected_components(checked.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     links = checked.groupBy("doc_id").agg(F.sum("links").alias("links"))
     linked = materialize(links.join(final.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "component", "links"))
-    copies = slim.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = materialize(copies.filter("copies > 1"))
+    copies = materialize(sets.filter("copies > 1").select("n", "s1", "s2", F.col("doc_id").alias("rep"), "copies"))
     with_rep = rows.select("doc_id", "n", "s1", "s2").join(copies, ["n", "s1", "s2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")))
     joined = with_rep.join(linked, "rep", "left")
     real = F.col("doc_id").isNotNull() & (F.col("n") > 0)

@@ -42,6 +42,7 @@ LONGEST_CACHED = 40
 MOST_CACHED = 500_000
 MOST_WORDS = 200_000
 SHORTEST, LONGEST = 5, 7
+SPARED = 20
 COUNTED = ("clean_1", "clean_2", "toxic_1", "toxic_2", "clean_words")
 
 
@@ -151,8 +152,8 @@ def pieces(token: str) -> list[str]:
 
 
 def units(word: str) -> list[str]:
-    """What the lexicon may hold of a word: itself if it is short, else its first letters, longest first."""
-    return [word[:n] for n in range(min(len(word), LONGEST), SHORTEST - 1, -1)] or ([word] if len(word) >= 3 else [])
+    """What the lexicon may hold of a word, longest first: itself, and its first letters if it is long."""
+    return ([word] if len(word) > LONGEST or 3 <= len(word) < SHORTEST else []) + [word[:n] for n in range(min(len(word), LONGEST), SHORTEST - 1, -1)]
 
 
 class Restorer(dict):
@@ -269,9 +270,11 @@ def held_out():
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """Fit the lexicon on at most ``fit_rows`` labelled documents outside the held-out third, the characters on all documents.
 
-    Of documents with the same smallest shingle hash (copies and near copies) one counts. A unit (a
-    short word or the first letters of longer ones) joins the lexicon if toxic documents hold it, once or repeatedly,
-    far beyond chance; its weights are log odds. Without labels of both kinds the lexicon is empty.
+    Of documents of one label with the same smallest shingle hash (copies and near copies) one counts. A unit (a word or
+    the first letters of longer ones) joins the lexicon if toxic documents hold it, once or repeatedly, far beyond
+    chance; its weights are log odds. A longer word or beginning that at least SPARED clean documents hold, and toxic
+    ones no more than chance, has its own weights, so that it doesn't count as the unit that it begins with. Without
+    labels of both kinds the lexicon is empty.
     """
     spark = docs.sparkSession
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -286,7 +289,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
                 keys.append(int((rolling(hashes, 5) if len(hashes) >= 5 else hashes).min()) >> 1 if len(hashes) else 0)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("doc_id"), batch.column("text"), batch.column("toxic")], names=["key", "doc_id", "text", "toxic"])
 
-    one = texts.mapInArrow(keyed, "key long, doc_id long, text string, toxic int").groupBy("key").agg(F.min_by(F.struct("text", "toxic"), F.struct("doc_id", "text")).alias("x"))
+    one = texts.mapInArrow(keyed, "key long, doc_id long, text string, toxic int").groupBy("key", "toxic").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))
 
     def count(batches):
         words, found, docs_of = 0, {}, [0, 0]
@@ -308,7 +311,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
         for at in range(0, len(rows), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 50_000], strict=True)], names=["kind", "item", *COUNTED])
 
-    counts = one.select("x.text", "x.toxic").mapInArrow(count, "kind string, item string, " + ", ".join(f"{k} long" for k in COUNTED))
+    counts = one.select("text", "toxic").mapInArrow(count, "kind string, item string, " + ", ".join(f"{k} long" for k in COUNTED))
     counts = materialize(counts.groupBy("kind", "item").agg(*(F.sum(k).alias(k) for k in COUNTED)))
     docs_row = counts.filter("kind = 'docs'").first()
     n0, n1 = (docs_row["clean_1"], docs_row["toxic_1"]) if docs_row else (0, 0)
@@ -322,11 +325,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
             return F.when((toxic >= 4) & (toxic > expected), toxic * F.log(toxic / expected) - (toxic - expected)).otherwise(0.0)
 
         far = F.greatest(surprise(F.col("toxic_1") + F.col("toxic_2"), F.col("clean_1") + F.col("clean_2")), surprise(F.col("toxic_2"), F.col("clean_2")))
-        # Of the units of at most fit_rows documents those far beyond chance.
-        for r in sorted(counts.filter("kind = 'unit'").withColumn("far", far).filter(F.col("far") > 8).collect(), key=lambda r: (-r["far"], r["item"])):
+        def weights(r):
+            once, more = (math.log((r[f"toxic_{k}"] + 0.5) / (n1 + 1)) - math.log((r[f"clean_{k}"] + 0.5) / (n0 + 1)) for k in (1, 2))
+            return once, max(once, more), r["clean_words"] / clean_words
+
+        # Of the units of at most fit_rows documents those far beyond chance, and those that begin with one of them.
+        found = counts.filter("kind = 'unit'").withColumn("far", far)
+        for r in sorted(found.filter(F.col("far") > 8).collect(), key=lambda r: (-r["far"], -len(r["item"]), r["item"])):
             if not any(r["item"].startswith(u) or u.startswith(r["item"]) for u in lexicon):
-                once, more = (math.log((r[f"toxic_{k}"] + 0.5) / (n1 + 1)) - math.log((r[f"clean_{k}"] + 0.5) / (n0 + 1)) for k in (1, 2))
-                lexicon[r["item"]] = (once, max(once, more), r["clean_words"] / clean_words)
+                lexicon[r["item"]] = weights(r)
+        if lexicon:
+            begins = F.col("item").rlike("^(" + "|".join(map(re.escape, sorted(lexicon))) + ").")
+            for r in found.filter(begins & (F.col("far") == 0) & (F.col("clean_1") + F.col("clean_2") >= SPARED)).collect():
+                once = min(0.0, weights(r)[0])
+                lexicon[r["item"]] = once, once, 0.0
     return ToxicityModel(fit_characters(docs), lexicon, math.log((n1 + 1) / (n0 + 1)) if n1 and n0 else -3.0)
 
 
