@@ -331,7 +331,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
 
         # Of the units of at most fit_rows documents those far beyond chance, and those that begin with one of them.
         found = counts.filter("kind = 'unit'").withColumn("far", far)
-        for r in sorted(found.filter(F.col("far") > 8).collect(), key=lambda r: (-r["far"], -len(r["item"]), r["item"])):
+        for r in sorted(found.filter(F.col("far") > 8).collect(), key=lambda r: (-r["far"], r["clean_1"] + r["clean_2"], len(r["item"]), r["item"])):
             if not any(r["item"].startswith(u) or u.startswith(r["item"]) for u in lexicon):
                 lexicon[r["item"]] = weights(r)
         if lexicon:
