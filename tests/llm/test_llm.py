@@ -342,7 +342,7 @@ def test_words_that_share_a_beginning_are_told_apart(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)]
     mixed = lambda *more: " ".join(rng.sample([*(rng.choice(words) for _ in range(40)), *more], 40 + len(more)))
-    rows = [(i, mixed("scumbling") if i % 3 else mixed(rng.choice(("scumbag", "scumball", "scumbags")), "scumbag"), None, None, 0) for i in range(600)]
+    rows = [(i, mixed("scumbling") if i % 3 else mixed(rng.choice(("scumbag", "scumball", "scumbags")), *["scumbag"] * (i % 2)), None, None, 0) for i in range(600)]
     labels = spark.createDataFrame([(r[0], int(r[0] % 3 == 0)) for r in rows], "doc_id long, toxic int")
     model = toxicity.fit_toxicity(spark.createDataFrame(rows, DOC), labels)
     restorer = toxicity.Restorer(model.chars, model.keep)
