@@ -49,6 +49,17 @@ def zip_entry_reason(name: Column, external_attr: Column, compressed: Column, si
     )
 
 
+def entry_reason(name: str, external_attr: int, compressed: int, size: int) -> str | None:
+    """``zip_entry_reason`` for one entry of an archive that is being read."""
+    if name.startswith("/") or ".." in name.split("/"):
+        return "ZIP entry has an unsafe path"
+    if external_attr >> 16 & MODE_MASK == LINK_MODE:
+        return "ZIP entry is a symlink"
+    if name.lower().endswith(".zip"):
+        return "Nested ZIP archives are not supported"
+    return "ZIP entry has a suspicious compression ratio" if compressed > 0 and size > MAX_RATIO * compressed else None
+
+
 def batch_caps(entries: DataFrame) -> DataFrame:
     """``archive_id, files, total, reason``."""
     sums = entries.groupBy("archive_id").agg(F.count("*").alias("files"), F.sum("file_size").alias("total"))
@@ -92,7 +103,8 @@ def validate_requirement(kind: Column, weight: Column) -> Column:
 
 
 def default_weight(kind: Column, weight: Column) -> Column:
-    return F.coalesce(weight, F.when(kind == "required", 2).otherwise(1))
+    """The given weight, or 2 for a required and 1 for any other kind; null where the given one is not in (0, 100]."""
+    return F.when(F.coalesce((weight > 0) & (weight <= 100), F.lit(True)), F.coalesce(weight, F.when(kind == "required", 2).otherwise(1)))
 
 
 def application_open(opens: Column, closes: Column, now: Column) -> Column:

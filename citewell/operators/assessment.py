@@ -64,8 +64,13 @@ def summarise(assessments: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def evaluate(evaluations: DataFrame, requirements: DataFrame, required: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Assessments and the summary of every evaluation; one without requirements is eligible without a score."""
-    assessments = assess_requirements(eval_pairs(evaluations, requirements), required, evidence)
+    """Assessments and the summary of every evaluation; one without requirements is eligible without a score.
+
+    Pairs are grouped by their ids alone; what the requirement says joins them afterwards.
+    """
+    ids = ["job_id", "requirement_id"]
+    pairs = eval_pairs(evaluations, requirements.select(*ids))
+    assessments = assess_requirements(pairs, required, evidence).join(requirements, ids)
     summary = evaluations.select("evaluation_id", "doc_id", "job_id").join(summarise(assessments, ["evaluation_id"]), "evaluation_id", "left")
     return assessments, summary.fillna({"evidence_coverage": 100, "eligibility": "eligible"})
 
@@ -93,8 +98,10 @@ def refine_assessments(deterministic: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``existing`` and those rows of ``new``, one per key, whose key it lacks."""
-    return existing.unionByName(new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti").select(*existing.columns))
+    """``existing`` and those rows of ``new`` whose key it lacks: of each key the one that is least by its columns in order."""
+    rest = [c for c in existing.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest)) if rest else new.select(*keys).distinct()
+    return existing.unionByName(one.join(existing.select(*keys), keys, "left_anti").select(*existing.columns))
 
 
 def complete_evaluations(evaluations: DataFrame, summary: DataFrame) -> DataFrame:

@@ -7,46 +7,116 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import BLANK, fold, lines, missing, strip, tokens, words
 from .vocabulary import MAX_PHRASE_TOKENS
 
-#: First tokens that may be compared with as a literal; a larger vocabulary is joined without this filter.
+#: Phrases that are compared within a row; more are joined.
+INLINE_PHRASES = 64
+#: First tokens that may be compared with as a literal; those of a larger vocabulary are joined.
 FIRST_TOKENS = 2_000
+#: Phrases of at most this number are broadcast (about 20 MB); a larger table is left to Spark's own choice.
+BROADCAST_PHRASES = 200_000
+#: A fold's result grows in runs of this length, as adding to an array copies it.
+RUN = 128
+#: How an e-mail address is found.
 EMAIL = r"(?iu)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 
 
+def _tokens(texts: DataFrame, keys: list[str]) -> DataFrame:
+    return texts.select(*keys, tokens(F.col("text")).alias("_tokens")).withColumn("_size", F.size("_tokens"))
+
+
+def _each(rows: DataFrame, keys: list[str], array: Column | str) -> DataFrame:
+    """``keys, x``: one row per entry.
+
+    Plain ``explode`` makes Spark infer a filter on the array's size and push it below the tokens; these would then be
+    computed anew for each entry of each array that is built from them. The outer form has no such filter.
+    """
+    return rows.select(*keys, F.explode_outer(array).alias("x")).filter("x IS NOT NULL")
+
+
+def _starts(first: list[str] | None) -> Column:
+    """Positions from 0; with ``first`` only those whose token is one of them."""
+    every = F.when(F.col("_size") > 0, F.sequence(F.lit(0), F.col("_size") - 1)).otherwise(F.array().cast("array<int>"))
+    return every if first is None else F.filter(every, lambda p: F.array_contains(F.lit(first), F.get("_tokens", p)))
+
+
+def _span(p: Column, n: Column) -> Column:
+    return F.array_join(F.slice("_tokens", p + 1, n), " ")
+
+
 def ngrams(texts: DataFrame, keys: list[str], longest: int, first: list[str] | None = None) -> DataFrame:
     """``keys, p, n, span``: all token spans of 1 to ``longest`` tokens; with ``first`` only those that begin with one of them."""
-    tok = F.col("_tokens")
-    starts = F.filter(F.sequence(F.lit(0), F.size(tok) - 1), lambda p: F.array_contains(F.lit(first), F.get(tok, p))) if first is not None else F.sequence(F.lit(0), F.size(tok) - 1)
-    spans = F.flatten(
-        F.transform(
-            starts,
-            lambda p: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(tok) - p)), lambda n: F.struct(p.alias("p"), n.alias("n"), F.array_join(F.slice(tok, p + 1, n), " ").alias("span"))),
-        )
-    )
-    rows = texts.select(*keys, tokens(F.col("text")).alias("_tokens")).filter(F.size("_tokens") > 0)
-    return rows.select(*keys, F.explode(spans).alias("x")).select(*keys, "x.p", "x.n", "x.span")
+    sizes = lambda p: F.sequence(F.lit(1), F.least(F.lit(longest), F.col("_size") - p))
+    spans = F.flatten(F.transform(_starts(first), lambda p: F.transform(sizes(p), lambda n: F.struct(p.alias("p"), n.alias("n"), _span(p, n).alias("span")))))
+    return _each(_tokens(texts, keys), keys, spans).select(*keys, "x.p", "x.n", "x.span")
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a phrase table of known size if it is small."""
+    return F.broadcast(df) if rows <= BROADCAST_PHRASES else df
+
+
+def _limits(phrases: DataFrame) -> tuple[int | None, int]:
+    row = phrases.agg(F.max("max_tokens").alias("k"), F.count("*").alias("n")).first()
+    return None if row["k"] is None else min(row["k"], MAX_PHRASE_TOKENS), row["n"]
 
 
 def dictionary_candidates(texts: DataFrame, keys: list[str], phrases: DataFrame) -> DataFrame:
-    """``keys, p, n, span, canonical``: spans that are phrases or absorbers (null canonical)."""
-    limits = phrases.agg(F.max("max_tokens").alias("k"), F.slice(F.collect_set(F.split("phrase", " ")[0]), 1, FIRST_TOKENS + 1).alias("first")).first()
-    if limits["k"] is None:
+    """``keys, p, n, span, canonical``: spans that are phrases or absorbers (null canonical).
+
+    Only positions whose token begins a phrase become spans, whatever the vocabulary's size. The phrases are the side
+    that is broadcast, and only up to BROADCAST_PHRASES.
+    """
+    longest, n = _limits(phrases)
+    if longest is None:
         return texts.select(*keys, F.lit(0).alias("p"), F.lit(0).alias("n"), F.lit("").alias("span"), F.lit("").alias("canonical")).limit(0)
-    first = sorted(limits["first"]) if len(limits["first"]) <= FIRST_TOKENS else None
-    spans = ngrams(texts, keys, min(limits["k"], MAX_PHRASE_TOKENS), first)
-    return spans.join(phrases.select(F.col("phrase").alias("span"), "canonical"), "span").select(*keys, "p", "n", "span", "canonical")
+    head = phrases.select(F.split("phrase", " ")[0].alias("_first")).distinct()
+    first = sorted(r[0] for r in head.limit(FIRST_TOKENS + 1).collect())
+    if len(first) <= FIRST_TOKENS:
+        spans = ngrams(texts, keys, longest, first)
+    else:
+        window = lambda p: F.struct(p.alias("p"), F.slice("_tokens", p + 1, F.lit(longest)).alias("w"))
+        places = _each(_tokens(texts, keys), keys, F.transform(_starts(None), window))
+        places = places.select(*keys, "x.p", "x.w", F.get("x.w", F.lit(0)).alias("_first")).join(_small(head, n), "_first", "left_semi")
+        sizes = F.sequence(F.lit(1), F.size("w"))
+        spans = places.select(*keys, "p", F.explode(F.transform(sizes, lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", F.lit(1), n), " ").alias("span")))).alias("x")).select(*keys, "p", "x.n", "x.span")
+    return spans.join(_small(phrases.select(F.col("phrase").alias("span"), "canonical"), n), "span").select(*keys, "p", "n", "span", "canonical")
+
+
+TAKEN = "array<struct<p:int,n:int,span:string,canonical:string>>"
+
+
+def _take(candidates: Column) -> Column:
+    """The spans that a scan from the left takes of candidates sorted by place and, longest first, length; absorbed ones dropped."""
+
+    def step(s: Column, x: Column) -> Column:
+        full = F.size(s["run"]) >= RUN
+        run = F.concat(F.when(full, F.array().cast(TAKEN)).otherwise(s["run"]), F.array(x))
+        done = F.when(full, F.concat(s["done"], F.array(s["run"]))).otherwise(s["done"])
+        kept = F.struct((x["p"] + x["n"]).alias("next"), F.when(x["canonical"].isNull(), s["run"]).otherwise(run).alias("run"), F.when(x["canonical"].isNull(), s["done"]).otherwise(done).alias("done"))
+        return F.when(x["p"] >= s["next"], kept).otherwise(s)
+
+    start = F.struct(F.lit(0).alias("next"), F.array().cast(TAKEN).alias("run"), F.array().cast(f"array<{TAKEN}>").alias("done"))
+    return F.aggregate(candidates, start, step, lambda s: F.flatten(F.concat(s["done"], F.array(s["run"]))))
 
 
 def leftmost_longest(texts: DataFrame, keys: list[str], phrases: DataFrame) -> DataFrame:
-    """``keys, p, n, span, canonical``: the spans that a scan from the left takes, longest first, absorbed ones dropped."""
-    found = dictionary_candidates(texts, keys, phrases)
-    ordered = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("p", (-F.col("n")).alias("m"), "span", "canonical"))).alias("c"))
-    taken = F.aggregate(
-        "c",
-        F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<p:int,m:int,span:string,canonical:string>>").alias("kept")),
-        lambda s, x: F.when(x["p"] >= s["next"], F.struct((x["p"] - x["m"]).alias("next"), F.when(x["canonical"].isNull(), s["kept"]).otherwise(F.concat(s["kept"], F.array(x))).alias("kept"))).otherwise(s),
-        lambda s: s["kept"],
-    )
-    return ordered.select(*keys, F.explode(taken).alias("x")).select(*keys, "x.p", (-F.col("x.m")).alias("n"), "x.span", "x.canonical")
+    """``keys, p, n, span, canonical``: the spans that a scan from the left takes, longest first, absorbed ones dropped.
+
+    Up to INLINE_PHRASES phrases are looked up where the text is, without any shuffle; ``keys`` may then repeat. For
+    more, candidates are joined and brought back together by ``keys``, which must name one text each.
+    """
+    longest, n = _limits(phrases)
+    if longest is None or n > INLINE_PHRASES:
+        found = dictionary_candidates(texts, keys, phrases)
+        ordered = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("p", (-F.col("n")).alias("m"), "span", "canonical"))).alias("c"))
+        rows = ordered.select(*keys, _take(F.transform("c", lambda x: F.struct(x["p"].alias("p"), (-x["m"]).alias("n"), x["span"].alias("span"), x["canonical"].alias("canonical")))).alias("taken"))
+    else:
+        known = {r["phrase"]: r["canonical"] for r in phrases.select("phrase", "canonical").collect()}
+        names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair)) if any(known.values()) else F.lit(None).cast("map<string,string>")
+        options = lambda p: F.transform(F.sequence(F.least(F.lit(longest), F.col("_size") - p), F.lit(1), F.lit(-1)), lambda n: F.struct(p.alias("p"), n.alias("n"), _span(p, n).alias("span")))
+        best = F.transform(_starts(sorted({x.split(" ")[0] for x in known})), lambda p: F.get(F.filter(options(p), lambda x: F.array_contains(F.lit(list(known)), x["span"])), F.lit(0)))
+        best = F.transform(F.filter(best, lambda x: x.isNotNull()), lambda x: F.struct(x["p"].alias("p"), x["n"].alias("n"), x["span"].alias("span"), F.try_element_at(names, x["span"]).alias("canonical")))
+        rows = _tokens(texts, keys).select(*keys, _take(best).alias("taken"))
+    return _each(rows, keys, "taken").select(*keys, "x.p", "x.n", "x.span", "x.canonical")
 
 
 def matched_spans(spans: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators import matching, vocabulary
 from ..sources import documents as source
+from ..sources.documents import scratch
 from . import fixtures as fx
 from .registry import query
 
@@ -37,6 +41,68 @@ def s9_write_nested_json(spark, sf):
     return fx.table(spark, sf, "events").select("event_id", F.to_json(F.struct("event_type", F.struct(F.col("user_id").alias("id")).alias("user"))).alias("document"))
 
 
+def _files(spark):
+    return scratch(spark, "files")
+
+
+@query("SELECT DISTINCT p_name AS name, p_type AS category FROM part")
+def s2_scan_vocab_tech(spark, sf):
+    path = _files(spark)
+    rows = fx.table(spark, sf, "part").select(F.col("p_name").alias("Example"), F.col("p_type").alias("Commodity Title")).distinct()
+    rows.write.option("sep", "\t").option("header", True).csv(path)
+    return source.scan_vocab_tech(spark, path)
+
+
+@query("SELECT p_name AS name FROM part UNION SELECT c_name FROM customer")
+def s3_scan_vocab_elements(spark, sf):
+    paths = [_files(spark), _files(spark)]
+    for path, table, column in zip(paths, ("part", "customer"), ("p_name", "c_name"), strict=True):
+        fx.table(spark, sf, table).select(F.col(column).alias("Element Name")).write.option("sep", "\t").option("header", True).csv(path)
+    return source.scan_vocab_elements(spark, paths)
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY p_type) - 1 AS INT) AS row_idx, p_type AS name FROM (SELECT DISTINCT p_type FROM part)")
+def s4_scan_vocab_titles(spark, sf):
+    path = _files(spark)
+    names = fx.table(spark, sf, "part").agg(F.to_json(F.sort_array(F.collect_set("p_type"))).alias("value"))  # kinds of parts are few
+    names.write.text(path)
+    return source.scan_vocab_titles(spark, path)
+
+
+def _zipped(rows, members):
+    """Each row's text as a ZIP file: ``doc_id, content``. Members are names and data; without data they hold the text."""
+
+    def pack(batches):
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w") as z:
+                    for name, held in members:
+                        z.writestr(zipfile.ZipInfo(name), (text or "") if held is None else held)
+                out.append(data.getvalue())
+            yield batch.assign(content=out)[["doc_id", "content"]]
+
+    return rows.select("doc_id", "text").mapInPandas(pack, "doc_id long, content binary")
+
+
+@query("""SELECT doc_id, 'p1-b1' AS block_id, 1 AS page, nullif(string_agg(x, chr(10) ORDER BY i) FILTER (trim(x, chr(32) || chr(9) || chr(13)) <> ''), '') AS text,
+CASE WHEN coalesce(bool_or(trim(x, chr(32) || chr(9) || chr(13)) <> ''), false) THEN NULL ELSE 'Resume DOCX contains no extractable text' END AS reason FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents) GROUP BY doc_id""")
+def s6_docx_blocks(spark, sf):
+    clean = fx.documents(spark, sf).select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\r"), F.lit("&#13;"))).alias("lines"))
+    body = F.concat(F.lit('<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'), F.array_join(F.transform("lines", lambda t: F.concat(F.lit('<w:p><w:r><w:t xml:space="preserve">'), t, F.lit("</w:t></w:r></w:p>"))), ""), F.lit("</w:body></w:document>"))
+    return source.docx_blocks(_zipped(clean.select("doc_id", body.alias("text")), (("word/document.xml", None),)))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS archive_id, n AS entry_name, CASE WHEN n = 'cv.txt' THEN sha256(t) END AS content,
+CASE WHEN n = '../up.txt' THEN 'ZIP entry has an unsafe path' WHEN n = 'in.ZIP' THEN 'Nested ZIP archives are not supported' END AS reason
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), (VALUES ('cv.txt'), ('../up.txt'), ('in.ZIP')) v(n)""")
+def s11_archive_entries(spark, sf):
+    members = (("cv.txt", None), ("../up.txt", "x"), ("in.ZIP", "x"))
+    rows = source.archive_entries(_zipped(fx.documents(spark, sf), members).select(F.col("doc_id").alias("archive_id"), "content"))
+    return rows.select("archive_id", "entry_name", F.sha2("content", 256).alias("content"), "reason")
+
+
 NAMED_SQL = """named AS (SELECT CAST(p_partkey % 3 AS INT) AS source_rank, p_partkey AS row_idx, p_name AS name, p_brand AS category FROM part
   UNION ALL SELECT 3, c_custkey, c_mktsegment, c_name FROM customer)"""
 SKILLS_SQL = f"""{NAMED_SQL},
@@ -55,6 +121,14 @@ def v1_vocab_first_wins(spark, sf):
     return vocabulary.first_wins(_named(spark, sf))
 
 
+@query(f"WITH {SKILLS_SQL} SELECT key, name, category FROM skills")
+def s12_vocab_table_write(spark, sf):
+    path = _files(spark)
+    skills = vocabulary.first_wins(_named(spark, sf))
+    source.write_vocabulary(skills, skills.select(F.col("key").alias("alias"), F.col("name").alias("canonical")), path)
+    return spark.read.parquet(f"{path}/skills").join(spark.read.parquet(f"{path}/aliases").select(F.col("alias").alias("key")), "key", "left_semi")
+
+
 ALIASED_SQL = f"""{SKILLS_SQL}, cur AS (SELECT min(p_partkey) AS row_idx, p_brand AS name FROM part GROUP BY p_brand),
 own AS (SELECT {fx.fold_sql('a')} AS alias, name AS canonical, 0 AS rank, CAST(row_idx AS VARCHAR) AS idx FROM cur, unnest([name, 'maker ' || name, split_part(name, '#', 1)]) u(a)),
 candidates AS (SELECT * FROM own UNION ALL SELECT key, name, 1, key FROM skills)"""
@@ -97,21 +171,25 @@ def v6_category_lookup(spark, sf):
     return vocabulary.category_lookup(names, vocabulary.first_wins(_named(spark, sf)))
 
 
-@query(f"WITH {SKILLS_SQL} SELECT key AS phrase FROM skills WHERE array_to_string({fx.tokens_sql('key')}, ' ') <> key")
+LABELS_SQL = "SELECT lower(p_brand) || CASE WHEN p_partkey % 3 = 0 THEN ' & ' ELSE ' ' END || p_name AS key FROM part"
+
+
+@query(f"WITH l AS ({LABELS_SQL}) SELECT key AS phrase FROM l WHERE array_to_string({fx.tokens_sql('key')}, ' ') <> key")
 def v7_vocab_lint(spark, sf):
-    return vocabulary.lint(vocabulary.first_wins(_named(spark, sf)).select(F.col("key").alias("phrase")))
+    joint = F.when(F.col("p_partkey") % 3 == 0, " & ").otherwise(" ")
+    return vocabulary.lint(fx.table(spark, sf, "part").select(F.concat(F.lower("p_brand"), joint, "p_name").alias("phrase")))
 
 
 @query(f"SELECT doc_id, {fx.tokens_sql('text')} AS tokens FROM documents")
 def m1_tokenise(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("tokens"))
+    return fx.documents(spark, sf).select("doc_id", tokens(F.col("text")).alias("tokens"))
 
 
 @query(f"""WITH tok AS (SELECT doc_id, {fx.tokens_sql('text')} AS t FROM documents), pos AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS p FROM tok),
 g AS (SELECT doc_id, n, array_to_string(t[p:p + n - 1], ' ') AS span FROM pos, range(1, 4) r(n) WHERE p + n - 1 <= len(t))
 SELECT doc_id, CAST(n AS INT) AS n, count(*) AS spans, count(DISTINCT span) AS distinct_spans FROM g GROUP BY ALL""")
 def m2_ngrams(spark, sf):
-    rows = matching.ngrams(fx.table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], 3)
+    rows = matching.ngrams(fx.documents(spark, sf), ["doc_id"], 3)
     return rows.groupBy("doc_id", "n").agg(F.count("*").alias("spans"), F.countDistinct("span").alias("distinct_spans"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import FOLDS
 from ..operators import assessment, matching, vocabulary
+from ..sources.documents import spread
 
 #: phrase, canonical name; the last two are absorbers. All occur in the given documents.
 VOCABULARY = (
@@ -22,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p, c) for p, c in VOCABULARY if c], "alias string, canonical string")
 
@@ -37,13 +42,13 @@ def categories(spark: SparkSession) -> DataFrame:
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut at line feeds: ``doc_id, block_pos, block_id, text``."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
     return rows.select("doc_id", (F.col("i") + 1).alias("block_pos"), F.concat(F.lit("p"), F.col("i") + 1, F.lit("-b1")).alias("block_id"), "text")
 
 
 def nested_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split("text", "\n")
-    return table(spark, sf_dir, "documents").select("doc_id", F.transform(lines, lambda t, i: F.struct(F.concat(F.lit("p"), i + 1, F.lit("-b1")).alias("id"), t.alias("text"))).alias("blocks"))
+    return documents(spark, sf_dir).select("doc_id", F.transform(lines, lambda t, i: F.struct(F.concat(F.lit("p"), i + 1, F.lit("-b1")).alias("id"), t.alias("text"))).alias("blocks"))
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
 from ..operators import integrity, ranking
@@ -47,9 +44,9 @@ def l5_search_candidates(spark, sf):
     return ranking.search_candidates(_people(spark, sf), " Building1").select("user_id")
 
 
-@query("SELECT p_partkey AS job_id, p_name AS title FROM part WHERE contains(lower(p_name), '1')")
+@query("SELECT p_partkey AS job_id, p_name AS title FROM part WHERE contains(lower(p_name), 'bolt')")
 def l6_search_jobs(spark, sf):
-    return ranking.search_jobs(fx.table(spark, sf, "part").select(F.col("p_partkey").alias("job_id"), F.col("p_name").alias("title")), "1")
+    return ranking.search_jobs(fx.table(spark, sf, "part").select(F.col("p_partkey").alias("job_id"), F.col("p_name").alias("title")), " Bolt")
 
 
 @query(f"{fx.EVALUATED_SQL} SELECT n_regionkey AS org_id, job_id, count(*) AS n, count(*) FILTER (eligibility = 'eligible') AS eligible, count(*) FILTER (eligibility = 'needs_review') AS needs_review, max(score) AS top_score FROM evaluations JOIN nation ON n_nationkey = job_id GROUP BY ROLLUP (n_regionkey, job_id)")
@@ -112,11 +109,11 @@ def q1_visible_rows(spark, sf):
     return integrity.visible_rows(_org_rows(spark, sf), _members(spark, sf), 11)
 
 
-@query(f"WITH {MEMBERS_SQL}, u AS (SELECT min(user_id) AS id FROM members WHERE role = 'recruiter') SELECT s_suppkey, n_regionkey AS org_id, n_regionkey IN (SELECT org_id FROM members WHERE user_id = 3 AND role = 'owner') AS owned FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey IN (SELECT org_id FROM members WHERE user_id = 3 AND role IN ('owner', 'recruiter'))")
+@query(f"WITH {MEMBERS_SQL}, u AS (SELECT min(user_id) AS id FROM members WHERE role = 'recruiter') SELECT s_suppkey, n_regionkey AS org_id, n_regionkey IN (SELECT org_id FROM members WHERE user_id = 27 AND role = 'owner') AS owned FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey IN (SELECT org_id FROM members WHERE user_id = 27 AND role IN ('owner', 'recruiter'))")
 def q2_writable_rows(spark, sf):
     rows, members = _org_rows(spark, sf), _members(spark, sf)
-    owned = integrity.writable_rows(rows, members, 3, owner_only=True).select("s_suppkey", F.lit(True).alias("owned"))
-    return integrity.writable_rows(rows, members, 3).join(owned, "s_suppkey", "left").fillna({"owned": False})
+    owned = integrity.writable_rows(rows, members, 27, owner_only=True).select("s_suppkey", F.lit(True).alias("owned"))
+    return integrity.writable_rows(rows, members, 27).join(owned, "s_suppkey", "left").fillna({"owned": False})
 
 
 @query(f"WITH {MEMBERS_SQL} SELECT m.user_id, org_id, role, c_name AS name, lower(c_mktsegment) || c_custkey || '@example.org' AS email FROM members m JOIN customer ON c_custkey = user_id")
@@ -166,8 +163,7 @@ def q8_invitation_lookup(spark, sf):
 
 def _streamed(spark, sf, name, each, before=lambda stream: stream):
     """Run ``each`` over the batches of the table as a stream, changed by ``before``; return all that they wrote."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    target = f"{root.rstrip('/')}/stream-{uuid4().hex}"
+    target = source.scratch(spark, "stream")
     # a pattern, as the table may be one file or a folder
     stream = jobs.file_stream(spark, f"{sf}/[{name[0]}]{name[1:]}.parquet", fx.table(spark, sf, name).schema)
     jobs.stream_facts(before(stream), each, f"{target}/out", f"{target}/state")
@@ -190,7 +186,7 @@ def k1_stream_facts(spark, sf):
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def k2_stream_dedupe(spark, sf):
-    once = lambda stream: jobs.stream_dedupe(stream.withColumn("ts", F.col("ts").cast("timestamp")), ["user_id", "event_type"], late="3650 days")
+    once = lambda stream: jobs.stream_dedupe(stream.withColumn("ts", F.col("ts").cast("timestamp")), ["user_id", "event_type"], late="400 days")
     return _streamed(spark, sf, "events", lambda batch: batch.select("user_id", "event_type"), once)
 
 
@@ -204,7 +200,9 @@ def k3_stream_fanout(spark, sf):
 def k4_stream_upsert_candidate(spark, sf):
     current = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("candidate_id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, "old").alias("email"), F.lit(None).cast("string").alias("location"))
     found = lambda batch: batch.select(F.col("o_custkey").alias("candidate_id"), F.lit("new").alias("name"), F.col("o_orderpriority").alias("email"), F.col("o_orderstatus").alias("location"))
-    return jobs.upsert_contacts(current, _streamed(spark, sf, "orders", found))
+    target = source.scratch(spark, "upsert")
+    stream = jobs.file_stream(spark, f"{sf}/[o]rders.parquet", fx.table(spark, sf, "orders").schema)
+    return jobs.stream_upsert(stream, found, current, target)
 
 
 STATUS_SQL = "CASE event_type WHEN 'signup' THEN 'ready' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END"
@@ -220,7 +218,9 @@ def _log(rows):
 
 @query(f"WITH {STATES_SQL} SELECT * FROM states")
 def k5_job_state(spark, sf):
-    return jobs.job_state(_log(fx.table(spark, sf, "events")))
+    target = source.scratch(spark, "states")
+    stream = jobs.file_stream(spark, f"{sf}/[e]vents.parquet", fx.table(spark, sf, "events").schema)
+    return jobs.stream_states(_log(stream), target)
 
 
 @query("""SELECT event_id AS job_id, CAST(event_id % 10 AS INT) AS attempt, CAST(ts AS TIMESTAMP) AS failed_at, event_id % 4 > 0 AS retryable, CASE WHEN event_id % 4 > 0 AND event_id % 10 < 9 THEN 'ready' ELSE 'dead' END AS next_state,

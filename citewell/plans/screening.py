@@ -141,9 +141,9 @@ def a11_validate_requirement(spark, sf):
     return fx.table(spark, sf, "part").select("p_partkey", admission.validate_requirement(kind, F.col("p_size") - 3).alias("valid"))
 
 
-@query("SELECT p_partkey, coalesce(CASE WHEN p_partkey % 2 = 0 THEN p_size END, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END) AS weight FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN 3 * p_size - 6 BETWEEN 1 AND 100 THEN 3 * p_size - 6 END WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS weight FROM part")
 def a12_default_weight(spark, sf):
-    kind, weight = F.when(F.col("p_partkey") % 3 == 0, "required").otherwise("preferred"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size"))
+    kind, weight = F.when(F.col("p_partkey") % 3 == 0, "required").otherwise("preferred"), F.when(F.col("p_partkey") % 2 == 0, 3 * F.col("p_size") - 6)
     return fx.table(spark, sf, "part").select("p_partkey", admission.default_weight(kind, weight).alias("weight"))
 
 

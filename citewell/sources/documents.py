@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import io
+import tempfile
+import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -11,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import BLANK
+from ..operators.admission import MAX_BYTES, MAX_FILES, MAX_TOTAL, entry_reason
 
 MAX_PAGES = 100
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -21,6 +25,22 @@ def scan_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``; a folder of this machine only where Spark runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows to all cores where the input has splits for less than half of them; a larger input stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def block_id(page: Column) -> Column:
     return F.concat(F.lit("p"), page.cast("string"), F.lit("-b1"))
 
@@ -68,18 +88,43 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", block_id(F.col("page")).alias("block_id"), "page", text.alias("text"), reason.alias("reason"))
 
 
+def _entries(archive_id: str, content: bytes) -> list[tuple]:
+    whole = lambda reason: [(archive_id, None, None, None, None, None, reason)]
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content or b""))
+    except zipfile.BadZipFile:
+        return whole("Resume ZIP file is malformed")
+    with archive:
+        listed = [e for e in archive.infolist() if not e.is_dir()]
+        if len(listed) > MAX_FILES:
+            return whole("Resume ZIP exceeds 500 files")
+        if sum(e.file_size for e in listed) > MAX_TOTAL:
+            return whole("Resume ZIP exceeds 500 MB uncompressed")
+        rows = []
+        for e in listed:
+            data, reason = None, entry_reason(e.filename, e.external_attr, e.compress_size, e.file_size)
+            if reason is None and e.file_size <= MAX_BYTES:
+                try:
+                    data = archive.read(e)
+                except (RuntimeError, NotImplementedError, zipfile.BadZipFile, zlib.error):  # encrypted, of an unknown method, damaged
+                    reason = "Resume ZIP file is malformed"
+            rows.append((archive_id, e.filename, e.compress_size, e.file_size, e.external_attr, data, reason))
+    return rows
+
+
 def archive_entries(archives: DataFrame) -> DataFrame:
-    """``archive_id, content`` of ZIP files -> one row per entry that is no folder; a bad archive is one row with a reason."""
+    """``archive_id, content`` of ZIP files -> one row per entry that is no folder; a bad archive is one row with a reason.
+
+    What the archive's own directory tells is judged before anything is inflated: an archive of too many or too large
+    entries is one row with a reason, and an entry that is refused by name, kind or ratio, is encrypted or damaged, or
+    is larger than a document may be, comes without content.
+    """
     schema = "archive_id string, entry_name string, compress_size long, file_size long, external_attr long, content binary, reason string"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for archive_id, content in zip(batch["archive_id"], batch["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        rows = [(archive_id, e.filename, e.compress_size, e.file_size, e.external_attr, z.read(e), None) for e in z.infolist() if not e.is_dir()]
-                except zipfile.BadZipFile:
-                    rows = [(archive_id, None, None, None, None, None, "Resume ZIP file is malformed")]
+                rows = _entries(archive_id, content)
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
     return archives.select(F.col("archive_id").cast("string").alias("archive_id"), "content").mapInPandas(read, schema)
@@ -113,6 +158,12 @@ def write_nested_json(rows: DataFrame, column: str, path: str) -> None:
     rows.select(F.to_json(column).alias("value")).write.text(path)
 
 
+def write_csv(ranked: DataFrame, path: str) -> None:
+    """The export of all jobs as CSV files with a header, in the order of job and place over all files."""
+    rows = ranked.orderBy("job_id", "place")
+    export_csv(rows).write.option("header", True).option("emptyValue", "").csv(path)
+
+
 def export_csv(ranked: DataFrame) -> DataFrame:
     """The ranked list as text columns, null as empty."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

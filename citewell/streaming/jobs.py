@@ -15,9 +15,9 @@ def file_stream(spark: SparkSession, path: str, schema, per_trigger: int | None
     return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(path)
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Hand all that is there to ``each`` batch by batch and stop; a restart goes on after the last finished batch."""
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -48,6 +48,37 @@ def upsert_contacts(current: DataFrame, found: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"new_{c}")) for c in fields}).drop(*(f"new_{c}" for c in fields))
 
 
+def stream_upsert(stream: DataFrame, found: Callable[[DataFrame], DataFrame], current: DataFrame, target: str) -> DataFrame:
+    """Fill null contact fields batch by batch; the table after the last one.
+
+    Version 0 is ``current``; batch n writes version n + 1 from version n, so that a repeated batch gives the same table.
+    """
+    spark = stream.sparkSession
+    current.write.mode("ignore").parquet(f"{target}/version=0")
+    last = [0]
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(current.schema).parquet(f"{target}/version={number}")
+        upsert_contacts(before, found(batch)).write.mode("overwrite").parquet(f"{target}/version={number + 1}")
+        last[0] = number + 1
+
+    run_available(stream, write, f"{target}/state")
+    return spark.read.schema(current.schema).parquet(f"{target}/version={last[0]}")
+
+
+def stream_states(events: DataFrame, target: str) -> DataFrame:
+    """``job_state`` of a stream, kept up to date batch by batch; the states after the last one."""
+    spark = events.sparkSession
+    states, last = job_state(events), [0]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        last[0] = number
+
+    run_available(states, write, f"{target}/state", "complete")
+    return spark.read.schema(states.schema).parquet(f"{target}/batch={last[0]}")
+
+
 def job_state(events: DataFrame, max_attempts: int = 3) -> DataFrame:
     """``job_id, state, attempts, last_error``: the state after each job's last event; failures count as attempts.
 

@@ -10,7 +10,7 @@ from citewell.streaming import jobs
 
 def package(**files) -> bytes:
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, data in files.items():
             z.writestr(name.replace("__", "/"), data)
     return out.getvalue()
@@ -27,13 +27,24 @@ def test_docx_and_text_blocks(spark):
 
 
 def test_archive_entries_and_reasons(spark):
-    archive = package(**{"valid.txt": "x", "unsafe__..__resume.txt": "x", "readme.md": "x"})
-    rows = source.archive_entries(spark.createDataFrame([("z", archive), ("bad", b"x")], "archive_id string, content binary"))
+    archive = package(**{"letter.txt": "dear all", "..__above.txt": "up", "photo.png": "p", "inner.Zip": "z", "zeros.txt": "0" * 100_000})
+    many = package(**{f"f{i}.txt": "" for i in range(501)})
+    rows = source.archive_entries(spark.createDataFrame([("z", archive), ("bad", b"x"), ("many", many)], "archive_id string, content binary"))
+    assert rows.filter("archive_id = 'many'").first()["reason"] == "Resume ZIP exceeds 500 files"
+    rows = rows.filter("archive_id <> 'many'")
     reason = admission.zip_entry_reason(*(F.col(c) for c in ("entry_name", "external_attr", "compress_size", "file_size")))
     docx = F.lit(None).cast("string")
     own = admission.admit_document(admission.media_type_for_name(F.col("entry_name")), F.col("entry_name"), F.col("file_size"), F.col("content"), docx)
     found = {r["entry_name"]: r["x"] for r in rows.select("entry_name", F.coalesce("reason", reason, own).alias("x")).collect()}
-    assert found == {None: "Resume ZIP file is malformed", "valid.txt": None, "unsafe/../resume.txt": "ZIP entry has an unsafe path", "readme.md": "Resume must be a PDF, DOCX, or TXT file"}
+    assert found == {None: "Resume ZIP file is malformed", "letter.txt": None, "../above.txt": "ZIP entry has an unsafe path", "photo.png": "Resume must be a PDF, DOCX, or TXT file", "inner.Zip": "Nested ZIP archives are not supported", "zeros.txt": "ZIP entry has a suspicious compression ratio"}
+
+
+def test_a_bomb_is_not_inflated(monkeypatch):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("bomb.txt", "0" * 30_000_000)
+    monkeypatch.setattr(zipfile.ZipFile, "read", lambda *_: 1 / 0)
+    assert source._entries("a", data.getvalue())[0][5:] == (None, "ZIP entry has a suspicious compression ratio")
 
 
 def test_vocabulary_files(spark, tmp_path):
