@@ -9,6 +9,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_roots: dict[str, str] = {}
 
 
@@ -33,11 +34,16 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Cuts the lineage with a copy that survives executors, and gives Spark the table's true size, so that a later join
     broadcasts it only below ``spark.sql.autoBroadcastJoinThreshold`` and else shuffles both sides, where AQE can split
-    a skewed key.
+    a skewed key. The write's shuffle files are of no use afterwards and go at once.
     """
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

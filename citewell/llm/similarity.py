@@ -29,6 +29,8 @@ BLOCK_DOCS, BLOCK_TOKENS = 64, 1_000_000
 #: Groups that share a prefix shingle and meet in pairs; more are connected through pivots.
 LIST = 64
 UNRANKED = 1 << 60
+#: Of each document's shingles so many times the prefix's share are ranked; what a prefix lacks comes in hash order.
+RANKED = 1.4
 SKETCH = "doc_id long, n long, s1 long, s2 long, ranked long, low array<long>"
 
 
@@ -55,7 +57,7 @@ def prefix_size(n: Column | int, percent: int):
 
 def sketch(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Per row: set size, signature and the lowest hashes: all below the cut (``ranked``), and more up to the prefix size."""
-    cut = np.uint64(min(2**63 - 1, int(2**63 * 2 * (1 - percent / 100))))
+    cut = np.uint64(min(2**63 - 1, int(2**63 * RANKED * (1 - percent / 100))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
