@@ -28,8 +28,8 @@ K1, B = 1.2, 0.75
 INDEX_WORDS = 2_000_000
 BLOCK_ITEMS = 8
 MOST_CACHED = 500_000
-#: Known words, and postings or block entries, that are worked on together; these bound memory and change no result.
-BATCH_WORDS, BATCH_ENTRIES = 100_000, 4_000_000
+#: Words, postings or block entries, and texts that are worked on together; these bound memory and change no result.
+BATCH_WORDS, BATCH_ENTRIES, BATCH_TEXTS = 50_000, 1_000_000, 500
 #: No item's threshold is less than this share of its own score.
 LEAST_SHARE = 0.05
 HITS = "doc_id long, item_id long, n_shingles long, n_matched long, n_question long, n_answer long, bm25 double"
@@ -273,6 +273,10 @@ def _searches(benchmark: DataFrame, k: int, percent: int, part_percent: int, thr
     return searches
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, BATCH_TEXTS) for batch in batches for at in range(0, len(batch), BATCH_TEXTS))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, part_percent: int = 50, threshold: float = 0.5) -> DataFrame:
     """All pairs of a document and a test item that it contains: HITS, with the item's shingles and those matched.
 
@@ -290,7 +294,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int
     for search in _searches(benchmark, k, percent, part_percent, threshold):
 
         def query(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _slices(batches):
                 doc_ids = batch.column(0).to_pylist()
                 found = [(doc_ids[r[0]], *r[1:]) for r in search(batch.column(1).to_pylist())]
                 if found:
@@ -312,7 +316,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent
     for search in _searches(benchmark, k, percent, part_percent, threshold):
 
         def clean(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _slices(batches):
                 leaks = {r[0] for r in search([None if t is None else t.encode() for t in batch.column(at).to_pylist()])}
                 yield batch.filter(pa.array([i not in leaks for i in range(len(batch))], pa.bool_()))
 
