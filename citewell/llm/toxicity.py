@@ -40,6 +40,10 @@ PIECE, OVERLAP = 64, 32
 #: Longer tokens and their parts are not cached.
 LONGEST_CACHED = 40
 MOST_CACHED = 500_000
+#: Cached log probabilities of a character after a state.
+MOST_KNOWN = 200_000
+#: Nearly every token becomes this; one object for all, as an empty frozenset of its own takes 216 bytes.
+NOTHING: frozenset[str] = frozenset()
 MOST_WORDS = 200_000
 SHORTEST, LONGEST = 5, 7
 SPARED = 20
@@ -67,6 +71,8 @@ class CharModel:
             for n in range(ORDER):
                 context = state[len(state) - n :] if n else ""
                 p = (self.counts.get(context + c, 0) + 5 * p) / (self.context.get(context, 0) + 5)
+            if len(self.known) >= MOST_KNOWN:
+                self.known.clear()
             self.known[key] = math.log(p)
         return self.known[key]
 
@@ -165,7 +171,7 @@ class Restorer(dict):
 
     def __missing__(self, token: str):
         words = set(x.lower() for x in LETTERS.findall(token))
-        found = frozenset()
+        found = NOTHING
         if suspicious(token):
             parts = [x for x in BETWEEN.split(token) if x]
             cut = pieces(token)
@@ -176,7 +182,7 @@ class Restorer(dict):
             if len(parts) > 1 or len(cut) > 1:
                 for x in cut:
                     words.update(decode(x, self.model, spaced=True))
-        found = frozenset(self.keep(words)) | found
+        found = (frozenset(self.keep(words)) | found) or NOTHING
         if len(token) <= LONGEST_CACHED:
             if len(self) >= MOST_CACHED:
                 self.clear()
