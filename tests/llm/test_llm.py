@@ -351,6 +351,22 @@ def test_words_that_share_a_beginning_are_told_apart(spark):
     assert "scumba" in model.lexicon
 
 
+def test_caches_of_any_size_give_the_same_scores(monkeypatch):
+    rng = random.Random(5)
+    chars = toxicity.CharModel(Counter(g for w in ("idiot", "letter", "little", "boost") for g in toxicity.char_grams(w)))
+    model = toxicity.ToxicityModel(chars, {"idiot": (2.0, 3.0, 0.0)}, -3.0)
+    texts = ["", "1d10t i.d.i.o.t", *(" ".join("".join(rng.choice("idotle013.") for _ in range(rng.randrange(1, 9))) for _ in range(30)) for _ in range(40))]
+    scores = lambda: [model.score(restorer, t) for t in texts]
+    restorer = toxicity.Restorer(chars, model.keep)
+    whole = scores()
+    assert len(set(whole)) > 1 and restorer["letter"] is toxicity.NOTHING
+    monkeypatch.setattr(toxicity, "MOST_KNOWN", 7)
+    monkeypatch.setattr(toxicity, "MOST_CACHED", 5)
+    chars.known.clear()
+    restorer = toxicity.Restorer(chars, model.keep)
+    assert scores() == whole and len(chars.known) <= 7 and len(restorer) <= 5
+
+
 def test_viterbi_finds_the_best_of_all_readings(spark):
     """Against the enumeration of all readings of tokens of up to eight characters."""
     import math
