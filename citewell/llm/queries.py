@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, langid, lm_score, packing, quality, similarity, toxicity, urls, warc
+from . import chat, decontam, langid, lm_score, packing, quality, similarity, simhash, toxicity, urls, warc
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -157,6 +157,11 @@ def op1_bayesian_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.when(~is_page, found["id"]).alias("doc_id"), F.when(is_page, found["id"]).alias("page_id"), "lang", "text_lang", "posterior")
 
 
+@query
+def op11_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
