@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, langid, lm_score, packing, quality, similarity, simhash, toxicity, urls, warc
+from . import chat, collocations, decontam, langid, lm_score, packing, quality, runs, similarity, simhash, toxicity, urls, warc
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -162,6 +162,36 @@ def op11_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_phrase_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+p AS (SELECT lang, unnest(p) AS p FROM d),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+i AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM i),
+f AS MATERIALIZED (SELECT lang, k, phrase, lang || chr(9) || phrase AS key, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS s FROM f WHERE k >= 2 AND a >= 10),
+x AS (SELECT lang, k, phrase, a, j, array_to_string(s[1:j], ' ') AS first, array_to_string(s[j + 1:], ' ') AS rest FROM c, (VALUES (1), (2)) t(j) WHERE j < k),
+y AS (SELECT x.lang, x.k, x.phrase, x.a, j, b.a AS l, e.a AS r, (1000000 * x.a::HUGEINT * x.a) // (b.a::HUGEINT * e.a) AS score
+      FROM x JOIN f b ON b.key = x.lang || chr(9) || x.first JOIN f e ON e.key = x.lang || chr(9) || x.rest),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT lang, array_to_string(s[o:o + 1], ' ') AS phrase, max(a) AS longer FROM c, (VALUES (1), (2)) t(o) WHERE k = 3 GROUP BY ALL),
+q AS (SELECT z.* FROM z LEFT JOIN o ON o.lang = z.lang AND o.phrase = z.phrase WHERE longer IS NULL OR 100 * longer < 50 * a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM q)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM r JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest_runs(runs.periodic_runs(table(spark, sf_dir, "documents"), runs.planted))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

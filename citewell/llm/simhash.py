@@ -134,7 +134,9 @@ def trie_join(key: np.ndarray, side: np.ndarray, rotation: np.ndarray, v: np.nda
         cross = [np.stack([p[0], a, b, p[3]]), np.stack([a, p[1], p[2], b])[:, ~selves]]
         children = np.concatenate([*same, *cross], axis=1)
         left_err = np.concatenate([err, err, err + 1, err[~selves] + 1])
-        fits = (children[0] < children[1]) & (children[2] < children[3]) & (left_err <= ALLOWED[rotation[children[0]], depth + 1])
+        full = (children[0] < children[1]) & (children[2] < children[3])
+        children, left_err = children[:, full], left_err[full]
+        fits = left_err <= ALLOWED[rotation[children[0]], depth + 1]
         stack.append((depth + 1, children[:, fits], left_err[fits]))
     return label
 

@@ -68,6 +68,15 @@ def test_trie_join_connects_what_all_pairs_connect(seed):
     assert label == plain_components(fps)
 
 
+def test_empty_children_at_the_end():
+    """More pairs than a leaf holds, whose last node has no value with the next bit set."""
+    v = np.sort(np.array([(1 << 20) + (i << 3) for i in range(200)] + [(1 << 20) + (i << 3) + 1 for i in range(200)], np.uint64))
+    got = simhash.trie_join(np.zeros(len(v), int), np.zeros(len(v), int), np.zeros(len(v), int), v)
+    low = {int(x): plain for x, plain in zip(v, plain_components([int(x) for x in v]), strict=True)}
+    inside = [x for x in range(len(v)) if got[x] != x]
+    assert inside and all(low[int(v[x])] == low[int(v[got[x]])] for x in inside)
+
+
 @pytest.mark.parametrize("task_rows", [3, 10_000])
 def test_links_by_any_size_of_task(spark, task_rows):
     rng = random.Random(7)
