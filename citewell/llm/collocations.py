@@ -6,23 +6,28 @@
 3. Each shard is indexed twice, read forwards and backwards, by the Burrows-Wheeler transform over word numbers. A
    phrase is an interval in both; extending it by a word on either side narrows one interval by the transform's rank
    function and the other by counting smaller words. So all n-grams up to the depth come out, each with its count.
-4. Counts are summed over shards; cuts, scores and ranks are joins and windows on the frequent ones.
+4. Counts are summed over shards, one length after the other. A phrase is extended only if it may be frequent itself, by
+   a bit map of fixed size over the hashes of all frequent phrases of that length. A full map lets more phrases through
+   and loses none.
+5. Cuts, scores and ranks are joins and windows on the frequent phrases.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize
+from .common import materialize, mix
 
 #: Bytes of text that make a shard, and that a task holds for all languages.
-SHARD, HELD = 4_000_000, 16_000_000
+SHARD, HELD = 1_000_000, 4_000_000
 #: Windows that rank a language's candidates before the last one.
 SALTS = 64
+#: Bits of a map of frequent phrases, as a power of two: 8 MB.
+MAP_BITS = 26
 PARTING = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 SHARDS = "lang string, n long, words array<string>, counts array<long>, ids binary"
 
@@ -112,30 +117,63 @@ def extend(index: Index, lo: np.ndarray, hi: np.ndarray, other: np.ndarray, symb
     return owner, symbol, new, new + count, other[owner] + smaller
 
 
-def enumerate_ngrams(text: np.ndarray, symbols: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def enumerate_ngrams(text: np.ndarray, symbols: int, longest: int, maybe: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For 2 to ``longest`` words: a row of symbols per distinct n-gram without 0, and its count.
 
-    ``text`` begins and ends with 0. Even lengths are reached by extending to the left, odd ones to the right.
+    ``text`` begins and ends with 0. Even lengths are reached by extending to the left, odd ones to the right. ``maybe``
+    tells which phrases are worth to be extended; n-grams that hold one that isn't may be left out.
     """
     forward, backward = Index(text, symbols, longest), Index(text[::-1].copy(), symbols, longest)
     phrase = np.arange(1, symbols)[:, None]
     lo, hi, back = forward.start[1:-1], forward.start[2:], backward.start[1:-1]
     for n in range(2, longest + 1):
+        if maybe and n > 2:
+            good = maybe(phrase)
+            phrase, lo, hi, back = phrase[good], lo[good], hi[good], back[good]
         if n % 2 == 0:
             owner, symbol, lo, hi, back = extend(forward, lo, hi, back, symbols)
             phrase = np.concatenate([symbol[:, None], phrase[owner]], axis=1)
+            other = phrase[:, :-1]
         else:
             owner, symbol, b, e, lo = extend(backward, back, back + hi - lo, lo, symbols)
             phrase, hi, back = np.concatenate([phrase[owner], symbol[:, None]], axis=1), lo + e - b, b
+            other = phrase[:, 1:]
+        if maybe and n > 2:
+            good = maybe(other)
+            phrase, lo, hi, back = phrase[good], lo[good], hi[good], back[good]
         yield phrase, hi - lo
 
 
-def ngram_counts(numbered: DataFrame, longest: int) -> DataFrame:
-    """``w1 .. wk, a``: counts of all sequences of 2 to ``longest`` frequent words, summed over shards; -1 fills up.
+def _places(words: np.ndarray, map_bits: int) -> np.ndarray:
+    """The place in a bit map of each row of word numbers."""
+    h = np.zeros(len(words), np.uint64)
+    for c in range(words.shape[1]):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[:, c].astype(np.uint64) + np.uint64(1))
+    return h >> np.uint64(64 - map_bits)
+
+
+def bit_map(grams: DataFrame, names: list[str], map_bits: int = MAP_BITS) -> np.ndarray:
+    """A map of fixed size with the places of all rows of ``grams``; at most a row per 64 bits comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = _places(np.stack([batch.column(c).to_numpy() for c in names], axis=1), map_bits)
+            bit = (np.uint64(1) << (place & np.uint64(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array(bit)], names=["slot", "bits"])
+
+    found = grams.select(*names).mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (map_bits - 6), np.uint64)
+    out[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def ngram_counts(numbered: DataFrame, n: int, maps: dict, map_bits: int = MAP_BITS) -> DataFrame:
+    """``w1 .. wn, a``: counts of sequences of n frequent words, summed over shards.
 
     ``numbered(ids, known array<struct<i, id>>)``: a shard's places, and the global numbers of its frequent words.
+    ``maps``: length -> broadcast bit map of the frequent phrases.
     """
-    names = [f"w{i + 1}" for i in range(longest)]
+    names = [f"w{i + 1}" for i in range(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,11 +187,16 @@ def ngram_counts(numbered: DataFrame, longest: int) -> DataFrame:
                 local[i] = np.arange(1, len(i) + 1)  # the last entry is what -1 finds: 0
                 text = np.r_[0, local[ids], 0]
                 text = text[np.r_[True, (text[1:] > 0) | (text[:-1] > 0)]]
-                for phrase, count in enumerate_ngrams(text, len(i) + 1, longest):
-                    for cut in range(0, len(count), 50_000):
-                        some = phrase[cut : cut + 50_000]
-                        columns = [pa.array(word[some[:, c] - 1]) if c < some.shape[1] else pa.array(np.full(len(some), -1)) for c in range(longest)]
-                        yield pa.RecordBatch.from_arrays([*columns, pa.array(count[cut : cut + 50_000])], names=[*names, "a"])
+
+                def maybe(phrase: np.ndarray, word=word) -> np.ndarray:
+                    place = _places(word[phrase - 1], map_bits)
+                    return (maps[phrase.shape[1]].value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+
+                for phrase, count in enumerate_ngrams(text, len(i) + 1, n, maybe):
+                    if phrase.shape[1] == n:
+                        for cut in range(0, len(count), 50_000):
+                            some = word[phrase[cut : cut + 50_000] - 1]
+                            yield pa.RecordBatch.from_arrays([*(pa.array(some[:, c]) for c in range(n)), pa.array(count[cut : cut + 50_000])], names=[*names, "a"])
 
     found = numbered.select("ids", "known").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "a"]))
     return found.groupBy(*names).agg(F.sum("a").alias("a"))
@@ -164,7 +207,7 @@ def score(a: str, l: str, r: str):  # noqa: E741
     return F.expr(f"(CAST(1000000 AS DECIMAL(7, 0)) * CAST({a} AS DECIMAL(15, 0)) * CAST({a} AS DECIMAL(15, 0))) DIV (CAST({l} AS DECIMAL(15, 0)) * CAST({r} AS DECIMAL(15, 0)))")
 
 
-def collocations(docs: DataFrame, least: int = 10, longest: int = 3, percent: int = 50, top: int = 2000, shard_bytes: int = SHARD) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, longest: int = 3, percent: int = 50, top: int = 2000, shard_bytes: int = SHARD, map_bits: int = MAP_BITS) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's first ``top`` phrases of 2 to ``longest`` words.
 
     ``a`` counts a phrase within pieces (at least ``least``), ``l`` and ``r`` the parts of its lowest-scoring cut, ``n``
@@ -180,8 +223,14 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, percent: in
     frequent = words.groupBy("lang", "word").agg(F.sum("count").alias("f")).filter(F.col("f") >= least)
     frequent = materialize(frequent.withColumn("id", F.monotonically_increasing_id()))
     own = words.join(frequent.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("i", "id")).alias("known"))
-    numbered = held.select("shard", "ids").join(own, "shard")
-    grams = materialize(ngram_counts(numbered, longest).filter(F.col("a") >= least))
+    numbered = materialize(held.select("shard", "ids").join(own, "shard"))
+    grams, maps = None, {}
+    for n in range(2, longest + 1):
+        same = materialize(ngram_counts(numbered, n, maps, map_bits).filter(F.col("a") >= least))
+        if n < longest:
+            maps[n] = docs.sparkSession.sparkContext.broadcast(bit_map(same, names[:n], map_bits))
+        same = same.withColumns({c: F.lit(-1).cast("long") for c in names[n:]}).select(*names, "a")
+        grams = same if grams is None else grams.unionByName(same)
 
     single = frequent.select(F.col("id").alias("w1"), F.col("f").alias("a"))
     counts = single.withColumns({c: F.lit(-1).cast("long") for c in names[1:]}).select(*names, "a").unionByName(grams)

@@ -60,7 +60,13 @@ def test_intervals_give_the_counts_of_all_ngrams(longest):
         assert got == dict(want)
 
 
-@pytest.mark.parametrize(("shard_bytes", "longest"), [(40, 3), (10**6, 3), (300, 2), (300, 4)])
+def test_a_full_map_loses_nothing(spark):
+    rows = made(1, 150)
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    assert sorted(map(tuple, collocations.collocations(docs, least=3, top=60, map_bits=7).collect())) == plain(rows, 3, top=60)
+
+
+@pytest.mark.parametrize(("shard_bytes", "longest"), [(40, 3), (10**6, 2), (300, 4)])
 def test_made_texts(spark, shard_bytes, longest):
     rows = made(shard_bytes, 250)
     docs = spark.createDataFrame([(*r, "x") for r in rows], "lang string, text string, word string").repartition(3)
