@@ -27,11 +27,13 @@ K1, B = 1.2, 0.75
 #: Words of the test items in one index, about; a larger benchmark is queried in several passes.
 INDEX_WORDS = 2_000_000
 BLOCK_ITEMS = 8
-MOST_CACHED = 500_000
+#: Raw tokens that are remembered, and their bytes: some 20 MB.
+MOST_CACHED, SHORT = 100_000, 64
 #: Words, postings or block entries, and texts that are worked on together; these bound memory and change no result.
 BATCH_WORDS, BATCH_ENTRIES, BATCH_TEXTS = 50_000, 1_000_000, 500
-#: No item's threshold is less than this share of its own score.
-LEAST_SHARE = 0.05
+#: An item's threshold is taken so much lower than computed, and as this share of its score at least: rounding only.
+#: A word's weight is no less than half of one by the number of items, so that real shares lie far above.
+ROUNDING, LEAST_SHARE = 1e-3, 1e-13
 HITS = "doc_id long, item_id long, n_shingles long, n_matched long, n_question long, n_answer long, bm25 double"
 
 
@@ -93,7 +95,8 @@ class Index:
 def build_index(items: list[tuple[int, str]], df: dict[bytes, int], n_items: int, average: float, k: int, percent: int = 80, threshold: float = 0.5) -> Index:
     """Index the items; ``df``, ``n_items`` and ``average`` length are of the whole benchmark.
 
-    An item's threshold is ``threshold`` of its own score, or less where ``percent`` of its shingles can leave less.
+    An item's threshold is ``threshold`` of its own score, or less where ``percent`` of its shingles can leave less,
+    however little that is: where an item's weight lies in few words, a passage with any of them is compared.
     """
     rows = sorted((len(w := words_of(t)), i, w) for i, t in items)
     rows = [r for r in rows if r[0]]
@@ -111,7 +114,7 @@ def build_index(items: list[tuple[int, str]], df: dict[bytes, int], n_items: int
         own = [weights[w] for w in words]
         share = threshold
         if sum(sorted(own)[len(own) - spare :]) > (1 - threshold) * best:  # no more than `spare` words can be lost
-            share = max(LEAST_SHARE, min(threshold, 1 - most_lost(own, k, spare) / best))
+            share = max(LEAST_SHARE, min(threshold, (1 - most_lost(own, k, spare) / best) * (1 - ROUNDING)))
         shares.append(share)
         found += [(terms.setdefault(w, len(terms)), at, x / best / shares[-1]) for w, x in weights.items()]
     found.sort()
@@ -139,10 +142,12 @@ class TermIds(dict):
         self.terms = terms
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) >= MOST_CACHED:
-            self.clear()
         w = token.strip(MARKS)
-        found = self[token] = self.terms.get(w, -1) if w else -2
+        found = self.terms.get(w, -1) if w else -2
+        if len(token) <= SHORT:
+            if len(self) >= MOST_CACHED:
+                self.clear()
+            self[token] = found
         return found
 
 

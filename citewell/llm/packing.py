@@ -44,7 +44,7 @@ class Encoder:
     may be encoded apart. Texts in which a blank is followed by white space or nothing are encoded whole.
     """
 
-    MOST = 400_000  # cached chunks
+    MOST, SHORT = 100_000, 48  # cached chunks in all, and their characters: some 30 MB; longer ones are encoded each time
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -78,23 +78,27 @@ class Encoder:
             return [array("I", ids).tobytes() for ids in map(self.fast.encode_ordinary, texts)]
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _look_up(self, cache: dict[str, bytes], chunks: set[str], before: str) -> dict[str, bytes]:
+        """Ids of those chunks that are new to the cache; short ones are put there, long ones only returned."""
+        new = list(chunks - cache.keys())
+        found = dict(zip(new, self._encode([before + x for x in new]), strict=True))
+        cache.update((x, ids) for x, ids in found.items() if len(x) <= self.SHORT)
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.later) > self.MOST or len(self.first) > self.MOST:
+        if len(self.later) + len(self.first) > self.MOST:
             self.later, self.first = {}, {}
         cut = [t.split(" ") for t in texts]
-        heads = list({c[0] for c in cut} - self.first.keys())
-        self.first.update(zip(heads, self._encode(heads), strict=True))
-        new = set()
+        first, later = self.first, self.later
+        heads = self._look_up(first, {c[0] for c in cut}, "")
+        rest = set()
         for c in cut:
-            new.update(c[1:])
-        new -= self.later.keys()
-        plain = [x for x in new if x and not x[0].isspace()]
-        self.later.update(zip(plain, self._encode([" " + x for x in plain]), strict=True))
+            rest.update(c[1:])
+        tails = self._look_up(later, {x for x in rest if x and not x[0].isspace()}, " ")
         out = []
-        later = self.later
         for text, c in zip(texts, cut, strict=True):
             try:
-                out.append(self.first[c[0]] + b"".join([later[x] for x in c[1:]]))
+                out.append((first.get(c[0]) or heads.get(c[0], b"")) + b"".join([later.get(x) or tails[x] for x in c[1:]]))
             except KeyError:  # a blank before white space or the end
                 out.append(self._encode([text])[0])
         return out

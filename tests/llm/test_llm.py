@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -709,3 +710,50 @@ def test_pipeline_judges_rows(spark, odd):
     pieces = counts.pop("packing")
     assert counts == {"toxicity": len(ODD), "quality_rules": 0, "near_duplicates": len(ODD) - 1, "decontamination": len(ODD)} and pieces >= len(ODD)
     assert all(stage(spark, plain.limit(0), SF).count() == 0 for _, stage in p.STAGES)
+
+
+def test_items_of_one_template_are_found_by_their_common_part(spark):
+    """Two thousand items whose only rare words stand at one end: a text with the common part meets the rule for all."""
+    rng = random.Random(6)
+    template = "which of the given answers is right for the question about a town on the river in the north"
+    items = spark.createDataFrame([(i, f"zq{i}x {template}") for i in range(2000)], "item_id long, text string")
+    noise = " ".join(f"w{rng.randrange(400)}" for _ in range(300))
+    docs = spark.createDataFrame([(1, f"{noise} {template} {noise}"), (2, noise), (3, f"zq7x {noise}")], "doc_id long, text string")
+    found = decontam.contaminated(docs, items).collect()
+    assert {r.doc_id for r in found} == {1} and {r.item_id for r in found} == set(range(2000))
+    words = template.split()
+    assert all(r.n_shingles == len(words) - 3 and r.n_matched == len(words) - 4 for r in found)
+
+
+def test_row_numbers_hold_for_any_split_of_the_scan(spark):
+    """The near-duplicate stage gives the same rows when its input is scanned in other parts."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(60)]
+    rows = [(i, texts[i % 60] if i < 90 else " ".join(f"v{i}x{j}" for j in range(40)), "en", "s", 1) for i in range(140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stored = common.materialize(docs.repartition(5))
+    seen = []
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.files.minPartitionNum", parts)
+        try:
+            out = corpus_pipeline.near_duplicate_stage(spark, stored, "")
+        finally:
+            spark.conf.unset("spark.sql.files.minPartitionNum") if before is None else spark.conf.set("spark.sql.files.minPartitionNum", before)
+        spark.conf.set("spark.sql.files.minPartitionNum", "3" if parts == "1" else "1")  # read in other parts than planned
+        seen.append(sorted(r.doc_id for r in out.collect()))
+        spark.conf.unset("spark.sql.files.minPartitionNum") if before is None else spark.conf.set("spark.sql.files.minPartitionNum", before)
+    assert seen[0] == seen[1] == [*range(60), *range(90, 140)]
+
+
+def test_chunks_of_any_length_are_encoded_alike():
+    encoder = packing.Encoder(packing.default_tokenizer())
+    encoder.MOST = 50
+    rng = random.Random(3)
+    for _ in range(30):
+        texts = ["".join(rng.choice("ab  \n漢字é.") for _ in range(rng.choice([0, 3, 30, 300]))) + "x" * rng.choice([0, 47, 48, 49, 200]) for _ in range(20)]
+        want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert encoder.encode(texts) == want
+        assert all(len(x) <= encoder.SHORT for x in (*encoder.first, *encoder.later))
