@@ -39,11 +39,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows, not ids, are the nodes: repeated rows are copies of which one stays, different texts of one id are compared
     like any others, and a null id comes after all ids. Null, empty and wordless texts are linked with nothing and
-    stay. Of equal ids the one first in the table stays. An empty table stays empty. Rows are numbered by their place,
-    so ``docs`` must be a stored table, as ``run`` gives it, whose rows come in the same order at each scan.
+    stay. Of equal ids the one first in the table stays. An empty table stays empty. Rows get their numbers once and
+    are written with them, so that no later scan can number them otherwise.
     """
     row, first = "_citewell_row", "_citewell_first"
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
     found = similarity.similarity_components(rows.select(F.col(row).alias("doc_id"), "text"), k=5, percent=80)
     groups = materialize(found.filter("n_links > 0").select(F.col("doc_id").alias(row), "component_id"))
     known = groups.join(rows.select(row, "doc_id"), row)
