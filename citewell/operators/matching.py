@@ -1,22 +1,26 @@
-"""Phrase matching with cited evidence: spans, a dictionary join and a leftmost-longest fold; and contact facts."""
+"""Phrase matching with cited evidence: spans of a vocabulary in texts, leftmost and longest; and contact facts."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import BLANK, fold, lines, missing, strip, tokens, words
+from . import trie
 from .vocabulary import MAX_PHRASE_TOKENS
 
-#: Phrases that are compared within a row; more are joined.
-INLINE_PHRASES = 64
-#: First tokens that may be compared with as a literal; those of a larger vocabulary are joined.
-FIRST_TOKENS = 2_000
-#: Phrases of at most this number are broadcast (about 20 MB); a larger table is left to Spark's own choice.
-BROADCAST_PHRASES = 200_000
-#: A fold's result grows in runs of this length, as adding to an array copies it.
-RUN = 128
+#: Phrases of one trie (about 200 bytes each, on the driver and in each worker); a larger vocabulary is several of them.
+TRIE_PHRASES = 500_000
+#: Tokens of texts that are looked up together.
+BATCH_TOKENS = 1_000_000
 #: How an e-mail address is found.
 EMAIL = r"(?iu)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+#: A found phrase: place and number of tokens, the phrase, its canonical name (null: an absorber).
+SPAN = "struct<p:int,n:int,span:string,canonical:string>"
 
 
 def _tokens(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,91 +36,100 @@ def _each(rows: DataFrame, keys: list[str], array: Column | str) -> DataFrame:
     return rows.select(*keys, F.explode_outer(array).alias("x")).filter("x IS NOT NULL")
 
 
-def _starts(first: list[str] | None) -> Column:
-    """Positions from 0; with ``first`` only those whose token is one of them."""
+def ngrams(texts: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """``keys, p, n, span``: all token spans of 1 to ``longest`` tokens."""
     every = F.when(F.col("_size") > 0, F.sequence(F.lit(0), F.col("_size") - 1)).otherwise(F.array().cast("array<int>"))
-    return every if first is None else F.filter(every, lambda p: F.array_contains(F.lit(first), F.get("_tokens", p)))
-
-
-def _span(p: Column, n: Column) -> Column:
-    return F.array_join(F.slice("_tokens", p + 1, n), " ")
-
-
-def ngrams(texts: DataFrame, keys: list[str], longest: int, first: list[str] | None = None) -> DataFrame:
-    """``keys, p, n, span``: all token spans of 1 to ``longest`` tokens; with ``first`` only those that begin with one of them."""
     sizes = lambda p: F.sequence(F.lit(1), F.least(F.lit(longest), F.col("_size") - p))
-    spans = F.flatten(F.transform(_starts(first), lambda p: F.transform(sizes(p), lambda n: F.struct(p.alias("p"), n.alias("n"), _span(p, n).alias("span")))))
+    span = lambda p, n: F.struct(p.alias("p"), n.alias("n"), F.array_join(F.slice("_tokens", p + 1, n), " ").alias("span"))
+    spans = F.flatten(F.transform(every, lambda p: F.transform(sizes(p), lambda n: span(p, n))))
     return _each(_tokens(texts, keys), keys, spans).select(*keys, "x.p", "x.n", "x.span")
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a phrase table of known size if it is small."""
-    return F.broadcast(df) if rows <= BROADCAST_PHRASES else df
-
+def _tries(phrases: DataFrame, trie_phrases: int) -> list:
+    """Broadcast tries of about ``trie_phrases`` phrases at most, dealt by first token, so that one trie decides for a place."""
+    spark = phrases.sparkSession
+    size = phrases.agg(F.max("max_tokens").alias("longest"), F.count("*").alias("n")).first()
+    if size["longest"] is None:
+        return []
+    parts = -(-size["n"] // trie_phrases)
+    found = []
+    for part in range(parts):
+        own = phrases if parts == 1 else phrases.filter(F.pmod(F.xxhash64(F.split("phrase", " ")[0]), F.lit(parts)) == part)
+        rows = own.groupBy("phrase").agg(F.max("canonical").alias("canonical")).collect()
+        found.append(spark.sparkContext.broadcast(trie.build([(r["phrase"], r["canonical"]) for r in rows], min(size["longest"], MAX_PHRASE_TOKENS))))
+    return found
 
-def _limits(phrases: DataFrame) -> tuple[int | None, int]:
-    row = phrases.agg(F.max("max_tokens").alias("k"), F.count("*").alias("n")).first()
-    return None if row["k"] is None else min(row["k"], MAX_PHRASE_TOKENS), row["n"]
 
+def _matched(texts: DataFrame, keys: list[str], phrases: DataFrame, resolve: bool, trie_phrases: int | None) -> DataFrame:
+    """``keys, p, n, span, canonical`` of all candidates, or of those that a scan takes.
 
-def dictionary_candidates(texts: DataFrame, keys: list[str], phrases: DataFrame) -> DataFrame:
-    """``keys, p, n, span, canonical``: spans that are phrases or absorbers (null canonical).
-
-    Only positions whose token begins a phrase become spans, whatever the vocabulary's size. The phrases are the side
-    that is broadcast, and only up to BROADCAST_PHRASES.
+    Each text is worked on where it is: no shuffle, and ``keys`` may repeat or be null. With several tries the tokens
+    pass through one after the other and carry along what was found; the last one resolves. Between two tries the rows
+    are dealt anew, as each trie has its own Python worker.
     """
-    longest, n = _limits(phrases)
-    if longest is None:
-        return texts.select(*keys, F.lit(0).alias("p"), F.lit(0).alias("n"), F.lit("").alias("span"), F.lit("").alias("canonical")).limit(0)
-    head = phrases.select(F.split("phrase", " ")[0].alias("_first")).distinct()
-    first = sorted(r[0] for r in head.limit(FIRST_TOKENS + 1).collect())
-    if len(first) <= FIRST_TOKENS:
-        spans = ngrams(texts, keys, longest, first)
-    else:
-        window = lambda p: F.struct(p.alias("p"), F.slice("_tokens", p + 1, F.lit(longest)).alias("w"))
-        places = _each(_tokens(texts, keys), keys, F.transform(_starts(None), window))
-        places = places.select(*keys, "x.p", "x.w", F.get("x.w", F.lit(0)).alias("_first")).join(_small(head, n), "_first", "left_semi")
-        sizes = F.sequence(F.lit(1), F.size("w"))
-        spans = places.select(*keys, "p", F.explode(F.transform(sizes, lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", F.lit(1), n), " ").alias("span")))).alias("x")).select(*keys, "p", "x.n", "x.span")
-    return spans.join(_small(phrases.select(F.col("phrase").alias("span"), "canonical"), n), "span").select(*keys, "p", "n", "span", "canonical")
-
-
-TAKEN = "array<struct<p:int,n:int,span:string,canonical:string>>"
-
-
-def _take(candidates: Column) -> Column:
-    """The spans that a scan from the left takes of candidates sorted by place and, longest first, length; absorbed ones dropped."""
-
-    def step(s: Column, x: Column) -> Column:
-        full = F.size(s["run"]) >= RUN
-        run = F.concat(F.when(full, F.array().cast(TAKEN)).otherwise(s["run"]), F.array(x))
-        done = F.when(full, F.concat(s["done"], F.array(s["run"]))).otherwise(s["done"])
-        kept = F.struct((x["p"] + x["n"]).alias("next"), F.when(x["canonical"].isNull(), s["run"]).otherwise(run).alias("run"), F.when(x["canonical"].isNull(), s["done"]).otherwise(done).alias("done"))
-        return F.when(x["p"] >= s["next"], kept).otherwise(s)
-
-    start = F.struct(F.lit(0).alias("next"), F.array().cast(TAKEN).alias("run"), F.array().cast(f"array<{TAKEN}>").alias("done"))
-    return F.aggregate(candidates, start, step, lambda s: F.flatten(F.concat(s["done"], F.array(s["run"]))))
-
+    tries = _tries(phrases, trie_phrases or TRIE_PHRASES)
+    rows = texts.select(*keys, tokens(F.col("text")).alias("_tokens"), F.array().cast(f"array<{SPAN}>").alias("_found"))
+    kind = pa.struct([("p", pa.int32()), ("n", pa.int32()), ("span", pa.string()), ("canonical", pa.string())])
+
+    def look_up(shared, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ends = np.cumsum(batch.column("_tokens").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+                at = 0
+                while at < len(batch):
+                    end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_TOKENS, side="right")))
+                    yield part(batch.slice(at, end - at))
+                    at = end
+
+        def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+            known = shared.value
+            lists, before = batch.column("_tokens"), batch.column("_found")
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place, n, phrase = known.matches(known.numbers(lists.flatten()), (starts + sizes)[row] - np.arange(len(row)))
+            span, name = known.phrases.take(pa.array(phrase)), known.canonical.take(pa.array(phrase))
+            if len(earlier := before.flatten()):
+                of = np.repeat(np.arange(len(sizes)), before.value_lengths().to_numpy(zero_copy_only=False))
+                place = np.r_[place, earlier.field("p").to_numpy(zero_copy_only=False) + starts[of]]
+                n = np.r_[n, earlier.field("n").to_numpy(zero_copy_only=False)]
+                span, name = (pa.concat_arrays([x, earlier.field(c)]) for x, c in ((span, "span"), (name, "canonical")))
+            order = np.lexsort((-n, place))
+            if last and resolve:  # the longest at each place, then a scan from the left
+                first = order[np.r_[True, place[order[1:]] != place[order[:-1]]]] if len(order) else order
+                order = first[trie.first_to_last(place[first], n[first])]
+                order = order[name.is_valid().to_numpy(zero_copy_only=False)[order]]
+            place, n, span, name = place[order], n[order], span.take(pa.array(order)), name.take(pa.array(order))
+            found = pa.StructArray.from_arrays([pa.array(place - starts[row[place]], pa.int32()), pa.array(n, pa.int32()), span, name], fields=list(kind))
+            if last:
+                return pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row[place])) for k in keys), *found.flatten()], names=[*keys, "p", "n", "span", "canonical"])
+            upto = np.r_[0, np.cumsum(np.bincount(row[place], minlength=len(sizes)))]
+            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), lists, pa.ListArray.from_arrays(pa.array(upto, pa.int32()), found)], names=batch.schema.names)
+
+        return run
+
+    columns = StructType([*texts.select(*keys).schema.fields, *StructType.fromDDL("p int, n int, span string, canonical string").fields])
+    if not tries:
+        return texts.sparkSession.createDataFrame([], columns)
+    for i, shared in enumerate(tries):
+        last = i == len(tries) - 1
+        rows = rows.mapInArrow(look_up(shared, last), columns if last else rows.schema)
+        rows = rows if last else rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    return rows
+
+
+def dictionary_candidates(texts: DataFrame, keys: list[str], phrases: DataFrame, trie_phrases: int | None = None) -> DataFrame:
+    """``keys, p, n, span, canonical``: spans of tokens that are phrases or absorbers (null canonical).
+
+    One way for any vocabulary, without a shuffle: a trie of tokens is walked from every place whose token begins a
+    phrase. Of a repeated phrase the greatest canonical name counts. A null text has no tokens.
+    """
+    return _matched(texts, keys, phrases, False, trie_phrases)
 
-def leftmost_longest(texts: DataFrame, keys: list[str], phrases: DataFrame) -> DataFrame:
-    """``keys, p, n, span, canonical``: the spans that a scan from the left takes, longest first, absorbed ones dropped.
 
-    Up to INLINE_PHRASES phrases are looked up where the text is, without any shuffle; ``keys`` may then repeat. For
-    more, candidates are joined and brought back together by ``keys``, which must name one text each.
-    """
-    longest, n = _limits(phrases)
-    if longest is None or n > INLINE_PHRASES:
-        found = dictionary_candidates(texts, keys, phrases)
-        ordered = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("p", (-F.col("n")).alias("m"), "span", "canonical"))).alias("c"))
-        rows = ordered.select(*keys, _take(F.transform("c", lambda x: F.struct(x["p"].alias("p"), (-x["m"]).alias("n"), x["span"].alias("span"), x["canonical"].alias("canonical")))).alias("taken"))
-    else:
-        known = {r["phrase"]: r["canonical"] for r in phrases.select("phrase", "canonical").collect()}
-        names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair)) if any(known.values()) else F.lit(None).cast("map<string,string>")
-        options = lambda p: F.transform(F.sequence(F.least(F.lit(longest), F.col("_size") - p), F.lit(1), F.lit(-1)), lambda n: F.struct(p.alias("p"), n.alias("n"), _span(p, n).alias("span")))
-        best = F.transform(_starts(sorted({x.split(" ")[0] for x in known})), lambda p: F.get(F.filter(options(p), lambda x: F.array_contains(F.lit(list(known)), x["span"])), F.lit(0)))
-        best = F.transform(F.filter(best, lambda x: x.isNotNull()), lambda x: F.struct(x["p"].alias("p"), x["n"].alias("n"), x["span"].alias("span"), F.try_element_at(names, x["span"]).alias("canonical")))
-        rows = _tokens(texts, keys).select(*keys, _take(best).alias("taken"))
-    return _each(rows, keys, "taken").select(*keys, "x.p", "x.n", "x.span", "x.canonical")
+def leftmost_longest(texts: DataFrame, keys: list[str], phrases: DataFrame, trie_phrases: int | None = None) -> DataFrame:
+    """``keys, p, n, span, canonical``: the spans that a scan from the left takes, longest first, absorbed ones dropped."""
+    return _matched(texts, keys, phrases, True, trie_phrases)
 
 
 def matched_spans(spans: DataFrame, keys: list[str]) -> DataFrame:

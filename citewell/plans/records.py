@@ -9,7 +9,7 @@ from ..sources import documents as source
 from ..streaming import jobs
 from . import fixtures as fx
 from .registry import query
-from .screening import RANKED_SQL, VERSIONS_SQL, WINDOWS_SQL, _versions, _windows, evaluations
+from .screening import RANKED_SQL, VERSIONS_SQL, _versions, evaluations
 
 
 @query(f"{RANKED_SQL} SELECT evaluation_id, job_id, score, place FROM ranked")
@@ -208,7 +208,8 @@ def k4_stream_upsert_candidate(spark, sf):
 STATUS_SQL = "CASE event_type WHEN 'signup' THEN 'ready' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END"
 STATES_SQL = f"""log AS (SELECT user_id AS job_id, ts, event_id, {STATUS_SQL} AS status, 'error ' || event_id AS error FROM events WHERE event_type <> 'click'),
 states AS (SELECT job_id, CASE WHEN arg_max(status, (ts, event_id)) = 'failed' THEN CASE WHEN count(*) FILTER (status = 'failed') >= 3 THEN 'dead' ELSE 'ready' END ELSE arg_max(status, (ts, event_id)) END AS state,
-  count(*) FILTER (status = 'failed') AS attempts, arg_max(error, (ts, event_id)) FILTER (status = 'failed') AS last_error FROM log GROUP BY job_id)"""
+  count(*) FILTER (status = 'failed') AS attempts, arg_max(error, (ts, event_id)) FILTER (status = 'failed') AS last_error,
+  CASE WHEN arg_max(status, (ts, event_id)) = 'failed' AND count(*) FILTER (status = 'failed') < 3 THEN CAST(max(ts) AS TIMESTAMP) + to_seconds(CAST(pow(2, count(*) FILTER (status = 'failed')) AS INT)) END AS ready_at FROM log GROUP BY job_id)"""
 
 
 def _log(rows):
@@ -231,15 +232,26 @@ def k6_retry_plan(spark, sf):
     return jobs.retry_plan(rows, max_attempts=9)
 
 
-@query(f'WITH {WINDOWS_SQL} SELECT window_id AS job_id, "at" FROM windows WHERE opens <= "at" AND "at" < closes')
-def k7_stream_admission(spark, sf):
-    windows = _windows(spark, sf).select(F.col("window_id").alias("job_id"), "opens", "closes")
+INVITED_SQL = """subs AS (SELECT o_orderkey AS submission_id, o_custkey // 3 AS invitation_id, o_custkey % 3 AS user_id, CAST(o_orderdate AS TIMESTAMP) AS "at" FROM orders),
+inv AS (SELECT i AS invitation_id, TIMESTAMP '1993-01-01' + to_days(CAST(i % 500 AS INT)) AS opens, TIMESTAMP '1993-01-01' + to_days(CAST(i % 500 + 1200 AS INT)) AS closes,
+  CASE WHEN i % 11 = 0 THEN TIMESTAMP '1994-01-01' END AS revoked_at, TIMESTAMP '1993-01-01' + to_days(CAST(i % 500 + 300 + i % 900 AS INT)) AS expires_at, CASE WHEN i % 7 = 0 THEN i % 3 END AS holder
+  FROM (SELECT DISTINCT c_custkey // 3 AS i FROM customer WHERE c_custkey // 3 % 13 > 0)),
+gate AS (SELECT s.*, CASE WHEN i.invitation_id IS NULL THEN 'invitation is unknown' WHEN NOT (opens <= "at" AND "at" < closes) THEN 'applications are closed' WHEN revoked_at IS NOT NULL THEN 'invitation is revoked'
+  WHEN expires_at <= "at" THEN 'invitation is expired' WHEN holder <> user_id THEN 'invitation is redeemed by another user' END AS reason FROM subs s LEFT JOIN inv i USING (invitation_id)),
+firsts AS (SELECT invitation_id, min(("at", submission_id, user_id)) AS f FROM gate WHERE reason IS NULL GROUP BY invitation_id)"""
 
-    def admit(batch):
-        at = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(days=(F.col("o_orderkey") % 20).cast("int"))
-        return jobs.stream_admission(batch.select(F.col("o_orderkey").alias("job_id"), at.alias("at")), windows).select("job_id", "at")
 
-    return _streamed(spark, sf, "orders", admit)
+@query(f"""WITH {INVITED_SQL} SELECT submission_id, g.invitation_id, user_id, "at",
+CASE WHEN reason IS NOT NULL THEN reason WHEN f[2] = submission_id THEN NULL WHEN f[3] = user_id THEN 'invitation is used' ELSE 'invitation is redeemed by another user' END AS reason FROM gate g LEFT JOIN firsts USING (invitation_id)""")
+def k7_stream_admission(spark, sf):
+    i = F.col("invitation_id")
+    day = lambda n: F.to_timestamp(F.lit("1993-01-01")) + F.make_dt_interval(days=n.cast("int"))
+    known = fx.table(spark, sf, "customer").select(F.expr("c_custkey DIV 3").alias("invitation_id")).distinct().filter(i % 13 > 0)
+    revoked, holder = F.when(i % 11 == 0, F.to_timestamp(F.lit("1994-01-01"))), F.when(i % 7 == 0, i % 3)
+    invitations = known.select("invitation_id", day(i % 500).alias("opens"), day(i % 500 + 1200).alias("closes"), revoked.alias("revoked_at"), day(i % 500 + 300 + i % 900).alias("expires_at"), holder.alias("holder"))
+    rows = lambda batch: batch.select(F.col("o_orderkey").alias("submission_id"), F.expr("o_custkey DIV 3").alias("invitation_id"), (F.col("o_custkey") % 3).alias("user_id"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    stream = jobs.file_stream(spark, f"{sf}/[o]rders.parquet", fx.table(spark, sf, "orders").schema)
+    return jobs.stream_invited(stream, rows, invitations, source.scratch(spark, "invited"))
 
 
 @query(f"WITH {STATES_SQL} SELECT c_custkey AS job_id, CASE WHEN state = 'dead' THEN 'failed' ELSE 'processing' END AS status, CASE WHEN state = 'dead' THEN 'The report could not be completed.' END AS error FROM customer LEFT JOIN states ON job_id = c_custkey")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import lzma
 import tempfile
 import uuid
 import zipfile
@@ -17,6 +18,11 @@ from ..functions.text import BLANK
 from ..operators.admission import MAX_BYTES, MAX_FILES, MAX_TOTAL, entry_reason
 
 MAX_PAGES = 100
+#: Bytes of a DOCX body, inflated.
+MAX_BODY = 50 * 2**20
+#: What reading an entry raises if it is encrypted, of an unknown method or damaged.
+DAMAGED = (RuntimeError, NotImplementedError, zlib.error, lzma.LZMAError, OSError)
+#: The namespace of a DOCX body; reasons are those of the contract.
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -58,22 +64,32 @@ def decode_text_blocks(files: DataFrame) -> DataFrame:
     return files.select("doc_id", block_id(F.lit(1)).alias("block_id"), F.lit(1).alias("page"), F.when(reason.isNull(), text).alias("text"), reason.alias("reason"))
 
 
+def _paragraphs(content: bytes | None) -> tuple[str | None, str | None]:
+    """Text or reason of one DOCX file; the body is inflated up to MAX_BODY only."""
+    bad = None, "Resume DOCX could not be parsed"
+    try:
+        with zipfile.ZipFile(io.BytesIO(content or b"")) as archive, archive.open("word/document.xml") as body:
+            data = body.read(MAX_BODY + 1)
+        if len(data) > MAX_BODY:
+            return None, "Resume DOCX body is too large"
+        root = ElementTree.fromstring(data)
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, EOFError, ValueError, LookupError, *DAMAGED):
+        return bad
+    texts = ("".join(t.text or "" for t in p.iter(f"{WORD}t")) for p in root.iter(f"{WORD}p"))
+    shown = [t for t in texts if t.strip()]
+    return ("\n".join(shown), None) if shown else (None, "Resume DOCX contains no extractable text")
+
+
 def docx_blocks(files: DataFrame) -> DataFrame:
-    """``doc_id, content`` of DOCX files -> one block each, paragraphs joined by line feeds, or a reason."""
-
-    def paragraphs(content: bytes) -> tuple[str | None, str | None]:
-        try:
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                root = ElementTree.fromstring(archive.read("word/document.xml"))
-        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-            return None, "Resume DOCX could not be parsed"
-        texts = ("".join(t.text or "" for t in p.iter(f"{WORD}t")) for p in root.iter(f"{WORD}p"))
-        shown = [t for t in texts if t.strip()]
-        return ("\n".join(shown), None) if shown else (None, "Resume DOCX contains no extractable text")
+    """``doc_id, content`` of DOCX files -> one block each, paragraphs joined by line feeds, or a reason.
+
+    A file that is no archive, damaged, encrypted, of an unknown method, without a body or with one that is no XML gets
+    a reason like any other; no file ends the job.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [paragraphs(c) for c in batch["content"]]
+            found = [_paragraphs(c) for c in batch["content"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "block_id": "p1-b1", "page": 1, "text": [x[0] for x in found], "reason": [x[1] for x in found]})
 
     return files.select("doc_id", "content").mapInPandas(read, files.select("doc_id").schema.simpleString()[7:-1] + ", block_id string, page int, text string, reason string")
@@ -106,7 +122,7 @@ def _entries(archive_id: str, content: bytes) -> list[tuple]:
             if reason is None and e.file_size <= MAX_BYTES:
                 try:
                     data = archive.read(e)
-                except (RuntimeError, NotImplementedError, zipfile.BadZipFile, zlib.error):  # encrypted, of an unknown method, damaged
+                except (zipfile.BadZipFile, EOFError, *DAMAGED):
                     reason = "Resume ZIP file is malformed"
             rows.append((archive_id, e.filename, e.compress_size, e.file_size, e.external_attr, data, reason))
     return rows
@@ -154,8 +170,13 @@ def write_vocabulary(skills: DataFrame, aliases: DataFrame, path: str) -> None:
 
 
 def write_nested_json(rows: DataFrame, column: str, path: str) -> None:
-    """One JSON document per line."""
-    rows.select(F.to_json(column).alias("value")).write.text(path)
+    """One JSON document per line; nulls inside are written, so that what is read back is the same."""
+    rows.select(F.to_json(column, {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
+def read_nested_json(rows: DataFrame, column: str, schema: str, into: str) -> DataFrame:
+    """``rows`` with the JSON text of ``column`` as ``into``; text that isn't such a document gives null."""
+    return rows.withColumn(into, F.from_json(column, schema, {"mode": "PERMISSIVE"}))
 
 
 def write_csv(ranked: DataFrame, path: str) -> None:
