@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -93,6 +93,33 @@ FACTS = record(
 )
 ASSESSED = record(requirementId=text(128), outcome=Rule("text", choices=OUTCOMES), confidence=Rule("number", low=0, high=1), reasoning=text(2000), evidence=many(QUOTE, 20, required=False))
 ASSESSMENTS = record(assessments=many(ASSESSED, 200))
+
+
+def cited(longest: int, needed: bool = True, **fields) -> Rule:
+    """A record with its evidence: at least one reference where that is needed."""
+    return record(**fields, evidence=many(QUOTE, longest, required=needed, shortest=int(needed)))
+
+
+#: The contract of whole documents, where each fact cites its evidence.
+WARNING = cited(20, needed=False, code=text(64), message=text(1000))
+IDENTITY = cited(10, needed=False, fullName=maybe(256))
+REACHED = cited(20, needed=False, email=maybe(320), phone=maybe(64), location=maybe(256), links=many(Rule("text"), 20, required=False))
+CITED_FACTS = record(
+    schemaVersion=Rule("text", required=False),
+    identity=replace(IDENTITY, required=False, nullable=True),
+    contact=replace(REACHED, required=False, nullable=True),
+    skills=many(cited(20, canonicalName=text(128), sourceText=text(1000)), 200),
+    employment=many(cited(50, employer=maybe(256), title=maybe(256), startDate=maybe(date=True), endDate=maybe(date=True), isCurrent=Rule("bool"), description=maybe(8000)), 100),
+    projects=many(cited(50, name=text(256), description=maybe(8000)), 100),
+    education=many(cited(20, institution=maybe(256), degree=maybe(256), fieldOfStudy=maybe(256), graduationDate=maybe(date=True)), 50),
+    certifications=many(cited(20, name=text(256), issuer=maybe(256), issuedDate=maybe(date=True), expiresDate=maybe(date=True)), 100),
+    warnings=many(WARNING, 100),
+)
+CITED_ASSESSED = record(**ASSESSED.fields, warnings=many(WARNING, 20, required=False))
+CITED_ASSESSMENTS = record(
+    schemaVersion=Rule("text", required=False), scoringPolicyVersion=Rule("text", required=False), assessments=many(CITED_ASSESSED, 200),
+    scoreComponents=Rule("object", required=False, nullable=True, fields={n: Rule("number", low=0, high=1) for n in ("deterministic", "semantic", "assessment")}),
+)
 #: Facts as a struct.
 CONTACT = "struct<name:string,email:string,phone:string,location:string>"
 QUOTES = "array<struct<blockId:string,quote:string>>"
@@ -101,6 +128,14 @@ EDUCATION = "array<struct<institution:string,degree:string,fieldOfStudy:string,g
 CERTIFICATIONS = "array<struct<name:string,issuer:string>>"
 SUGGESTIONS = "array<struct<title:string,detail:string>>"
 FACTS_TYPE = f"struct<schemaVersion:string,contact:{CONTACT},skills:array<struct<canonicalName:string,sourceText:string,evidence:{QUOTES}>>,employment:{EMPLOYMENT},education:{EDUCATION},certifications:{CERTIFICATIONS},suggestions:{SUGGESTIONS},warnings:array<string>>"
+WARNINGS = f"array<struct<code:string,message:string,evidence:{QUOTES}>>"
+CITED_FACTS_TYPE = (
+    f"struct<schemaVersion:string,identity:struct<fullName:string,evidence:{QUOTES}>,contact:struct<email:string,phone:string,location:string,links:array<string>,evidence:{QUOTES}>,"
+    f"skills:array<struct<canonicalName:string,sourceText:string,evidence:{QUOTES}>>,employment:array<struct<employer:string,title:string,startDate:string,endDate:string,isCurrent:boolean,description:string,evidence:{QUOTES}>>,"
+    f"projects:array<struct<name:string,description:string,evidence:{QUOTES}>>,education:array<struct<institution:string,degree:string,fieldOfStudy:string,graduationDate:string,evidence:{QUOTES}>>,"
+    f"certifications:array<struct<name:string,issuer:string,issuedDate:string,expiresDate:string,evidence:{QUOTES}>>,warnings:{WARNINGS}>"
+)
+CITED_ASSESSMENTS_TYPE = f"struct<schemaVersion:string,scoringPolicyVersion:string,assessments:array<struct<requirementId:string,outcome:string,confidence:double,reasoning:string,evidence:{QUOTES},warnings:{WARNINGS}>>,scoreComponents:struct<deterministic:double,semantic:double,assessment:double>>"
 ASSESSMENTS_TYPE = f"struct<assessments:array<struct<requirementId:string,outcome:string,confidence:double,reasoning:string,evidence:{QUOTES}>>>"
 
 
@@ -144,6 +179,30 @@ def strict_cited(documents: DataFrame) -> DataFrame:
     return checked.withColumn("error", error).withColumn("assessment", F.when(F.col("error").isNull(), F.col("one"))).drop("checked", "one")
 
 
+def strict_document(documents: DataFrame) -> DataFrame:
+    """``raw`` -> ``facts`` (typed, null if invalid) and ``error``, by the contract where every fact cites evidence.
+
+    ``facts.schemaVersion`` is 1 where it isn't given, lists that may be absent are empty.
+    """
+    checked = documents.withColumn("checked", strict(F.col("raw"), CITED_FACTS))
+    facts = F.from_json("checked.ok", CITED_FACTS_TYPE)
+    none, links = F.array().cast(QUOTES), F.array().cast("array<string>")
+    whole = facts.withField("schemaVersion", F.coalesce(facts["schemaVersion"], F.lit("1")))
+    whole = whole.withField("identity", F.when(facts["identity"].isNotNull(), facts["identity"].withField("evidence", F.coalesce(facts["identity"]["evidence"], none))))
+    reached = facts["contact"].withField("evidence", F.coalesce(facts["contact"]["evidence"], none)).withField("links", F.coalesce(facts["contact"]["links"], links))
+    whole = whole.withField("contact", F.when(facts["contact"].isNotNull(), reached))
+    whole = whole.withField("warnings", F.transform(facts["warnings"], lambda w: w.withField("evidence", F.coalesce(w["evidence"], none))))
+    return checked.withColumns({"facts": F.when(F.col("checked.ok").isNotNull(), whole), "error": F.col("checked.error")}).drop("checked")
+
+
+def strict_assessment_result(documents: DataFrame) -> DataFrame:
+    """``raw`` -> ``result`` (typed, null if invalid) and ``error``: assessments of a document, confirmed ones with evidence."""
+    checked = documents.withColumn("checked", strict(F.col("raw"), CITED_ASSESSMENTS)).withColumn("found", F.from_json("checked.ok", CITED_ASSESSMENTS_TYPE))
+    bare = F.exists("found.assessments", lambda a: (a["outcome"] != "unknown") & (F.size(F.coalesce(a["evidence"], F.array().cast(QUOTES))) == 0))
+    error = F.when(bare, "confirmed outcome without evidence").otherwise(F.col("checked.error"))
+    return checked.withColumn("error", error).withColumn("result", F.when(F.col("error").isNull(), F.col("found"))).drop("checked", "found")
+
+
 def prune_evidence(skills: Column, block_ids: Column) -> Column:
     """Skills with only evidence from known blocks; those left without any go."""
     cited = F.transform(skills, lambda s: s.withField("evidence", F.filter(s["evidence"], lambda e: F.array_contains(block_ids, e["blockId"]))))

@@ -15,9 +15,12 @@ from . import fixtures as fx
 from .registry import query
 
 
-@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS byte_size, lang FROM documents")
+@query("SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS length, md5(text || chr(10)) AS content_md5 FROM documents")
 def s1_scan_documents(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("long").alias("byte_size"), "lang")
+    """Each document's text is stored as a file of its own, ended by a line feed, and scanned by its key."""
+    path = _files(spark)
+    fx.table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").text(path)
+    return source.scan_documents(spark, path, "*.txt").select(F.col("doc_id").cast("long").alias("doc_id"), "length", F.md5("content").alias("content_md5"))
 
 
 @query("SELECT doc_id, 'p1-b1' AS block_id, 1 AS page, CASE WHEN trim(text) <> '' THEN text END AS text, CASE WHEN trim(text) = '' THEN 'Resume text contains no extractable text' END AS reason FROM documents")
@@ -33,12 +36,18 @@ def s7_page_blocks(spark, sf):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def s8_read_nested_json(spark, sf):
-    return fx.table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    return source.read_nested_json(fx.table(spark, sf, "events"), "props", "k long", "found").select("event_id", F.col("found.k").alias("k"))
 
 
-@query("SELECT event_id, CAST(to_json({'event_type': event_type, 'user': {'id': user_id}}) AS VARCHAR) AS document FROM events")
+@query("SELECT event_id, event_type, user_id, CASE WHEN event_id % 3 > 0 THEN ['b' || event_id % 5, NULL] END AS blocks FROM events")
 def s9_write_nested_json(spark, sf):
-    return fx.table(spark, sf, "events").select("event_id", F.to_json(F.struct("event_type", F.struct(F.col("user_id").alias("id")).alias("user"))).alias("document"))
+    """Documents are written one per line and read back by their schema."""
+    path = _files(spark)
+    blocks = F.when(F.col("event_id") % 3 > 0, F.array(F.concat(F.lit("b"), (F.col("event_id") % 5).cast("string")), F.lit(None)))
+    document = F.struct(F.col("event_id").alias("id"), "event_type", F.struct(F.col("user_id").alias("id"), blocks.alias("blocks")).alias("user"))
+    source.write_nested_json(fx.table(spark, sf, "events").select(document.alias("document")), "document", path)
+    read = source.read_nested_json(spark.read.text(path), "value", "id long, event_type string, user struct<id: long, blocks: array<string>>", "d")
+    return read.select(F.col("d.id").alias("event_id"), "d.event_type", F.col("d.user.id").alias("user_id"), "d.user.blocks")
 
 
 def _files(spark):

@@ -62,6 +62,31 @@ def j3_strict_cited(spark, sf):
     return modelio.strict_cited(fx.table(spark, sf, "documents").select(i, raw.alias("raw"))).select("doc_id", "error")
 
 
+WHOLE = '{"skills": [{"canonicalName": "A", "sourceText": "a", "evidence": [{"blockId": "p1-b1", "quote": "q"}]}], "employment": [], "projects": [], "education": [], "certifications": [], "warnings": []}'
+#: Whole documents and what is wrong with them, one of each kind.
+CITED = (
+    (WHOLE, None),
+    (WHOLE.replace('"warnings"', '"identity": {"fullName": "N"}, "contact": {"links": ["l"], "email": null}, "warnings"'), None),
+    (WHOLE.replace('[{"blockId": "p1-b1", "quote": "q"}]', "[]"), "length"),
+    (WHOLE.replace(', "evidence": [{"blockId": "p1-b1", "quote": "q"}]', ""), "missing evidence"),
+    (WHOLE.replace('"warnings"', '"extra": 1, "warnings"'), "unknown field"),
+    (WHOLE.replace('"projects": [], ', ""), "missing projects"),
+    (WHOLE.replace('"employment": []', '"employment": [{"evidence": [{"blockId": "b", "quote": "q"}]}]'), "missing isCurrent"),
+    (WHOLE.replace('"certifications": []', '"certifications": [{"name": "c", "issuedDate": "5 May", "evidence": [{"blockId": "b", "quote": "q"}]}]'), "not allowed"),
+    (WHOLE.replace('"education": []', '"education": {}'), "not a list"),
+    (WHOLE.replace('"warnings"', '"contact": {"phone": 42}, "warnings"'), "not a text"),
+    ("{", "not JSON"),
+)
+
+
+@query(f"SELECT doc_id, {_sql_list(CITED, 1)}[doc_id % {len(CITED)} + 1] AS error, CASE WHEN doc_id % {len(CITED)} < 2 THEN '1' END AS version, CASE WHEN doc_id % {len(CITED)} < 2 THEN 1 END AS n_skills FROM documents")
+def j3_strict_document(spark, sf):
+    i = F.col("doc_id")
+    rows = fx.table(spark, sf, "documents").select(i, pick([d for d, _ in CITED], i % len(CITED)).alias("raw"))
+    found = modelio.strict_document(rows)
+    return found.select("doc_id", "error", F.col("facts.schemaVersion").alias("version"), F.when(F.col("facts").isNotNull(), F.size("facts.skills")).alias("n_skills"))
+
+
 def _ids(spark, sf):
     return fx.nested_blocks(spark, sf).select("doc_id", F.transform("blocks", lambda b: b["id"]).alias("ids"))
 

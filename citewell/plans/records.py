@@ -89,7 +89,10 @@ def l11_clamp_score_filter(spark, sf):
 def s10_export_csv(spark, sf):
     names = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("candidate_name"))
     ranked = ranking.rank_evaluations(evaluations(spark, sf)).join(names, "doc_id").withColumn("status", F.lit("completed"))
-    return source.export_csv(ranked)
+    path = source.scratch(spark, "files")
+    source.write_csv(ranked, path)
+    text = ", ".join(f"{c} string" for c in source.EXPORTED)
+    return spark.read.option("header", True).schema(text).csv(path).fillna("")
 
 
 MEMBERS_SQL = "members AS (SELECT c_custkey AS user_id, n_regionkey AS org_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'owner' WHEN 'MACHINERY' THEN 'recruiter' ELSE 'viewer' END AS role FROM customer JOIN nation ON n_nationkey = c_nationkey)"
@@ -161,12 +164,12 @@ def q8_invitation_lookup(spark, sf):
 # Streaming forms: each reads the table as a stream where its result is a table afterwards.
 
 
-def _streamed(spark, sf, name, each, before=lambda stream: stream):
-    """Run ``each`` over the batches of the table as a stream, changed by ``before``; return all that they wrote."""
+def _streamed(spark, sf, name, each):
+    """Run ``each`` over the batches of the table as a stream; return all that they wrote."""
     target = source.scratch(spark, "stream")
     # a pattern, as the table may be one file or a folder
     stream = jobs.file_stream(spark, f"{sf}/[{name[0]}]{name[1:]}.parquet", fx.table(spark, sf, name).schema)
-    jobs.stream_facts(before(stream), each, f"{target}/out", f"{target}/state")
+    jobs.stream_facts(stream, each, f"{target}/out", f"{target}/state")
     return spark.read.parquet(f"{target}/out").drop("batch")
 
 
@@ -184,10 +187,11 @@ def k1_stream_facts(spark, sf):
     return _streamed(spark, sf, "documents", extract)
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+@query("SELECT user_id, event_type, min((ts, event_id))[2] AS event_id FROM events GROUP BY user_id, event_type")
 def k2_stream_dedupe(spark, sf):
-    once = lambda stream: jobs.stream_dedupe(stream.withColumn("ts", F.col("ts").cast("timestamp")), ["user_id", "event_type"], late="400 days")
-    return _streamed(spark, sf, "events", lambda batch: batch.select("user_id", "event_type"), once)
+    stream = jobs.file_stream(spark, f"{sf}/[e]vents.parquet", fx.table(spark, sf, "events").schema)
+    rows = stream.select("user_id", "event_type", "ts", "event_id")
+    return jobs.stream_once(rows, ["user_id", "event_type"], ["ts", "event_id"], source.scratch(spark, "once")).select("user_id", "event_type", "event_id")
 
 
 @query(f"WITH {fx.SUBMISSIONS_SQL} SELECT evaluation_id, job_id, doc_id FROM submissions")

@@ -152,6 +152,17 @@ def a13_application_open(spark, sf):
     return _windows(spark, sf).select("window_id", admission.application_open(F.col("opens"), F.col("closes"), F.col("at")).alias("open"))
 
 
+@query("""WITH s AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS TIMESTAMP) AS opens, CAST(o_orderdate AS TIMESTAMP) + to_days(CAST(o_orderkey % 700 AS INT)) AS closes, CAST(o_orderdate AS TIMESTAMP) + to_minutes(CAST(o_orderkey % 50000 AS INT)) AS "at" FROM orders)
+SELECT e.o_orderkey AS submission_id, w.o_orderkey AS window_id FROM s e JOIN s w ON e.o_custkey = w.o_custkey AND w.opens <= e."at" AND e."at" < w.closes""")
+def a13_interval_join(spark, sf):
+    """Several overlapping windows a job: which of them are open at a submission's time."""
+    opens, i = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey")
+    orders = fx.table(spark, sf, "orders")
+    windows = orders.select(i.alias("window_id"), F.col("o_custkey").alias("job_id"), opens.alias("opens"), (opens + F.make_dt_interval(days=(i % 700).cast("int"))).alias("closes"))
+    events = orders.select(i.alias("submission_id"), F.col("o_custkey").alias("job_id"), (opens + F.make_dt_interval(mins=(i % 50000).cast("int"))).alias("at"))
+    return admission.interval_join(events, windows, "job_id").select("submission_id", "window_id")
+
+
 @query(f"""WITH {WINDOWS_SQL} SELECT window_id, CASE WHEN NOT (opens <= "at" AND "at" < closes) THEN 'applications are closed' WHEN window_id % 11 = 0 THEN 'invitation is revoked'
   WHEN opens + to_days(CAST(window_id % 14 AS INT)) <= "at" THEN 'invitation is expired' WHEN window_id % 5 = 0 THEN 'invitation is used' WHEN window_id % 3 = 0 AND window_id % 4 <> window_id % 7 THEN 'invitation is redeemed by another user' END AS reason FROM windows""")
 def a14_invitation_available(spark, sf):

@@ -179,6 +179,10 @@ def read_nested_json(rows: DataFrame, column: str, schema: str, into: str) -> Da
     return rows.withColumn(into, F.from_json(column, schema, {"mode": "PERMISSIVE"}))
 
 
+#: The columns of the exported list.
+EXPORTED = ("candidate_name", "status", "score", "eligibility", "evidence_coverage")
+
+
 def write_csv(ranked: DataFrame, path: str) -> None:
     """The export of all jobs as CSV files with a header, in the order of job and place over all files."""
     rows = ranked.orderBy("job_id", "place")
@@ -188,4 +192,4 @@ def write_csv(ranked: DataFrame, path: str) -> None:
 def export_csv(ranked: DataFrame) -> DataFrame:
     """The ranked list as text columns, null as empty."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return ranked.select(*(text(c).alias(c) for c in ("candidate_name", "status", "score", "eligibility", "evidence_coverage")))
+    return ranked.select(*(text(c).alias(c) for c in EXPORTED))

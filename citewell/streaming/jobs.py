@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.admission import application_open, invitation_reason
 from . import keyed_table
@@ -37,6 +37,31 @@ def stream_dedupe(stream: DataFrame, keys: list[str], time: str = "ts", late: st
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
+def stream_once(stream: DataFrame, keys: list[str], order: list[str], target: str) -> DataFrame:
+    """The first record of each key for all time; all of them so far, also after a restart.
+
+    Within a batch the smallest ``order`` wins, between batches the earlier one. The keys seen are a table in key
+    buckets, of which a batch reads those that its own keys fall into; nothing is held in memory or forgotten.
+    """
+    spark, schema = stream.sparkSession, StructType.fromDDL("key string")
+    out = f"{target}/records"
+    keyed_table.create(spark.createDataFrame([], schema), f"{target}/seen", "key")
+
+    def write(batch: DataFrame, number: int) -> None:
+        key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+        first = batch.withColumn("_key", key).groupBy("_key").agg(F.min_by(F.struct(*batch.columns), F.struct(*order)).alias("_first"))
+        before = keyed_table.read_buckets(spark, f"{target}/seen", schema, number, first.select(F.col("_key").alias("key")), "key")
+        new = first.join(before, first["_key"] == before["key"], "left_anti")
+        new.select("_key", "_first.*").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        seen = spark.read.parquet(f"{out}/batch={number}").select(F.col("_key").alias("key"))
+        keyed_table.update(f"{target}/seen", "key", seen, number + 1, lambda old, x: old.unionByName(x), schema)
+
+    run_available(stream, write, f"{target}/state")
+    if keyed_table.versions(spark, f"{target}/seen") == [0]:  # no batch yet
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(StructType([StructField("_key", StringType()), *stream.schema.fields])).parquet(out).drop("_key")
+
+
 def stream_fanout(finished: DataFrame, evaluations: DataFrame) -> DataFrame:
     """Each finished document with each of its evaluations (a static table)."""
     return finished.join(evaluations, "doc_id")
@@ -151,8 +176,9 @@ def stream_invited(stream: DataFrame, submissions: Callable[[DataFrame], DataFra
     keyed_table.create(spark.createDataFrame([], schema), f"{target}/redeemed", "invitation_id")
 
     def write(batch: DataFrame, number: int) -> None:
-        before = keyed_table.read(spark, f"{target}/redeemed", schema, number)
-        gate_submissions(submissions(batch), invitations, before).write.mode("overwrite").parquet(f"{decided}/batch={number}")
+        rows = submissions(batch)
+        before = keyed_table.read_buckets(spark, f"{target}/redeemed", schema, number, rows, "invitation_id")
+        gate_submissions(rows, invitations, before).write.mode("overwrite").parquet(f"{decided}/batch={number}")
         admitted = spark.read.parquet(f"{decided}/batch={number}").filter("reason IS NULL AND invitation_id IS NOT NULL")
         new = admitted.select("invitation_id", F.col("user_id").alias("redeemer"), "submission_id", F.col("at").alias("used_at"))
         new = new.join(before.select("invitation_id"), "invitation_id", "left_anti")

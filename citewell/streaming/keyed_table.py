@@ -53,6 +53,12 @@ def read(spark: SparkSession, path: str, schema, version: int | None = None) ->
     return _read(spark, path, schema, places(spark, path, known[-1] if version is None else version) if known else {})
 
 
+def read_buckets(spark: SparkSession, path: str, schema, version: int, keys: DataFrame, key: str) -> DataFrame:
+    """The buckets of a version that the keys in ``keys`` fall into."""
+    touched = {r[0] for r in keys.select(_bucket(key)).distinct().collect()}  # at most BUCKETS
+    return _read(spark, path, schema, {b: at for b, at in places(spark, path, version).items() if b in touched})
+
+
 def _write(rows: DataFrame, path: str, key: str, version: int, before: dict[int, int]) -> None:
     """Write whole buckets as a version and commit it; ``rows`` that are left of a bucket may be none."""
     spark = rows.sparkSession
@@ -74,10 +80,8 @@ def update(path: str, key: str, changes: DataFrame, version: int, merge: Callabl
     ``merge`` keeps each row's key. Old versions that no kept commit needs are removed afterwards.
     """
     spark = changes.sparkSession
-    before = places(spark, path, version - 1)
-    touched = {r[0] for r in changes.select(_bucket(key)).distinct().collect()}  # at most BUCKETS
-    old = _read(spark, path, schema, {b: at for b, at in before.items() if b in touched})
-    _write(merge(old, changes).select(*(f.name for f in schema)), path, key, version, before)
+    old = read_buckets(spark, path, schema, version - 1, changes, key)
+    _write(merge(old, changes).select(*(f.name for f in schema)), path, key, version, places(spark, path, version - 1))
     clean(spark, path)
 
 

@@ -1,4 +1,6 @@
 import io
+import json
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -161,3 +163,71 @@ def test_job_state(spark):
     rows = [(1, "2024-01-01", 1, "failed", "e1"), (1, "2024-01-02", 2, "failed", "e2"), (1, "2024-01-03", 3, "failed", "e3"), (2, "2024-01-01", 4, "failed", "e"), (3, "2024-01-01", 5, "failed", "e"), (3, "2024-01-02", 6, "completed", None)]
     found = jobs.job_state(spark.createDataFrame(rows, "job_id int, ts string, event_id int, status string, error string")).collect()
     assert {r["job_id"]: (r["state"], r["attempts"], r["last_error"]) for r in found} == {1: ("dead", 3, "e3"), 2: ("ready", 1, "e"), 3: ("completed", 1, "e")}
+
+
+def test_no_docx_ends_the_job(spark):
+    """Encrypted, damaged, of an unknown method, too large, without a body, odd XML: a reason each."""
+    good = package(**{"word__document.xml": BODY})
+    at = good.index(b"PK\x01\x02")  # the archive's own directory
+    encrypted, unknown, damaged = bytearray(good), bytearray(good), bytearray(good)
+    encrypted[6] |= 1
+    encrypted[at + 8] |= 1
+    unknown[8] = unknown[at + 10] = 99
+    start = 30 + len("word/document.xml")
+    damaged[start : start + 40] = b"\xff" * 40
+    stored = io.BytesIO()
+    with zipfile.ZipFile(stored, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", BODY)
+    cut = bytearray(stored.getvalue())
+    cut[start : start + 20] = b"\xff" * 20
+    big = io.BytesIO()
+    with zipfile.ZipFile(big, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", b" " * (source.MAX_BODY + 1))
+    odd = [bytes(encrypted), bytes(unknown), bytes(damaged), bytes(cut), good[: len(good) // 2], package(**{"other.xml": BODY}), package(**{"word__document.xml": '<?xml version="1.0" encoding="none"?><w/>'}), b"", None]
+    rows = [("good", good), ("big", big.getvalue()), *((f"odd{i}", x) for i, x in enumerate(odd))]
+    found = {r["doc_id"]: (r["text"], r["reason"]) for r in source.docx_blocks(spark.createDataFrame(rows, "doc_id string, content binary")).collect()}
+    assert found.pop("good") == ("One line\nTwo", None) and found.pop("big") == (None, "Resume DOCX body is too large")
+    assert set(found.values()) == {(None, "Resume DOCX could not be parsed")} and len(found) == len(odd)
+
+
+def test_documents_that_cite_evidence(spark):
+    quote = {"blockId": "p1-b2", "quote": "Ran a bakery."}
+    whole = {"skills": [{"canonicalName": "Baking", "sourceText": "bakery", "evidence": [quote]}], "employment": [], "projects": [], "education": [], "certifications": [], "warnings": []}
+    job = {"isCurrent": True, "startDate": "2020-05", "evidence": [quote]}
+    cases = [
+        (whole, None),
+        (whole | {"identity": None, "contact": {"links": ["x"] * 20}, "schemaVersion": "7"}, None),
+        (whole | {"employment": [job | {"description": "d" * 8000}], "projects": [{"name": "p", "evidence": [quote] * 50}]}, None),
+        (whole | {"warnings": [{"code": "c", "message": "m"}]}, None),
+        (whole | {"employment": [job | {"description": "d" * 8001}]}, "length"),
+        (whole | {"employment": [job | {"isCurrent": "yes"}]}, "not a bool"),
+        (whole | {"projects": [{"name": "p", "evidence": [quote] * 51}]}, "length"),
+        (whole | {"contact": {"links": ["x"] * 21}}, "length"),
+        (whole | {"identity": {"fullName": "n", "evidence": [quote] * 11}}, "length"),
+        (whole | {"warnings": [{"code": "", "message": "m"}]}, "length"),
+        (whole | {"skills": [{"canonicalName": "Baking", "sourceText": "b", "evidence": [quote | {"page": 1}]}]}, "unknown field"),
+        (whole | {"skills": None}, "not a list"),
+        ([], "not a object"),
+    ]
+    raw = spark.createDataFrame([(i, json.dumps(d)) for i, (d, _) in enumerate(cases)], "i int, raw string")
+    rows = modelio.strict_document(raw).orderBy("i").collect()
+    assert [r["error"] for r in rows] == [e for _, e in cases] and all((r["facts"] is None) == (r["error"] is not None) for r in rows)
+    assert rows[0]["facts"]["schemaVersion"] == "1" and rows[1]["facts"]["schemaVersion"] == "7" and rows[1]["facts"]["contact"]["evidence"] == []
+    assert rows[0]["facts"]["skills"][0]["evidence"][0]["blockId"] == "p1-b2" and rows[3]["facts"]["warnings"][0]["evidence"] == []
+    one = {"requirementId": "r", "outcome": "met", "confidence": 0.5, "reasoning": "r", "evidence": [quote]}
+    results = [({"assessments": [one], "scoreComponents": {"deterministic": 1, "semantic": 0, "assessment": 0.5}}, None), ({"assessments": [one | {"evidence": []}]}, "confirmed outcome without evidence"), ({"assessments": [one | {"outcome": "unknown", "evidence": []}]}, None), ({"assessments": [], "scoreComponents": {"deterministic": 2, "semantic": 0, "assessment": 0}}, "range")]
+    raw = spark.createDataFrame([(i, json.dumps(d)) for i, (d, _) in enumerate(results)], "i int, raw string")
+    assert [r["error"] for r in modelio.strict_assessment_result(raw).orderBy("i").collect()] == [e for _, e in results]
+
+
+def test_interval_join_meets_each_pair_once(spark):
+    rng = random.Random(12)
+    hour = 3600
+    times = lambda: rng.choice([rng.randrange(-40 * hour, 400 * hour), rng.randrange(100) * hour, rng.randrange(10**9)])
+    windows = [(i, rng.randrange(3), (a := times()), a + rng.choice([0, 1, -5, hour, 16 * hour, 300 * hour, rng.randrange(10**8), 10**9])) for i in range(80)] + [(80, 1, None, 5), (81, 1, 5, None)]
+    events = [(i, rng.choice([0, 1, 2, None]), rng.choice([times(), rng.choice(windows[:80])[2], rng.choice(windows[:80])[3], None])) for i in range(300)]
+    w = spark.createDataFrame(windows, "window_id int, job_id int, o long, c long").selectExpr("window_id", "job_id", "timestamp_seconds(o) AS opens", "timestamp_seconds(c) AS closes")
+    e = spark.createDataFrame(events, "event_id int, job_id int, s long").selectExpr("event_id", "job_id", "timestamp_seconds(s) AS at")
+    got = sorted((r.event_id, r.window_id) for r in admission.interval_join(e, w, "job_id").select("event_id", "window_id").collect())
+    assert got == sorted((i, k) for i, j, s in events for k, job, o, c in windows if j is not None and j == job and None not in (s, o, c) and o <= s < c)
+    assert len(got) > 500

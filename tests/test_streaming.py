@@ -120,3 +120,23 @@ def test_one_batch_equals_the_rule(spark, invitations):
     for i, inv, _, _ in rows:
         if got[i] in ("invitation is used", "invitation is redeemed by another user") and inv != 5:
             assert any(by[j] == inv and at[j] < at[i] for j in admitted)
+
+
+def test_the_first_record_of_a_key_for_all_time(spark, tmp_path):
+    schema = "kind string, k long, at long, v string"
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2, 3, 4, None]), i, f"v{i}") for i in range(60)]
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    empty = spark.createDataFrame([], schema)
+    empty.write.parquet(source)
+    run = lambda: {(r.kind, r.k): r.v for r in jobs.stream_once(jobs.file_stream(spark, source, empty.schema), ["kind", "k"], ["at"], target).collect()}
+    assert run() == {}
+    want, seen = {}, []
+    for upto in (3, 30, 60):
+        new = rows[len(seen) : upto]
+        seen += new
+        feed(spark, source, new[::-1], schema)
+        for kind, k, _, v in new:
+            want.setdefault((kind, k), v)
+        for _ in range(2):
+            assert run() == want
