@@ -212,6 +212,18 @@ def m4_leftmost_longest(spark, sf):
     return fx.spans(spark, sf)
 
 
+LARGE_SQL = f"""{fx.BLOCKS_SQL}, opening AS (SELECT {fx.tokens_sql("text")} AS o FROM blocks), vocab(phrase, canonical) AS (SELECT DISTINCT o[1] || ' ' || o[2], upper(o[1] || ' ' || o[2]) FROM opening WHERE len(o) >= 2)"""
+
+
+@query(f"WITH RECURSIVE {LARGE_SQL}, {fx.spans_sql('blocks', 'doc_id, block_pos, block_id', 'spans')} SELECT doc_id, block_pos, p, n, span, canonical FROM spans")
+def m4_large_vocabulary(spark, sf):
+    """The first two tokens of every block are a phrase: tens of thousands at the larger sizes."""
+    blocks = fx.blocks(spark, sf)
+    opening = blocks.select(F.slice(tokens(F.col("text")), 1, 2).alias("o")).filter(F.size("o") == 2).select(F.array_join("o", " ").alias("alias")).distinct()
+    known = vocabulary.phrase_table(opening.withColumn("canonical", F.upper("alias")), opening.select(F.col("alias").alias("phrase")).limit(0))
+    return matching.leftmost_longest(blocks, ["doc_id", "block_pos"], known)
+
+
 @query(f"{fx.SPANS_SQL} SELECT doc_id, block_id, canonical, list(span ORDER BY p) AS phrases FROM (SELECT doc_id, block_id, canonical, span, min(p) AS p FROM spans GROUP BY ALL) GROUP BY ALL")
 def m5_matched_spans(spark, sf):
     return matching.matched_spans(fx.spans(spark, sf), ["doc_id", "block_id"])

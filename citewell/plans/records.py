@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import integrity, ranking
+from ..operators import integrity, ranking, search
 from ..sources import documents as source
 from ..streaming import jobs
 from . import fixtures as fx
@@ -44,6 +44,20 @@ def l5_search_candidates(spark, sf):
     return ranking.search_candidates(_people(spark, sf), " Building1").select("user_id")
 
 
+PEOPLE_SQL = "people AS (SELECT c_custkey AS user_id, lower(c_name || ' ' || lower(c_mktsegment) || c_custkey || '@example.org') AS t FROM customer)"
+
+
+@query(f"WITH {PEOPLE_SQL}, needles AS (SELECT DISTINCT n FROM (SELECT lower(substr(n_name, 1, CAST(1 + n_nationkey % 4 AS INT))) AS n FROM nation UNION ALL SELECT c_custkey || '@' FROM customer WHERE c_custkey % 7 = 0)) SELECT n AS needle, user_id FROM needles, people WHERE contains(t, n)")
+def l5_search_index(spark, sf):
+    """Many needles at once, by an index that is written and read again."""
+    path = source.scratch(spark, "index")
+    people = _people(spark, sf).select("user_id", F.concat_ws(" ", "name", "email").alias("text"))
+    search.write_index(search.gram_index(people, "user_id", "text"), path)
+    names = fx.table(spark, sf, "nation").select(F.lower(F.substring("n_name", F.lit(1), (1 + F.col("n_nationkey") % 4).cast("int"))).alias("needle"))
+    numbers = fx.table(spark, sf, "customer").filter("c_custkey % 7 = 0").select(F.concat("c_custkey", F.lit("@")).alias("needle"))
+    return search.search(search.read_index(spark, path), people, "user_id", "text", names.unionByName(numbers))
+
+
 @query("SELECT p_partkey AS job_id, p_name AS title FROM part WHERE contains(lower(p_name), 'bolt')")
 def l6_search_jobs(spark, sf):
     return ranking.search_jobs(fx.table(spark, sf, "part").select(F.col("p_partkey").alias("job_id"), F.col("p_name").alias("title")), " Bolt")

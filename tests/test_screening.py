@@ -5,7 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from citewell.operators import admission, assessment, integrity, modelio, ranking, readiness, requirements
+from citewell.operators import admission, assessment, integrity, modelio, ranking, readiness, requirements, search
 from citewell.sources import documents as source
 from citewell.streaming import jobs
 
@@ -231,3 +231,17 @@ def test_interval_join_meets_each_pair_once(spark):
     got = sorted((r.event_id, r.window_id) for r in admission.interval_join(e, w, "job_id").select("event_id", "window_id").collect())
     assert got == sorted((i, k) for i, j, s in events for k, job, o, c in windows if j is not None and j == job and None not in (s, o, c) and o <= s < c)
     assert len(got) > 500
+
+
+def test_search_index_equals_contains(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [(i, rng.choice([None, ""]) if i % 17 == 0 else "".join(rng.choice("abAB é@.") for _ in range(rng.randrange(1, 30)))) for i in range(150)]
+    rows = spark.createDataFrame(texts, "k int, text string")
+    search.write_index(search.gram_index(rows, "k", "text"), str(tmp_path / "index"))
+    index = search.read_index(spark, str(tmp_path / "index"))
+    needles = [rng.choice(["", " ", "a", "B", "ab", "é", "zz", None, *("".join(rng.choice("abAB é@.") for _ in range(n)) for n in (2, 3, 4, 5, 7))]) for _ in range(60)] + ["aaa", "aaaa", " Ab "]
+    got = sorted((r.needle, r.k) for r in search.search(index, rows, "k", "text", spark.createDataFrame([(n,) for n in needles], "needle string")).collect())
+    want = sorted((n, k) for n in {x for x in needles if x and x.strip(" ")} for k, t in texts if n.strip(" ").lower() in (t or "").lower())
+    assert got == want and len(got) > 300
+    plan = search.search(index, rows, "k", "text", spark.createDataFrame([("abcd",)], "needle string"))
+    assert plan.count() == 0 and search.search(index.limit(0), rows, "k", "text", spark.createDataFrame([("a",)], "needle string")).count() == 0
