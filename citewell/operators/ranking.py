@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .requirements import latest_version
 
 
-
 def _order() -> list[Column]:
     return [F.col("score").desc_nulls_last(), F.col("created_at").desc(), F.col("evaluation_id").asc()]
 
@@ -17,6 +16,28 @@ def rank_evaluations(evaluations: DataFrame) -> DataFrame:
     return evaluations.withColumn("place", F.row_number().over(W.partitionBy("job_id").orderBy(*_order())))
 
 
+def rank_all(evaluations: DataFrame, path: str) -> DataFrame:
+    """``rank_evaluations`` for jobs that may hold a large share of all rows: no task sorts or counts a whole job.
+
+    Rows are dealt by ranges of job and order and written to ``path`` with their places in the range, which fixes both.
+    A place within the job is then the rows of the job in the ranges before, a sum over at most as many counts as there
+    are ranges, and the place within its own range.
+    """
+    spark = evaluations.sparkSession
+    order = [F.col("job_id").asc_nulls_first(), *_order()]
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = evaluations.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt = dealt.withColumns({"_range": F.spark_partition_id(), "_i": F.monotonically_increasing_id()})
+    dealt.write.parquet(path)
+    rows = spark.read.schema(dealt.schema).parquet(path)
+    counts = rows.groupBy("_range", F.col("job_id").alias("_job")).agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_job").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).withColumnRenamed("_range", "_of").drop("_n")
+    ranked = rows.join(counts, (F.col("_range") == F.col("_of")) & F.col("job_id").eqNullSafe(F.col("_job")))
+    place = (F.col("_before") + F.col("_i") - F.col("_first") + 1).alias("place")
+    return ranked.select(*evaluations.columns, place)
+
+
 def filter_evaluations(evaluations: DataFrame, eligibility: list[str] | None = None, min_score: int | None = None) -> DataFrame:
     """A minimum score also drops rows without one."""
     if eligibility:

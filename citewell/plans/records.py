@@ -17,6 +17,14 @@ def l1_rank_evaluations(spark, sf):
     return ranking.rank_evaluations(evaluations(spark, sf)).select("evaluation_id", "job_id", "score", "place")
 
 
+@query("""WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS evaluation_id, CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE l_suppkey END AS job_id, CASE WHEN l_partkey % 9 > 0 THEN CAST(l_quantity AS INT) END AS score, l_shipdate AS created_at FROM lineitem)
+SELECT evaluation_id, job_id, row_number() OVER (PARTITION BY job_id ORDER BY score DESC NULLS LAST, created_at DESC, evaluation_id) AS place FROM e""")
+def l1_rank_all(spark, sf):
+    """Half of all rows belong to one job."""
+    rows = fx.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evaluation_id"), F.when(F.col("l_orderkey") % 2 == 0, 0).otherwise(F.col("l_suppkey")).alias("job_id"), F.when(F.col("l_partkey") % 9 > 0, F.col("l_quantity").cast("int")).alias("score"), F.col("l_shipdate").alias("created_at"))
+    return ranking.rank_all(rows, source.scratch(spark, "ranked")).select("evaluation_id", "job_id", "place")
+
+
 @query(f"{fx.EVALUATED_SQL} SELECT evaluation_id, score, eligibility FROM evaluations WHERE eligibility IN ('eligible', 'needs_review') AND score >= 40")
 def l2_filter_evaluations(spark, sf):
     return ranking.filter_evaluations(evaluations(spark, sf), ["eligible", "needs_review"], 40).select("evaluation_id", "score", "eligibility")

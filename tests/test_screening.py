@@ -245,3 +245,14 @@ def test_search_index_equals_contains(spark, tmp_path):
     assert got == want and len(got) > 300
     plan = search.search(index, rows, "k", "text", spark.createDataFrame([("abcd",)], "needle string"))
     assert plan.count() == 0 and search.search(index.limit(0), rows, "k", "text", spark.createDataFrame([("a",)], "needle string")).count() == 0
+
+
+def test_a_hot_job_is_ranked_by_many_tasks(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.choice([None, 1, 2, 3]), rng.randrange(5), i) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "job_id int, score int, created_at int, evaluation_id int").repartition(5)
+    got = ranking.rank_all(frame, str(tmp_path / "ranked"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, ranking.rank_evaluations(frame).select(*got.columns).collect()))
+    held = spark.read.parquet(str(tmp_path / "ranked")).filter("job_id = 1").groupBy("_range").count().collect()
+    assert len(held) > 1 and max(r["count"] for r in held) < 1500
+    assert ranking.rank_all(frame.limit(0), str(tmp_path / "none")).count() == 0
