@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, rolling
+from .common import materialize, release_memory, rolling
 
 MARKS = b".,;:!?\"'()[]"
 K1, B = 1.2, 0.75
@@ -299,6 +299,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int
     for search in _searches(benchmark, k, percent, part_percent, threshold):
 
         def query(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
+            release_memory()
             for batch in _slices(batches):
                 doc_ids = batch.column(0).to_pylist()
                 found = [(doc_ids[r[0]], *r[1:]) for r in search(batch.column(1).to_pylist())]
@@ -321,6 +322,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent
     for search in _searches(benchmark, k, percent, part_percent, threshold):
 
         def clean(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
+            release_memory()
             for batch in _slices(batches):
                 leaks = {r[0] for r in search([None if t is None else t.encode() for t in batch.column(at).to_pylist()])}
                 yield batch.filter(pa.array([i not in leaks for i in range(len(batch))], pa.bool_()))

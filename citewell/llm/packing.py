@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import materialize
+from .common import materialize, release_memory
 
 CAPACITY, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long"
@@ -116,6 +116,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        release_memory()
         encoder = _workers.setdefault(path, None) or _workers.__setitem__(path, Encoder(path)) or _workers[path]
         part, seen = TaskContext.get().partitionId(), Counter()
         end = np.array([END_ID], dtype="<u4").tobytes()

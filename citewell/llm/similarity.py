@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, mix, rolling, word_hashes
+from .common import materialize, mix, release_memory, rolling, word_hashes
 from .components import EDGE, connected_components
 
 #: Documents in a block, and shingles that make a block of one candidate set.
@@ -60,6 +60,7 @@ def sketch(docs: DataFrame, k: int, percent: int) -> DataFrame:
     cut = np.uint64(min(2**63 - 1, int(2**63 * RANKED * (1 - percent / 100))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
