@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from citewell.llm import decontam, packing, quality, similarity, toxicity
-from citewell.llm.common import materialize, table
+from citewell.llm.common import bound_batches, materialize, table
 
 ORACLE_SQL = None
 
@@ -22,6 +22,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null, empty or wordless text has no toxic word and stays. Any text is scored whole, however long. Repeated rows
     score alike and share their fate. An empty table, or one without labels of both kinds, loses no row.
     """
+    bound_batches(spark)
     return toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
@@ -31,6 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null or empty text has too few words and goes. A null source is no host and takes nobody along. Long texts are
     measured whole. Repeated rows are judged alike and count each for their host. An empty table stays empty.
     """
+    bound_batches(spark)
     return quality.drop_low_quality(docs)
 
 
@@ -42,6 +44,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stay. Of equal ids the one first in the table stays. An empty table stays empty. Rows get their numbers once and
     are written with them, so that no later scan can number them otherwise.
     """
+    bound_batches(spark)
     row, first = "_citewell_row", "_citewell_first"
     rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
     found = similarity.similarity_components(rows.select(F.col(row).alias("doc_id"), "text"), k=5, percent=80)
@@ -58,6 +61,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     A null or empty text contains nothing and stays. Long texts are searched whole. Each row is judged for itself, so
     repeated rows share their fate. An empty table or benchmark loses no row.
     """
+    bound_batches(spark)
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -67,6 +71,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null or empty text is one end token. Long texts are cut into full pieces. Repeated rows are packed each, a null
     id stays null. An empty table gives no pieces.
     """
+    bound_batches(spark)
     return packing.pack_documents(docs)
 
 
