@@ -17,7 +17,8 @@ from .vocabulary import MAX_PHRASE_TOKENS
 TRIE_PHRASES = 500_000
 #: Tokens of texts that are looked up together.
 BATCH_TOKENS = 1_000_000
-#: How an e-mail address is found.
+#: What a name looks like, and how an e-mail address is found.
+NAME = r"^[A-Za-z][A-Za-z .'-]{1,80}\z"
 EMAIL = r"(?iu)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 #: A found phrase: place and number of tokens, the phrase, its canonical name (null: an absorber).
 SPAN = "struct<p:int,n:int,span:string,canonical:string>"
@@ -162,7 +163,7 @@ def contact_name(found: Column) -> Column:
     """The first line if it has two to five words of ASCII letters and name marks, all with a capital first."""
     first = F.get(found, F.lit(0))
     parts = words(first)
-    fits = F.size(parts).between(2, 5) & first.rlike(r"^[A-Za-z][A-Za-z .'-]{1,80}\z") & F.forall(parts, lambda w: w.rlike("^[A-Z]"))
+    fits = F.size(parts).between(2, 5) & first.rlike(NAME) & F.forall(parts, lambda w: w.rlike("^[A-Z]"))
     return F.when(fits, first)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import fold, missing, strip
 
+#: Partial dates, and the codes after which a request is tried again.
 DATE = re.compile(r"[0-9]{4}(-[0-9]{2})?")
 RETRYABLE_STATUS = (408, 409, 429, 500, 502, 503, 504, 529)
 RETRYABLE_CODES = ("rate_limit_exceeded", "provider_overloaded", "provider_unavailable", "timeout")

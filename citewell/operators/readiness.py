@@ -6,7 +6,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import fold, missing, strip
 
+#: Points of a report, names that a gap lists at most, and the titles and texts of its advice.
+BASE, NAME, EMAIL, LOCATION, SKILL, MOST_SKILLS, EMPLOYED, EDUCATED, CERTIFIED, MOST = 20, 15, 15, 10, 5, 25, 5, 3, 2, 100
 MAX_LISTED_GAPS = 8
+NO_NAME = ("Add a clear name", "Start the resume with your name.")
+NO_EMAIL = ("Add contact details", "Include a professional email address.")
+NO_SKILLS = ("Make skills easier to verify", "Name the tools and technologies you used in your experience.")
+NO_EMPLOYMENT = ("Document your experience", "List each role with the employer, title, and dates so your experience can be verified.")
+NO_EDUCATION = ("Add education or certifications", "Include degrees or credentials with their issuing institutions and dates.")
+NO_GAP = ("Connect experience to the role", "Use specific outcomes to show how your documented skills apply to this role.")
+GAP = ("Review role-specific evidence", "The job description mentions ", ". Add them only when your resume already supports the claim.")
 
 
 def _any(entries: Column) -> Column:
@@ -25,16 +34,16 @@ def documented_names(skills: Column) -> Column:
 def readiness_score(contact: Column, names: Column, employment: Column, education: Column, certifications: Column) -> Column:
     points = lambda test, n: F.when(test, n).otherwise(0)
     total = (
-        F.lit(20)
-        + points(_filled(contact["name"]), 15)
-        + points(_filled(contact["email"]), 15)
-        + points(_filled(contact["location"]), 10)
-        + F.least(F.lit(25), 5 * F.size(names))
-        + points(_any(employment), 5)
-        + points(_any(education), 3)
-        + points(_any(certifications), 2)
+        F.lit(BASE)
+        + points(_filled(contact["name"]), NAME)
+        + points(_filled(contact["email"]), EMAIL)
+        + points(_filled(contact["location"]), LOCATION)
+        + F.least(F.lit(MOST_SKILLS), SKILL * F.size(names))
+        + points(_any(employment), EMPLOYED)
+        + points(_any(education), EDUCATED)
+        + points(_any(certifications), CERTIFIED)
     )
-    return F.least(F.lit(100), total).cast("int")
+    return F.least(F.lit(MOST), total).cast("int")
 
 
 def _advice(test: Column, title: str, detail) -> Column:
@@ -43,11 +52,11 @@ def _advice(test: Column, title: str, detail) -> Column:
 
 def readiness_suggestions(contact: Column, names: Column, employment: Column, education: Column, certifications: Column) -> Column:
     advice = F.array(
-        _advice(~_filled(contact["name"]), "Add a clear name", "Start the resume with your name."),
-        _advice(~_filled(contact["email"]), "Add contact details", "Include a professional email address."),
-        _advice(F.size(names) == 0, "Make skills easier to verify", "Name the tools and technologies you used in your experience."),
-        _advice(~_any(employment), "Document your experience", "List each role with the employer, title, and dates so your experience can be verified."),
-        _advice(~_any(education) & ~_any(certifications), "Add education or certifications", "Include degrees or credentials with their issuing institutions and dates."),
+        _advice(~_filled(contact["name"]), *NO_NAME),
+        _advice(~_filled(contact["email"]), *NO_EMAIL),
+        _advice(F.size(names) == 0, *NO_SKILLS),
+        _advice(~_any(employment), *NO_EMPLOYMENT),
+        _advice(~_any(education) & ~_any(certifications), *NO_EDUCATION),
     )
     return F.filter(advice, lambda a: a.isNotNull())
 
@@ -55,9 +64,9 @@ def readiness_suggestions(contact: Column, names: Column, employment: Column, ed
 def role_gap(mentioned: Column, names: Column) -> Column:
     """One suggestion: the first missing names of the role in order, or how to connect what is documented."""
     gap = F.array_sort(F.array_except(mentioned, names))
-    listed = F.concat(F.lit("The job description mentions "), F.array_join(F.slice(gap, 1, MAX_LISTED_GAPS), ", "), F.lit(". Add them only when your resume already supports the claim."))
-    none = _advice(F.lit(True), "Connect experience to the role", "Use specific outcomes to show how your documented skills apply to this role.")
-    return F.when(F.size(gap) == 0, none).otherwise(_advice(F.lit(True), "Review role-specific evidence", listed))
+    listed = F.concat(F.lit(GAP[1]), F.array_join(F.slice(gap, 1, MAX_LISTED_GAPS), ", "), F.lit(GAP[2]))
+    none = _advice(F.lit(True), *NO_GAP)
+    return F.when(F.size(gap) == 0, none).otherwise(_advice(F.lit(True), GAP[0], listed))
 
 
 def readiness_report(facts: DataFrame, mentioned: Column) -> DataFrame:
