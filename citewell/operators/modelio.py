@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
-import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import fold, missing, strip
 
 #: Partial dates, and the codes after which a request is tried again.
-DATE = re.compile(r"[0-9]{4}(-[0-9]{2})?")
+DATE = r"\A[0-9]{4}(-[0-9]{2})?\z"
 RETRYABLE_STATUS = (408, 409, 429, 500, 502, 503, 504, 529)
 RETRYABLE_CODES = ("rate_limit_exceeded", "provider_overloaded", "provider_unavailable", "timeout")
 
 
+#: What ``schema_of_variant`` calls the values of each plain kind, and the type that they are read as.
+KINDS = {"text": ("STRING", "string"), "bool": ("BOOLEAN", "boolean"), "number": ("(BIGINT|DECIMAL|DOUBLE|FLOAT)", "double")}
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def members(value: Column) -> Column:
+    """An object's fields, null for any other variant."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def entries(value: Column) -> Column:
+    """A list's items, null for any other variant."""
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
 @dataclass(frozen=True)
 class Rule:
-    """What a JSON value has to be: kind text, bool, number, object or list."""
+    """What a JSON value has to be: kind text, bool, number, object or list. Rules become expressions on variants."""
 
     kind: str
     required: bool = True
@@ -33,30 +51,62 @@ class Rule:
     fields: dict[str, Rule] = field(default_factory=dict)
     item: Rule | None = None
 
-    def clean(self, value):
-        """The value with its fields under their contract names; ValueError if it doesn't fit. Nothing is converted."""
-        if value is None and self.nullable:
-            return None
-        kinds = {"text": str, "bool": bool, "number": (int, float), "object": dict, "list": list}
-        if not isinstance(value, kinds[self.kind]) or (self.kind == "number" and isinstance(value, bool)):
-            raise ValueError(f"not a {self.kind}")
-        if self.kind in ("text", "list") and not self.shortest <= len(value) <= (self.longest if self.longest is not None else len(value)):
-            raise ValueError("length")
-        if (self.date and not DATE.fullmatch(value)) or (self.choices and value not in self.choices):
-            raise ValueError("not allowed")
-        if self.kind == "number" and not self.low <= value <= self.high:
-            raise ValueError("range")
+    def problem(self, value: Column) -> Column:
+        """What is wrong first, in the contract's order of fields; null if the variant fits. Nothing is converted."""
+        if self.kind == "object":
+            found = bound(members(value), self._of_members)
+        elif self.kind == "list":
+            found = bound(entries(value), self._of_entries)
+        else:
+            name, as_type = KINDS[self.kind]
+            found = F.when(~F.rlike(F.schema_of_variant(value), F.lit(f"\\A{name}")), f"not a {self.kind}")
+            found = self._of_plain(found, F.try_variant_get(value, "$", as_type))
+        return F.when(~F.is_variant_null(value), found) if self.nullable else found
+
+    def _of_plain(self, found: Column, x: Column) -> Column:
+        if self.kind == "text" and (self.shortest or self.longest is not None):
+            n = F.char_length(x)
+            found = found.when((n < self.shortest) | (n > self.longest if self.longest is not None else F.lit(False)), "length")
+        if self.date:
+            found = found.when(~F.rlike(x, F.lit(DATE)), "not allowed")
+        if self.choices:
+            found = found.when(~x.isin(*self.choices), "not allowed")
+        if self.kind == "number":
+            found = found.when(~x.between(self.low, self.high), "range")
+        return found
+
+    def _of_entries(self, items: Column) -> Column:
+        n = F.size(items)
+        wrong = (n < self.shortest) | (n > self.longest if self.longest is not None else F.lit(False))
+        first = F.get(F.filter(F.transform(items, self.item.problem), lambda e: e.isNotNull()), F.lit(0))
+        return F.when(items.isNull(), "not a list").when(wrong, "length").otherwise(first)
+
+    def _of_members(self, found: Column) -> Column:
+        names = F.array(*(F.lit(n) for k in self.fields for n in dict.fromkeys((k, snake(k)))))
+        steps = F.when(found.isNull(), "not a object").when(F.size(F.array_except(F.map_keys(found), names)) > 0, "unknown field")
+        for name, rule in self.fields.items():
+            if rule.required:
+                steps = steps.when(self.given(found, name).isNull(), f"missing {name}")
+        inner = [bound(self.given(found, name), _if_given(rule)) for name, rule in self.fields.items()]
+        return steps.otherwise(F.coalesce(*inner))
+
+    @staticmethod
+    def given(found: Column, name: str) -> Column:
+        """A field under its contract name, else in snake case."""
+        return F.coalesce(*(F.try_element_at(found, F.lit(n)) for n in dict.fromkeys((name, snake(name)))))
+
+    def typed(self, value: Column) -> Column:
+        """A variant that fits as a struct, array, text, boolean or double; null where it is absent or null."""
+        if self.kind == "object":
+            row = lambda m: F.when(m.isNotNull(), F.struct(*(r.typed(self.given(m, n)).alias(n) for n, r in self.fields.items())))
+            return bound(members(value), row)
         if self.kind == "list":
-            return [self.item.clean(x) for x in value]
-        if self.kind != "object":
-            return value
-        names = {n: k for k in self.fields for n in (snake(k), k)}
-        if value.keys() - names.keys():
-            raise ValueError("unknown field")
-        given = {names[k]: v for k, v in value.items()}
-        if absent := [k for k, r in self.fields.items() if r.required and k not in given]:
-            raise ValueError(f"missing {absent[0]}")
-        return {k: self.fields[k].clean(v) for k, v in given.items()}
+            return F.transform(entries(value), self.item.typed)
+        return F.try_variant_get(value, "$", KINDS[self.kind][1])
+
+
+def _if_given(rule: Rule) -> Callable[[Column], Column]:
+    return lambda value: F.when(value.isNotNull(), rule.problem(value))
 
 
 def snake(name: str) -> str:
@@ -128,56 +178,44 @@ EMPLOYMENT = "array<struct<employer:string,title:string,startDate:string,endDate
 EDUCATION = "array<struct<institution:string,degree:string,fieldOfStudy:string,graduationDate:string>>"
 CERTIFICATIONS = "array<struct<name:string,issuer:string>>"
 SUGGESTIONS = "array<struct<title:string,detail:string>>"
-FACTS_TYPE = f"struct<schemaVersion:string,contact:{CONTACT},skills:array<struct<canonicalName:string,sourceText:string,evidence:{QUOTES}>>,employment:{EMPLOYMENT},education:{EDUCATION},certifications:{CERTIFICATIONS},suggestions:{SUGGESTIONS},warnings:array<string>>"
-WARNINGS = f"array<struct<code:string,message:string,evidence:{QUOTES}>>"
-CITED_FACTS_TYPE = (
-    f"struct<schemaVersion:string,identity:struct<fullName:string,evidence:{QUOTES}>,contact:struct<email:string,phone:string,location:string,links:array<string>,evidence:{QUOTES}>,"
-    f"skills:array<struct<canonicalName:string,sourceText:string,evidence:{QUOTES}>>,employment:array<struct<employer:string,title:string,startDate:string,endDate:string,isCurrent:boolean,description:string,evidence:{QUOTES}>>,"
-    f"projects:array<struct<name:string,description:string,evidence:{QUOTES}>>,education:array<struct<institution:string,degree:string,fieldOfStudy:string,graduationDate:string,evidence:{QUOTES}>>,"
-    f"certifications:array<struct<name:string,issuer:string,issuedDate:string,expiresDate:string,evidence:{QUOTES}>>,warnings:{WARNINGS}>"
-)
-CITED_ASSESSMENTS_TYPE = f"struct<schemaVersion:string,scoringPolicyVersion:string,assessments:array<struct<requirementId:string,outcome:string,confidence:double,reasoning:string,evidence:{QUOTES},warnings:{WARNINGS}>>,scoreComponents:struct<deterministic:double,semantic:double,assessment:double>>"
-ASSESSMENTS_TYPE = f"struct<assessments:array<struct<requirementId:string,outcome:string,confidence:double,reasoning:string,evidence:{QUOTES}>>>"
 
 
 def strict(raw: Column, rule: Rule) -> Column:
-    """``ok`` (the document under its contract names, null if anything in it breaks the contract) and ``error``.
+    """``value`` (typed, under its contract names; null if anything in it breaks the contract) and ``error``.
 
-    Types are not converted, so that built-in JSON readers, which turn 42 into text, can't do this.
+    The text is parsed as a variant, which keeps each value's own type: 42 is no text. A parser that stops after the
+    first value would take ``{} x``: inside a list and inside an object, only text that is one value parses to one. Null
+    and empty texts are not JSON, nor is an object that names a field twice.
     """
 
-    @F.pandas_udf("ok string, error string")
-    def check(values: pd.Series) -> pd.DataFrame:
-        rows = []
-        for value in values:
-            try:
-                rows.append((json.dumps(rule.clean(json.loads(value)), ensure_ascii=False), None))
-            except (ValueError, TypeError) as e:
-                rows.append((None, str(e) if not isinstance(e, json.JSONDecodeError) else "not JSON"))
-        return pd.DataFrame(rows, columns=["ok", "error"])
+    def judge(value: Column) -> Column:
+        error = F.when(value.isNull(), "not JSON").otherwise(rule.problem(value))
+        return bound(error, lambda e: F.struct(F.when(e.isNull(), rule.typed(value)).alias("value"), e.alias("error")))
+
+    one = entries(F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))))
+    alone = F.try_parse_json(F.concat(F.lit('{"value":'), raw, F.lit("}"))).isNotNull()
+    return bound(bound(one, lambda x: F.when((F.size(x) == 1) & alone, F.get(x, F.lit(0)))), judge)
+
 
-    return check(raw)
+def _checked(documents: DataFrame, rule: Rule) -> DataFrame:
+    return documents.withColumn("checked", strict(F.col("raw"), rule))
 
 
 def strict_facts(documents: DataFrame) -> DataFrame:
     """``raw`` -> ``facts`` (typed, null if invalid) and ``error``."""
-    checked = documents.withColumn("checked", strict(F.col("raw"), FACTS))
-    return checked.withColumns({"facts": F.from_json("checked.ok", FACTS_TYPE), "error": F.col("checked.error")}).drop("checked")
+    return _checked(documents, FACTS).withColumns({"facts": F.col("checked.value"), "error": F.col("checked.error")}).drop("checked")
 
 
 def strict_assessments(documents: DataFrame) -> DataFrame:
-    checked = documents.withColumn("checked", strict(F.col("raw"), ASSESSMENTS))
-    return checked.withColumns({"assessments": F.from_json("checked.ok", ASSESSMENTS_TYPE)["assessments"], "error": F.col("checked.error")}).drop("checked")
+    return _checked(documents, ASSESSMENTS).withColumns({"assessments": F.col("checked.value.assessments"), "error": F.col("checked.error")}).drop("checked")
 
 
 def strict_cited(documents: DataFrame) -> DataFrame:
     """The stricter contract for single assessments: also a confirmed outcome needs evidence."""
-    checked = documents.withColumn("checked", strict(F.col("raw"), ASSESSED))
-    one = F.from_json("checked.ok", "struct<requirementId:string,outcome:string,confidence:double,reasoning:string,evidence:" + QUOTES + ">")
-    checked = checked.withColumn("one", one)
-    bare = (F.col("one.outcome") != "unknown") & (F.size(F.coalesce("one.evidence", F.array().cast(QUOTES))) == 0)
-    error = F.when(bare, "confirmed outcome without evidence").otherwise(F.col("checked.error"))
-    return checked.withColumn("error", error).withColumn("assessment", F.when(F.col("error").isNull(), F.col("one"))).drop("checked", "one")
+    checked, one = _checked(documents, ASSESSED), F.col("checked.value")
+    bare = (one["outcome"] != "unknown") & (F.size(F.coalesce(one["evidence"], F.array().cast(QUOTES))) == 0)
+    checked = checked.withColumn("error", F.when(bare, "confirmed outcome without evidence").otherwise(F.col("checked.error")))
+    return checked.withColumn("assessment", F.when(F.col("error").isNull(), one)).drop("checked")
 
 
 def strict_document(documents: DataFrame) -> DataFrame:
@@ -185,23 +223,22 @@ def strict_document(documents: DataFrame) -> DataFrame:
 
     ``facts.schemaVersion`` is 1 where it isn't given, lists that may be absent are empty.
     """
-    checked = documents.withColumn("checked", strict(F.col("raw"), CITED_FACTS))
-    facts = F.from_json("checked.ok", CITED_FACTS_TYPE)
+    checked, facts = _checked(documents, CITED_FACTS), F.col("checked.value")
     none, links = F.array().cast(QUOTES), F.array().cast("array<string>")
     whole = facts.withField("schemaVersion", F.coalesce(facts["schemaVersion"], F.lit("1")))
     whole = whole.withField("identity", F.when(facts["identity"].isNotNull(), facts["identity"].withField("evidence", F.coalesce(facts["identity"]["evidence"], none))))
     reached = facts["contact"].withField("evidence", F.coalesce(facts["contact"]["evidence"], none)).withField("links", F.coalesce(facts["contact"]["links"], links))
     whole = whole.withField("contact", F.when(facts["contact"].isNotNull(), reached))
     whole = whole.withField("warnings", F.transform(facts["warnings"], lambda w: w.withField("evidence", F.coalesce(w["evidence"], none))))
-    return checked.withColumns({"facts": F.when(F.col("checked.ok").isNotNull(), whole), "error": F.col("checked.error")}).drop("checked")
+    return checked.withColumns({"facts": F.when(facts.isNotNull(), whole), "error": F.col("checked.error")}).drop("checked")
 
 
 def strict_assessment_result(documents: DataFrame) -> DataFrame:
     """``raw`` -> ``result`` (typed, null if invalid) and ``error``: assessments of a document, confirmed ones with evidence."""
-    checked = documents.withColumn("checked", strict(F.col("raw"), CITED_ASSESSMENTS)).withColumn("found", F.from_json("checked.ok", CITED_ASSESSMENTS_TYPE))
-    bare = F.exists("found.assessments", lambda a: (a["outcome"] != "unknown") & (F.size(F.coalesce(a["evidence"], F.array().cast(QUOTES))) == 0))
-    error = F.when(bare, "confirmed outcome without evidence").otherwise(F.col("checked.error"))
-    return checked.withColumn("error", error).withColumn("result", F.when(F.col("error").isNull(), F.col("found"))).drop("checked", "found")
+    checked, found = _checked(documents, CITED_ASSESSMENTS), F.col("checked.value")
+    bare = F.exists(found["assessments"], lambda a: (a["outcome"] != "unknown") & (F.size(F.coalesce(a["evidence"], F.array().cast(QUOTES))) == 0))
+    checked = checked.withColumn("error", F.when(bare, "confirmed outcome without evidence").otherwise(F.col("checked.error")))
+    return checked.withColumn("result", F.when(F.col("error").isNull(), found)).drop("checked")
 
 
 def prune_evidence(skills: Column, block_ids: Column) -> Column:

@@ -1,6 +1,7 @@
 import io
 import json
 import random
+import re
 import zipfile
 
 from pyspark.sql import functions as F
@@ -100,16 +101,72 @@ def test_refinement_never_erases_proof(spark):
     assert found == {"a": ("partial", 1.0, "d", "p1-b1"), "b": ("met", 0.3, "m", "p2-b1"), "c": ("met", 0.4, "m", "p1-b1"), "d": ("met", 0.0, "m", "p1-b1"), "e": ("not_met", 1.0, "d", "p1-b1")}
 
 
-def test_contracts():
-    good = {"requirementId": "r", "outcome": "met", "confidence": 1, "reasoning": "x"}
-    assert modelio.ASSESSED.clean(good) == good
-    assert modelio.ASSESSED.clean({"requirement_id": "r", **{k: v for k, v in good.items() if k != "requirementId"}})["requirementId"] == "r"
-    for bad in ({**good, "confidence": "0.9"}, {**good, "confidence": True}, {**good, "x": 1}, {**good, "outcome": "maybe"}, {**good, "reasoning": ""}, {**good, "evidence": [{"blockId": "b"}]}):
-        try:
-            modelio.ASSESSED.clean(bad)
-        except ValueError:
-            continue
-        raise AssertionError(bad)
+def by_walking(value, rule):
+    """What breaks a rule first, by walking the value; None if nothing does."""
+    kinds = {"text": str, "bool": bool, "number": (int, float), "object": dict, "list": list}
+    if value is None and rule.nullable:
+        return None
+    if not isinstance(value, kinds[rule.kind]) or (rule.kind == "number" and isinstance(value, bool)):
+        return f"not a {rule.kind}"
+    if rule.kind in ("text", "list") and not rule.shortest <= len(value) <= (rule.longest if rule.longest is not None else len(value)):
+        return "length"
+    if (rule.date and not re.fullmatch("[0-9]{4}(-[0-9]{2})?", value)) or (rule.choices and value not in rule.choices):
+        return "not allowed"
+    if rule.kind == "number" and not rule.low <= value <= rule.high:
+        return "range"
+    if rule.kind == "list":
+        return next((e for e in (by_walking(x, rule.item) for x in value) if e), None)
+    if rule.kind != "object":
+        return None
+    given = lambda n: value.get(n, value.get(modelio.snake(n), ...))
+    if set(value) - {x for n in rule.fields for x in (n, modelio.snake(n))}:
+        return "unknown field"
+    if absent := [n for n, r in rule.fields.items() if r.required and given(n) is ...]:
+        return f"missing {absent[0]}"
+    return next((e for n, r in rule.fields.items() if given(n) is not ... and (e := by_walking(given(n), r))), None)
+
+
+def broken(value, rng):
+    """A copy of a JSON value with one place changed."""
+    if isinstance(value, dict) and value and rng.random() < 0.85:
+        key = rng.choice(sorted(value))
+        return {k: broken(v, rng) if k == key else v for k, v in value.items()}
+    if isinstance(value, list) and value and rng.random() < 0.85:
+        at = rng.randrange(len(value))
+        return [broken(v, rng) if i == at else v for i, v in enumerate(value)]
+    odd = [None, True, 0, 1, -0.5, 7.25, 1e300, 10**40, "", "x", "2020-05", "2020-05\n", "met", "\U0001f600" * 64, "\U0001f600" * 65, "y" * 300, [], {}, [1], ["a"] * 21, {"a": 1}]
+    if isinstance(value, dict):
+        odd += [{**value, "extra": 1}, dict(list(value.items())[1:]), {modelio.snake(k): v for k, v in value.items()}]
+    return rng.choice(odd + ([value * 12, value * 2] if isinstance(value, list) else []))
+
+
+def test_contracts_agree_with_a_walk_over_the_value(spark):
+    rng = random.Random(7)
+    quote = {"blockId": "p1-b2", "quote": "q"}
+    reached = {"name": "n", "email": None, "phone": "1", "location": "l"}
+    job = {"employer": "e", "title": None, "startDate": "2020-05", "endDate": "2021", "isCurrent": False}
+    facts = {"schemaVersion": "1", "contact": reached, "skills": [{"canonicalName": "a", "sourceText": "b", "evidence": [quote, quote]}] * 2, "employment": [job], "education": [{"degree": "d"}], "certifications": [{"name": "c"}], "suggestions": [{"title": "t", "detail": "d"}], "warnings": ["w"]}
+    one = {"requirementId": "r", "outcome": "met", "confidence": 0.5, "reasoning": "x", "evidence": [quote]}
+    whole = {"identity": {"fullName": "n"}, "contact": {"links": ["l"], "phone": None}, "skills": [{"canonicalName": "a", "sourceText": "b", "evidence": [quote]}], "employment": [{**job, "evidence": [quote]}], "projects": [{"name": "p", "evidence": [quote]}], "education": [], "certifications": [], "warnings": [{"code": "c", "message": "m", "evidence": [quote]}]}
+    result = {"assessments": [one, {**one, "outcome": "unknown"}], "scoreComponents": {"deterministic": 1, "semantic": 0.25, "assessment": 0}}
+    for rule, good in ((modelio.FACTS, facts), (modelio.ASSESSMENTS, {"assessments": [one]}), (modelio.CITED_FACTS, whole), (modelio.CITED_ASSESSMENTS, result)):
+        values = [good] + [broken(good, rng) for _ in range(250)]
+        want = [by_walking(v, rule) for v in values]
+        assert want[0] is None and len(set(want)) > 5
+        raw = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, raw string")
+        found = raw.select("i", modelio.strict(F.col("raw"), rule).alias("x")).select("i", "x.error", F.col("x.value").isNull().alias("gone")).orderBy("i").collect()
+        assert [r["error"] for r in found] == want and all(r["gone"] == (r["error"] is not None) for r in found)
+
+
+def test_strict_values(spark):
+    good = '{"requirement_id": "r", "outcome": "met", "confidence": 1, "reasoning": "x", "evidence": null}'.replace(', "evidence": null', "")
+    texts = [good, f" {good}\n", None, "", "{", f"{good} x", f"{good}, {good}", f"{good}] [", f"{good}}} {{", good[:-1] + ', "outcome": "met"}', "[]", "null", good.replace("1,", '"0.9",'), good.replace("1,", "true,")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, raw string").select("i", modelio.strict(F.col("raw"), modelio.ASSESSED).alias("x"))
+    plan = rows._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    found = [r["x"] for r in rows.orderBy("i").collect()]
+    assert [x["error"] for x in found] == [None, None] + ["not JSON"] * 8 + ["not a object"] * 2 + ["not a number"] * 2
+    assert found[0]["value"].asDict() == {"requirementId": "r", "outcome": "met", "confidence": 1.0, "reasoning": "x", "evidence": None}
 
 
 def test_readiness(spark):
