@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,27 +18,36 @@ RETRYABLE_CODES = ("rate_limit_exceeded", "provider_overloaded", "provider_unava
 
 
 #: What ``schema_of_variant`` calls the values of each plain kind, and the type that they are read as.
-KINDS = {"text": ("STRING", "string"), "bool": ("BOOLEAN", "boolean"), "number": ("(BIGINT|DECIMAL|DOUBLE|FLOAT)", "double")}
+KINDS = {"text": (("STRING",), "string"), "bool": (("BOOLEAN",), "boolean"), "number": (("BIGINT", "DOUBLE", "DECIMAL"), "double")}
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, however often it is named."""
-    return F.transform(F.array(value), use)[0]
+#: Names of lambda arguments.
+_names = count()
 
 
-def members(value: Column) -> Column:
+def bound(value: str, use: Callable[[str], str]) -> str:
+    """SQL of ``use(value)`` with the value worked out once, however often it is named."""
+    x = f"x{next(_names)}"
+    return f"transform(array({value}), {x} -> {use(x)})[0]"
+
+
+def members(value: str) -> str:
     """An object's fields, null for any other variant."""
-    return F.try_variant_get(value, "$", "map<string,variant>")
+    return f"try_variant_get({value}, '$', 'map<string,variant>')"
 
 
-def entries(value: Column) -> Column:
+def entries(value: str) -> str:
     """A list's items, null for any other variant."""
-    return F.try_variant_get(value, "$", "array<variant>")
+    return f"try_variant_get({value}, '$', 'array<variant>')"
+
+
+def case(*steps: tuple[str, str], otherwise: str = "NULL") -> str:
+    return f"CASE {' '.join(f'WHEN {test} THEN {what}' for test, what in steps)} ELSE {otherwise} END"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """What a JSON value has to be: kind text, bool, number, object or list. Rules become expressions on variants."""
+    """What a JSON value has to be: kind text, bool, number, object or list. Rules become SQL expressions on variants."""
 
     kind: str
     required: bool = True
@@ -51,62 +61,61 @@ class Rule:
     fields: dict[str, Rule] = field(default_factory=dict)
     item: Rule | None = None
 
-    def problem(self, value: Column) -> Column:
+    def problem(self, value: str) -> str:
         """What is wrong first, in the contract's order of fields; null if the variant fits. Nothing is converted."""
         if self.kind == "object":
             found = bound(members(value), self._of_members)
         elif self.kind == "list":
             found = bound(entries(value), self._of_entries)
         else:
-            name, as_type = KINDS[self.kind]
-            found = F.when(~F.rlike(F.schema_of_variant(value), F.lit(f"\\A{name}")), f"not a {self.kind}")
-            found = self._of_plain(found, F.try_variant_get(value, "$", as_type))
-        return F.when(~F.is_variant_null(value), found) if self.nullable else found
-
-    def _of_plain(self, found: Column, x: Column) -> Column:
-        if self.kind == "text" and (self.shortest or self.longest is not None):
-            n = F.char_length(x)
-            found = found.when((n < self.shortest) | (n > self.longest if self.longest is not None else F.lit(False)), "length")
+            found = self._of_plain(value)
+        return case((f"NOT is_variant_null({value})", found)) if self.nullable else found
+
+    def _of_plain(self, value: str) -> str:
+        names, as_type = KINDS[self.kind]
+        x = f"try_variant_get({value}, '$', '{as_type}')"
+        steps = [(f"substring_index(schema_of_variant({value}), '(', 1) NOT IN ({', '.join(map(repr, names))})", f"'not a {self.kind}'")]
+        if self.kind == "text":
+            steps += self._length(f"char_length({x})")
         if self.date:
-            found = found.when(~F.rlike(x, F.lit(DATE)), "not allowed")
+            steps.append((f"NOT rlike({x}, r'{DATE}')", "'not allowed'"))
         if self.choices:
-            found = found.when(~x.isin(*self.choices), "not allowed")
-        if self.kind == "number":
-            found = found.when(~x.between(self.low, self.high), "range")
-        return found
-
-    def _of_entries(self, items: Column) -> Column:
-        n = F.size(items)
-        wrong = (n < self.shortest) | (n > self.longest if self.longest is not None else F.lit(False))
-        first = F.get(F.filter(F.transform(items, self.item.problem), lambda e: e.isNotNull()), F.lit(0))
-        return F.when(items.isNull(), "not a list").when(wrong, "length").otherwise(first)
-
-    def _of_members(self, found: Column) -> Column:
-        names = F.array(*(F.lit(n) for k in self.fields for n in dict.fromkeys((k, snake(k)))))
-        steps = F.when(found.isNull(), "not a object").when(F.size(F.array_except(F.map_keys(found), names)) > 0, "unknown field")
-        for name, rule in self.fields.items():
-            if rule.required:
-                steps = steps.when(self.given(found, name).isNull(), f"missing {name}")
-        inner = [bound(self.given(found, name), _if_given(rule)) for name, rule in self.fields.items()]
-        return steps.otherwise(F.coalesce(*inner))
-
-    @staticmethod
-    def given(found: Column, name: str) -> Column:
-        """A field under its contract name, else in snake case."""
-        return F.coalesce(*(F.try_element_at(found, F.lit(n)) for n in dict.fromkeys((name, snake(name)))))
-
-    def typed(self, value: Column) -> Column:
+            steps.append((f"{x} NOT IN ({', '.join(map(repr, self.choices))})", "'not allowed'"))
+        if self.kind == "number" and self.low > float("-inf"):
+            steps.append((f"NOT ({x} BETWEEN {self.low} AND {self.high})", "'range'"))
+        return case(*steps)
+
+    def _length(self, n: str) -> list[tuple[str, str]]:
+        least = [(f"{n} < {self.shortest}", "'length'")] if self.shortest else []
+        return least + ([(f"{n} > {self.longest}", "'length'")] if self.longest is not None else [])
+
+    def _of_entries(self, items: str) -> str:
+        x = f"x{next(_names)}"
+        first = f"get(filter(transform({items}, {x} -> {self.item.problem(x)}), e -> e IS NOT NULL), 0)"
+        return case((f"{items} IS NULL", "'not a list'"), *self._length(f"size({items})"), otherwise=first)
+
+    def _of_members(self, found: str) -> str:
+        names = ", ".join(repr(n) for k in self.fields for n in dict.fromkeys((k, snake(k))))
+        steps = [(f"{found} IS NULL", "'not a object'"), (f"size(array_except(map_keys({found}), array({names}))) > 0", "'unknown field'")]
+        steps += [(f"{given(found, n)} IS NULL", f"'missing {n}'") for n, r in self.fields.items() if r.required]
+        inner = [bound(given(found, n), lambda x, r=r: case((f"{x} IS NOT NULL", r.problem(x)))) for n, r in self.fields.items()]
+        return case(*steps, otherwise=f"coalesce({', '.join(inner)})")
+
+    def typed(self, value: str) -> str:
         """A variant that fits as a struct, array, text, boolean or double; null where it is absent or null."""
         if self.kind == "object":
-            row = lambda m: F.when(m.isNotNull(), F.struct(*(r.typed(self.given(m, n)).alias(n) for n, r in self.fields.items())))
-            return bound(members(value), row)
+            row = lambda m: ", ".join(f"'{n}', {r.typed(given(m, n))}" for n, r in self.fields.items())
+            return bound(members(value), lambda m: case((f"{m} IS NOT NULL", f"named_struct({row(m)})")))
         if self.kind == "list":
-            return F.transform(entries(value), self.item.typed)
-        return F.try_variant_get(value, "$", KINDS[self.kind][1])
+            x = f"x{next(_names)}"
+            return f"transform({entries(value)}, {x} -> {self.item.typed(x)})"
+        return f"try_variant_get({value}, '$', '{KINDS[self.kind][1]}')"
 
 
-def _if_given(rule: Rule) -> Callable[[Column], Column]:
-    return lambda value: F.when(value.isNotNull(), rule.problem(value))
+def given(found: str, name: str) -> str:
+    """A field under its contract name, else in snake case."""
+    places = [f"try_element_at({found}, {n!r})" for n in dict.fromkeys((name, snake(name)))]
+    return f"coalesce({', '.join(places)})"
 
 
 def snake(name: str) -> str:
@@ -180,25 +189,27 @@ CERTIFICATIONS = "array<struct<name:string,issuer:string>>"
 SUGGESTIONS = "array<struct<title:string,detail:string>>"
 
 
-def strict(raw: Column, rule: Rule) -> Column:
-    """``value`` (typed, under its contract names; null if anything in it breaks the contract) and ``error``.
+def strict(raw: str, rule: Rule) -> Column:
+    """Of the JSON text in column ``raw``: ``value`` (typed, under its contract names; null if anything in it breaks the
+    contract) and ``error``.
 
     The text is parsed as a variant, which keeps each value's own type: 42 is no text. A parser that stops after the
     first value would take ``{} x``: inside a list and inside an object, only text that is one value parses to one. Null
     and empty texts are not JSON, nor is an object that names a field twice.
     """
 
-    def judge(value: Column) -> Column:
-        error = F.when(value.isNull(), "not JSON").otherwise(rule.problem(value))
-        return bound(error, lambda e: F.struct(F.when(e.isNull(), rule.typed(value)).alias("value"), e.alias("error")))
+    def judge(value: str) -> str:
+        error = case((f"{value} IS NULL", "'not JSON'"), otherwise=rule.problem(value))
+        return bound(error, lambda e: f"named_struct('value', {case((f'{e} IS NULL', rule.typed(value)))}, 'error', {e})")
 
-    one = entries(F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))))
-    alone = F.try_parse_json(F.concat(F.lit('{"value":'), raw, F.lit("}"))).isNotNull()
-    return bound(bound(one, lambda x: F.when((F.size(x) == 1) & alone, F.get(x, F.lit(0)))), judge)
+    one = entries(f"try_parse_json(concat('[', {raw}, ']'))")
+    alone = "try_parse_json(concat('{\"value\":', " + raw + ", '}')) IS NOT NULL"
+    return F.expr(bound(bound(one, lambda x: case((f"size({x}) = 1 AND {alone}", f"get({x}, 0)"))), judge))
 
 
 def _checked(documents: DataFrame, rule: Rule) -> DataFrame:
-    return documents.withColumn("checked", strict(F.col("raw"), rule))
+    """``checked``: as a generated column, below which no filter is pushed that would judge each document again."""
+    return documents.select("*", F.explode(F.array(strict("raw", rule))).alias("checked"))
 
 
 def strict_facts(documents: DataFrame) -> DataFrame:

@@ -154,14 +154,14 @@ def test_contracts_agree_with_a_walk_over_the_value(spark):
         want = [by_walking(v, rule) for v in values]
         assert want[0] is None and len(set(want)) > 5
         raw = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, raw string")
-        found = raw.select("i", modelio.strict(F.col("raw"), rule).alias("x")).select("i", "x.error", F.col("x.value").isNull().alias("gone")).orderBy("i").collect()
+        found = raw.select("i", modelio.strict("raw", rule).alias("x")).select("i", "x.error", F.col("x.value").isNull().alias("gone")).orderBy("i").collect()
         assert [r["error"] for r in found] == want and all(r["gone"] == (r["error"] is not None) for r in found)
 
 
 def test_strict_values(spark):
     good = '{"requirement_id": "r", "outcome": "met", "confidence": 1, "reasoning": "x", "evidence": null}'.replace(', "evidence": null', "")
     texts = [good, f" {good}\n", None, "", "{", f"{good} x", f"{good}, {good}", f"{good}] [", f"{good}}} {{", good[:-1] + ', "outcome": "met"}', "[]", "null", good.replace("1,", '"0.9",'), good.replace("1,", "true,")]
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, raw string").select("i", modelio.strict(F.col("raw"), modelio.ASSESSED).alias("x"))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, raw string").select("i", modelio.strict("raw", modelio.ASSESSED).alias("x"))
     plan = rows._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     found = [r["x"] for r in rows.orderBy("i").collect()]
