@@ -79,6 +79,12 @@ def evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return assessment.evaluate(submissions(spark, sf_dir), requirements(spark, sf_dir), required_names(spark, sf_dir), evidence)
 
 
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries and outcomes of all submissions, by bitmaps, without evidence."""
+    found = spans(spark, sf_dir).select("doc_id", "canonical")
+    return assessment.evaluate_bitmaps(submissions(spark, sf_dir), requirements(spark, sf_dir), required_names(spark, sf_dir), found)
+
+
 # DuckDB
 
 

@@ -264,6 +264,18 @@ def e2_assess_requirement(spark, sf):
     return fx.evaluated(spark, sf)[0].select("evaluation_id", "requirement_id", "outcome", "confidence", "reasoning")
 
 
+@query(f"{fx.ASSESSED_SQL} SELECT evaluation_id, requirement_id, outcome FROM assessed")
+def e2_bitmap_outcomes(spark, sf):
+    return fx.scored(spark, sf).select("evaluation_id", F.explode("outcomes").alias("o")).select("evaluation_id", "o.requirement_id", "o.outcome")
+
+
+@query(f"""{fx.ASSESSED_SQL}, need AS (SELECT requirement_id, count(*) AS n FROM required GROUP BY ALL)
+SELECT requirement_id, doc_id FROM required JOIN evidence USING (canonical) JOIN need USING (requirement_id) GROUP BY requirement_id, doc_id, n HAVING count(*) = n""")
+def e2_meeting_documents(spark, sf):
+    """Every requirement against every document, whichever job a document was sent to."""
+    return assessment.meeting_documents(fx.required_names(spark, sf), fx.spans(spark, sf).select("doc_id", "canonical"))
+
+
 @query(f"""{fx.ASSESSED_SQL}, c AS (SELECT evaluation_id, requirement_id, canonical, evidence FROM pairs JOIN required USING (requirement_id) JOIN evidence USING (doc_id, canonical)),
 x AS (SELECT evaluation_id, requirement_id, canonical, evidence, unnest(range(1, len(evidence) + 1)) AS i FROM c)
 SELECT p.evaluation_id, p.requirement_id, coalesce(list({{'blockId': evidence[i], 'quote': canonical}} ORDER BY canonical, i) FILTER (canonical IS NOT NULL), []) AS evidence FROM pairs p LEFT JOIN x USING (evaluation_id, requirement_id) GROUP BY ALL""")
@@ -273,17 +285,17 @@ def e3_assessment_evidence(spark, sf):
 
 @query(f"{fx.EVALUATED_SQL} SELECT evaluation_id, score FROM evaluations")
 def e4_weighted_score(spark, sf):
-    return fx.evaluated(spark, sf)[1].select("evaluation_id", "score")
+    return fx.scored(spark, sf).select("evaluation_id", "score")
 
 
 @query(f"{fx.EVALUATED_SQL} SELECT evaluation_id, evidence_coverage FROM evaluations")
 def e5_evidence_coverage(spark, sf):
-    return fx.evaluated(spark, sf)[1].select("evaluation_id", "evidence_coverage")
+    return fx.scored(spark, sf).select("evaluation_id", "evidence_coverage")
 
 
 @query(f"{fx.EVALUATED_SQL} SELECT evaluation_id, eligibility FROM evaluations")
 def e6_gate_eligibility(spark, sf):
-    return fx.evaluated(spark, sf)[1].select("evaluation_id", "eligibility")
+    return fx.scored(spark, sf).select("evaluation_id", "eligibility")
 
 
 MODEL_SQL = """model AS (SELECT evaluation_id, requirement_id, position, ['met', 'partial', 'not_met', 'unknown'][(evaluation_id + requirement_id + position) % 4 + 1] AS outcome, CAST((evaluation_id % 5) * 0.3 - 0.1 AS DOUBLE) AS confidence,
@@ -337,7 +349,7 @@ def e11_complete_evaluations(spark, sf):
 
 
 def evaluations(spark, sf):
-    return fx.evaluated(spark, sf)[1].join(fx.submissions(spark, sf).select("evaluation_id", "created_at"), "evaluation_id")
+    return fx.scored(spark, sf).drop("outcomes").join(fx.submissions(spark, sf).select("evaluation_id", "created_at"), "evaluation_id")
 
 
 RANKED_SQL = f"{fx.EVALUATED_SQL}, ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY job_id ORDER BY score DESC NULLS LAST, created_at DESC, evaluation_id) AS INT) AS place FROM evaluations)"

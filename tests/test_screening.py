@@ -169,6 +169,35 @@ def test_strict_values(spark):
     assert found[0]["value"].asDict() == {"requirementId": "r", "outcome": "met", "confidence": 1.0, "reasoning": "x", "evidence": None}
 
 
+def test_bitmaps_give_the_outcomes_of_pairs(spark):
+    rng = random.Random(3)
+    names = [f"n{i}" for i in range(1500)]
+    required = [(r, rng.choice(names[:40] if r % 2 else names)) for r in range(400) for _ in range(rng.randrange(4))] + [(1, None), (2, "nobody")]
+    found = [(d, rng.choice(names[:60])) for d in range(120) for _ in range(40)] + [(3, None), (4, "unasked")]
+    needs = spark.createDataFrame([(r % 50, r, rng.choice(["required", "preferred", "hard_gate", "ignored"]), rng.randrange(1, 9)) for r in range(400)], "job_id int, requirement_id int, kind string, weight int")
+    sent = spark.createDataFrame([(i, i % 130, i % 53) for i in range(600)], "evaluation_id int, doc_id int, job_id int")
+    asked = spark.createDataFrame(required, "requirement_id int, canonical string").distinct().filter("canonical IS NOT NULL")
+    known = spark.createDataFrame(found, "doc_id int, canonical string")
+    evidence = known.distinct().filter("canonical IS NOT NULL").withColumn("evidence", F.array(F.lit("p1-b1")))
+    pairs, summary = assessment.evaluate(sent, needs, asked, evidence)
+    bits = assessment.evaluate_bitmaps(sent, needs, spark.createDataFrame(required + required, "requirement_id int, canonical string"), known)
+    columns = ["evaluation_id", "doc_id", "job_id", "score", "evidence_coverage", "eligibility"]
+    assert sorted(map(repr, summary.select(columns).collect())) == sorted(map(repr, bits.select(columns).collect()))
+    rows = bits.select("evaluation_id", F.explode("outcomes").alias("o")).select("evaluation_id", "o.requirement_id", "o.outcome").collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, pairs.select("evaluation_id", "requirement_id", "outcome").collect()))
+    of = {}
+    for d, n in found:
+        of.setdefault(d, set()).add(n)
+    want = {}
+    for r, n in required:
+        want.setdefault(r, set()).add(n)
+    want = {r: n - {None} for r, n in want.items()}
+    met = assessment.meeting_documents(spark.createDataFrame(required, "requirement_id int, canonical string"), known)
+    assert sorted(map(tuple, met.collect())) == sorted((r, d) for r, n in want.items() for d in of if n and n <= of[d])
+    empty = known.filter("false")
+    assert assessment.meeting_documents(asked, empty).count() == 0 and assessment.evaluate_bitmaps(sent, needs, asked.filter("false"), empty).filter("score IS NOT NULL").count() == 0
+
+
 def test_readiness(spark):
     quotes = "array<struct<canonicalName:string>>"
     schema = f"doc_id int, contact {modelio.CONTACT}, skills {quotes}, employment {modelio.EMPLOYMENT}, education {modelio.EDUCATION}, certifications {modelio.CERTIFICATIONS}"
