@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import admission, assessment, matching, ranking, requirements
+from ..sources import bucketed
+from ..sources.documents import scratch
 from . import fixtures as fx
 from .registry import query
 
@@ -233,6 +237,25 @@ def r4_next_version(spark, sf):
     return requirements.next_version(_versions(spark, sf), none, _confirmed(spark, sf), "2024-05-01 00:00:00")[0]
 
 
+def _table(spark, rows, key):
+    """A new bucketed table with ``rows``; its name."""
+    name = f"citewell_{uuid.uuid4().hex}"
+    bucketed.create(rows, name, key, path=scratch(spark, "bucketed"))
+    return name
+
+
+@query(f"WITH {VERSIONS_SQL}, {LATEST_SQL} SELECT job_id, version, title, confirmed_at FROM versions UNION ALL SELECT job_id, version + 1, title || '!', confirmed_at FROM latest WHERE job_id % 3 = 0")
+def r4_bucketed_versions(spark, sf):
+    """Every third job gets a version after its latest one, asked for twice; the rest ask after a version that is not the latest."""
+    versions = _versions(spark, sf)
+    name = _table(spark, versions, ["job_id"])
+    seen = requirements.latest_version(versions)
+    after = seen.select("job_id", (F.col("version") - F.when(F.col("job_id") % 3 == 0, 0).otherwise(1)).alias("after"), F.concat("title", F.lit("!")).alias("title"))
+    for _ in range(2):
+        bucketed.append_versions(spark, name, after)
+    return spark.table(name)
+
+
 @query(f"""WITH {VERSIONS_SQL}, {LATEST_SQL}, {DRAFTS_SQL}, n AS (SELECT job_id, list({{'stable_id': stable_id, 'normalized_text': normalized_text, 'kind': 'required', 'weight': 2}} ORDER BY stable_id) AS requirements FROM drafts GROUP BY job_id)
 SELECT c_custkey AS job_id, c_name AS title, CASE WHEN n.job_id IS NOT NULL AND l.version IS NOT NULL THEN l.version + 1 ELSE l.version END AS version,
   CASE WHEN n.job_id IS NOT NULL AND l.version IS NOT NULL THEN TIMESTAMP '2024-05-01 00:00:00' ELSE l.confirmed_at END AS confirmed_at, CASE WHEN l.version IS NULL THEN [] ELSE coalesce(n.requirements, []) END AS requirements
@@ -342,6 +365,28 @@ def e10_insert_if_absent(spark, sf):
     return assessment.insert_if_absent(existing, new, ["evaluation_id", "requirement_id"])
 
 
+@query(f"{fx.ASSESSED_SQL} SELECT evaluation_id, requirement_id, CASE WHEN evaluation_id % 2 = 0 THEN 'kept' ELSE outcome END AS outcome FROM assessed")
+def e10_bucketed_insert(spark, sf):
+    """Outcomes into a table that holds half of the pairs already, inserted twice."""
+    new = e2_bitmap_outcomes(spark, sf)
+    pairs = assessment.eval_pairs(fx.submissions(spark, sf), fx.requirements(spark, sf))
+    name = _table(spark, pairs.filter("evaluation_id % 2 = 0").select("evaluation_id", "requirement_id", F.lit("kept").alias("outcome")), ["evaluation_id", "requirement_id"])
+    for _ in range(2):
+        bucketed.insert_absent(spark, name, new)
+    return spark.table(name)
+
+
+@query(f"{fx.EVALUATED_SQL} SELECT evaluation_id, CASE WHEN evaluation_id % 3 > 0 THEN 'completed' ELSE 'processing' END AS status, CASE WHEN evaluation_id % 3 > 0 THEN score END AS score, CASE WHEN evaluation_id % 3 > 0 THEN eligibility END AS eligibility FROM evaluations")
+def e11_bucketed_results(spark, sf):
+    """Evaluations and their results in tables of the same buckets; a result is written once and none is rewritten."""
+    sent = _table(spark, fx.submissions(spark, sf).select("evaluation_id"), ["evaluation_id"])
+    done = fx.scored(spark, sf).filter("evaluation_id % 3 > 0").select("evaluation_id", "score", "eligibility")
+    results = _table(spark, done.filter("false"), ["evaluation_id"])
+    bucketed.insert_absent(spark, results, done)
+    both = bucketed.joined(spark, sent, results)
+    return both.select("evaluation_id", F.when(F.col("eligibility").isNotNull(), "completed").otherwise("processing").alias("status"), "score", "eligibility")
+
+
 @query(f"{fx.EVALUATED_SQL} SELECT evaluation_id, CASE WHEN evaluation_id % 3 > 0 THEN 'completed' ELSE 'processing' END AS status, CASE WHEN evaluation_id % 3 > 0 THEN score END AS score, CASE WHEN evaluation_id % 3 > 0 THEN evidence_coverage END AS evidence_coverage, CASE WHEN evaluation_id % 3 > 0 THEN eligibility END AS eligibility FROM evaluations")
 def e11_complete_evaluations(spark, sf):
     rows = fx.submissions(spark, sf).selectExpr("evaluation_id", "'processing' AS status", "CAST(NULL AS INT) AS score", "CAST(NULL AS INT) AS evidence_coverage", "CAST(NULL AS STRING) AS eligibility")
