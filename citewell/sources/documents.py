@@ -31,6 +31,21 @@ def scan_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
+def store_documents(rows: DataFrame, path: str) -> None:
+    """``path, content`` -> a store of many documents a file, with the columns of scanned files; null content stays null.
+
+    A file per document costs a name, a listing entry and a read each, whatever its size: millions of small documents
+    are kept in as many files as tasks write, each under its own path as a key.
+    """
+    now = F.current_timestamp().alias("modificationTime")
+    rows.select("path", now, F.octet_length("content").cast("long").alias("length"), "content").write.parquet(path)
+
+
+def scan_store(spark: SparkSession, path: str) -> DataFrame:
+    """Stored documents as ``path, modificationTime, length, content``, like scanned files."""
+    return spark.read.schema("path string, modificationTime timestamp, length long, content binary").parquet(path)
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder of ``spark.checkpoint.dir``; a folder of this machine only where Spark runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
