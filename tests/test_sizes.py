@@ -4,6 +4,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from citewell.operators import search
 from citewell.plans import facts
 from citewell.sources import documents as source
 
@@ -20,3 +21,14 @@ def test_a_null_text_is_scanned_as_null(spark, tmp_path):
     spark.createDataFrame([(1, "a\nb"), (-2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.length, r.content_md5 is None) for r in facts.s1_scan_documents(spark, str(tmp_path)).collect()}
     assert got == {1: (4, False), -2: (None, True), 3: (1, False)}
+
+
+def test_long_needles_meet_few_rows(spark):
+    """Every needle's grams lie in few rows, however many rows share its short grams."""
+    rows = spark.range(10_000).select(F.col("id").alias("k"), F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 8, "0"), F.lit("@x")).alias("text"))
+    index = search.gram_index(rows, "k", "text")
+    needles = spark.range(0, 10_000, 7).select(F.concat(F.lpad(F.col("id").cast("string"), 8, "0"), F.lit("@")).alias("needle"))
+    plan = search.search(index, rows, "k", "text", needles)
+    assert sorted(tuple(r) for r in plan.collect()) == sorted((f"{i:08d}@", i) for i in range(0, 10_000, 7))
+    grams = needles.select("needle", F.explode(F.array(F.left("needle", F.lit(8)), F.right("needle", F.lit(8)))).alias("gram"))
+    assert 10_000 * 11 > grams.join(index, "gram").count() > 0
