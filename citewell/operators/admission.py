@@ -137,40 +137,28 @@ def admitted_submissions(submissions: DataFrame, windows: DataFrame) -> DataFram
     return submissions.join(windows, "window_id").filter(application_open(F.col("opens"), F.col("closes"), F.col("at")))
 
 
-#: Finest time bin in seconds, bins that make one of the next level, and levels: an hour up to over a hundred years.
-BIN, FAN, LEVELS = 3600, 16, 6
-
-
-def _bins(lo: Column, hi: Column) -> Column:
-    """The fewest bins of all levels that cover the hours ``lo`` up to ``hi``, each hour once."""
-
-    def level(n: int) -> Column:
-        up = lambda x, k: F.ceil(x / F.lit(FAN**k)).cast("long")
-        down = lambda x, k: F.floor(x / F.lit(FAN**k)).cast("long")
-        a, b = up(lo, n), down(hi, n)
-        inner_a, inner_b = up(lo, n + 1) * FAN, down(hi, n + 1) * FAN
-        wide = (inner_a < inner_b) if n + 1 < LEVELS else F.lit(False)
-        part = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
-        found = F.when(wide, F.concat(part(a, inner_a), part(inner_b, b))).otherwise(part(a, b))
-        return F.transform(found, lambda bin_: F.struct(F.lit(n).alias("level"), bin_.alias("bin")))
-
-    return F.concat(*(level(n) for n in range(LEVELS)))
+#: Finest time bin in seconds; a bin of the next level is four times as long (SHIFT bits of the hour's number); levels: an
+#: hour up to over four hundred years.
+BIN, SHIFT, LEVELS = 3600, 2, 12
 
 
 def interval_join(events: DataFrame, windows: DataFrame, on: str, at: str = "at", opens: str = "opens", closes: str = "closes") -> DataFrame:
     """Each pair of an event and a window of the same ``on`` with ``opens <= at < closes``, once.
 
-    Windows may overlap and be of any length. A window becomes the few bins of several levels that cover it, an event
-    the one bin of each level that holds it, and both meet by equal bins, so that a hot ``on`` with many windows makes no
-    product. Bins are a little wider than windows; the exact times are compared afterwards. A null time is never open,
-    an empty or reversed window holds nothing.
+    Windows may overlap and be of any length. A window is put on the level whose bins are as long as itself or up to four
+    times longer, so that two bins cover it at most (but above the last level); an event is put into its bin of each
+    level that any window is on, and both meet by equal bins. A hot ``on`` with many windows thus makes no product: an
+    event meets only windows that are near it for their length. The exact times are compared afterwards. A null time is
+    never open, an empty or reversed window holds nothing.
     """
     hour = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / F.lit(BIN * 1e6)
-    lo, hi = F.floor(hour(opens)).cast("long"), F.ceil(hour(closes)).cast("long")
-    cover = windows.filter(F.col(opens) < F.col(closes)).withColumn("_b", F.explode(_bins(lo, hi)))
-    cover = cover.select("*", F.col("_b.level").alias("_level"), F.col("_b.bin").alias("_bin")).drop("_b")
-    own = F.array(*(F.struct(F.lit(n).alias("level"), F.floor(F.floor(hour(at)) / F.lit(FAN**n)).cast("long").alias("bin")) for n in range(LEVELS)))
-    points = events.filter(F.col(at).isNotNull()).withColumn("_b", F.explode(own)).select("*", F.col("_b.level").alias("_level"), F.col("_b.bin").alias("_bin")).drop("_b")
+    bin_of = lambda h: F.call_function("shiftright", h, SHIFT * F.col("_level"))
+    first, last = F.floor(hour(opens)).cast("long"), F.ceil(hour(closes)).cast("long") - 1
+    level = F.aggregate(F.array(*(F.lit(n) for n in range(LEVELS - 1))), F.lit(0), lambda n, m: n + F.when(last - first + 1 > F.call_function("shiftleft", F.lit(1).cast("long"), SHIFT * m), 1).otherwise(0))
+    cover = windows.filter(F.col(opens) < F.col(closes)).withColumn("_level", level)
+    levels = cover.select("_level").distinct()
+    cover = cover.withColumn("_bin", F.explode(F.sequence(bin_of(first), bin_of(last))))
+    points = events.filter(F.col(at).isNotNull()).crossJoin(F.broadcast(levels)).withColumn("_bin", bin_of(F.floor(hour(at)).cast("long")))
     return points.join(cover, [on, "_level", "_bin"]).filter(application_open(F.col(opens), F.col(closes), F.col(at))).drop("_level", "_bin")
 
 

@@ -4,7 +4,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from citewell.operators import search
+from citewell.functions import text
+from citewell.operators import admission, integrity, ranking, search
 from citewell.plans import facts
 from citewell.sources import documents as source
 
@@ -32,3 +33,13 @@ def test_long_needles_meet_few_rows(spark):
     assert sorted(tuple(r) for r in plan.collect()) == sorted((f"{i:08d}@", i) for i in range(0, 10_000, 7))
     grams = needles.select("needle", F.explode(F.array(F.left("needle", F.lit(8)), F.right("needle", F.lit(8)))).alias("gram"))
     assert 10_000 * 11 > grams.join(index, "gram").count() > 0
+
+
+def test_a_window_lies_in_few_bins(spark):
+    events = spark.createDataFrame([(1, 7, "1993-05-01 10:30:00"), (2, 7, "1969-12-31 23:30:00"), (3, 7, None)], "e long, job_id long, t string").withColumn("at", F.to_timestamp("t"))
+    windows = spark.range(40_000).select(F.lit(7).cast("long").alias("job_id"), F.col("id").alias("w"), F.timestamp_seconds(F.lit(735_000_000) + F.col("id")).alias("opens"), F.timestamp_seconds(F.lit(735_000_000) + F.col("id") * 2001).alias("closes"))
+    joined = admission.interval_join(events, windows, "job_id")
+    want = events.crossJoin(windows.drop("job_id")).filter("opens <= at AND at < closes").select("e", "w")
+    assert sorted(map(tuple, joined.select("e", "w").collect())) == sorted(map(tuple, want.collect()))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode(sequence") == 1  # one stretch of bins a window, on one level
