@@ -48,7 +48,8 @@ def owned_report(reports: DataFrame, user_id: int) -> DataFrame:
 
 def invitation_lookup(asked: DataFrame, invitations: DataFrame) -> DataFrame:
     """``asked(ask_id, code)`` -> the invitation whose token hashes to the code's hash, else whose passcode does in upper case."""
-    by_token = invitations.select(F.col("token_hash").alias("h1"), F.col("invitation_id").alias("by_token"))
-    by_code = invitations.select(F.col("passcode_hash").alias("h2"), F.col("invitation_id").alias("by_code"))
+    # the hashes made here are far longer than Spark expects, which would send all of them to the driver for a broadcast
+    by_token = invitations.select(F.col("token_hash").alias("h1"), F.col("invitation_id").alias("by_token")).hint("merge")
+    by_code = invitations.select(F.col("passcode_hash").alias("h2"), F.col("invitation_id").alias("by_code")).hint("merge")
     rows = asked.withColumns({"h1": F.sha2("code", 256), "h2": F.sha2(F.upper("code"), 256)})
     return rows.join(by_token, "h1", "left").join(by_code, "h2", "left").select("ask_id", F.coalesce("by_token", "by_code").alias("invitation_id"))

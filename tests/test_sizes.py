@@ -43,3 +43,11 @@ def test_a_window_lies_in_few_bins(spark):
     assert sorted(map(tuple, joined.select("e", "w").collect())) == sorted(map(tuple, want.collect()))
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate explode(sequence") == 1  # one stretch of bins a window, on one level
+
+
+def test_codes_are_looked_up_without_a_broadcast(spark):
+    rows = spark.range(100).select(F.col("id").alias("ask_id"), F.concat(F.lit("c"), "id").alias("code"))
+    known = spark.range(100).select(F.col("id").alias("invitation_id"), F.sha2(F.concat(F.lit("c"), "id"), 256).alias("token_hash"), F.sha2(F.concat(F.lit("x"), "id"), 256).alias("passcode_hash")).filter("id % 2 = 0")
+    found = integrity.invitation_lookup(rows, known)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.ask_id: r.invitation_id for r in found.collect()} == {i: i if i % 2 == 0 else None for i in range(100)}
