@@ -88,9 +88,15 @@ def report_history(reports: DataFrame, user_id: int) -> DataFrame:
     return reports.filter(F.col("user_id") == user_id).select("report_id", "status", "score", "created_at").orderBy(F.desc("created_at"), "report_id")
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """``rows`` with the table's value of their key; rows without a key stay where they are, as a join would gather them all in one task."""
+    found = rows.filter(F.col(key).isNotNull()).join(table.select(key, value), key, "left")
+    return found.unionByName(rows.filter(F.col(key).isNull()).withColumn(value, F.lit(None).cast(table.schema[value].dataType)))
+
+
 def job_status(processing: DataFrame, reports: DataFrame, submissions: DataFrame) -> DataFrame:
     """Each processing record with its owner: a report's user, else its submission's organisation."""
-    out = processing.join(reports.select("report_id", "user_id"), "report_id", "left").join(submissions.select("submission_id", "org_id"), "submission_id", "left")
+    out = _looked_up(_looked_up(processing, reports, "report_id", "user_id"), submissions, "submission_id", "org_id")
     return out.withColumn("owner", F.coalesce(F.concat(F.lit("user:"), F.col("user_id").cast("string")), F.concat(F.lit("org:"), F.col("org_id").cast("string"))))
 
 

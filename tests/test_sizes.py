@@ -51,3 +51,12 @@ def test_codes_are_looked_up_without_a_broadcast(spark):
     found = integrity.invitation_lookup(rows, known)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r.ask_id: r.invitation_id for r in found.collect()} == {i: i if i % 2 == 0 else None for i in range(100)}
+
+
+def test_rows_without_a_report_are_not_gathered(spark):
+    rows = spark.range(100).select(F.col("id").alias("processing_id"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("report_id"), F.when(F.col("id") != 5, F.col("id") % 4).alias("submission_id"))
+    reports, owners = spark.range(50).select(F.col("id").alias("report_id"), (F.col("id") + 1).alias("user_id")).hint("merge"), spark.range(3).select(F.col("id").alias("submission_id"), F.col("id").alias("org_id"))
+    found = ranking.job_status(rows, reports, owners)
+    want = {i: f"user:{i + 1}" if i % 3 == 0 and i < 50 else f"org:{i % 4}" if i % 4 < 3 and i != 5 else None for i in range(100)}
+    assert {r.processing_id: r.owner for r in found.collect()} == want and found.count() == 100
+    assert found._jdf.queryExecution().analyzed().toString().count("Union") == 3  # one for each key, and those without a report in the second
