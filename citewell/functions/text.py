@@ -14,6 +14,7 @@ FOLDS = (
 )
 #: Unicode white space and line boundaries.
 BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 #: Possessive, so that long dotted tokens don't overflow the stack of Java's matcher.
 TOKEN = r"[a-z0-9]++(?:[.#/-]++[a-z0-9]++|[+#]++)*+"
@@ -30,7 +31,7 @@ def tokens(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def collapse(text: Column) -> Column:

@@ -60,3 +60,11 @@ def test_rows_without_a_report_are_not_gathered(spark):
     want = {i: f"user:{i + 1}" if i % 3 == 0 and i < 50 else f"org:{i % 4}" if i % 4 < 3 and i != 5 else None for i in range(100)}
     assert {r.processing_id: r.owner for r in found.collect()} == want and found.count() == 100
     assert found._jdf.queryExecution().analyzed().toString().count("Union") == 3  # one for each key, and those without a report in the second
+
+
+def test_blanks_are_trimmed_without_a_pattern(spark):
+    values = ["".join(map(chr, range(0x3001))) + " x", "　a b ", "\x1c\x85", "", None, " ​ "]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    assert [r[0] for r in rows.select(text.strip(F.col("v"))).collect()] == [None if v is None else v.strip() for v in values]
+    assert all(chr(c).isspace() == (chr(c) in text.BLANKS) for c in range(0x11000))
+    assert "regexp" not in rows.select(text.strip(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
