@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import BLANK
@@ -20,6 +21,8 @@ from ..operators.admission import MAX_BYTES, MAX_FILES, MAX_TOTAL, entry_reason
 MAX_PAGES = 100
 #: Bytes of a DOCX body, inflated.
 MAX_BODY = 50 * 2**20
+#: Files that a task reads at once, and bytes of entries that make a batch of its result.
+PART_FILES, PART_BYTES = 64, 4 * 2**20
 #: What reading an entry raises if it is encrypted, of an unknown method or damaged.
 DAMAGED = (RuntimeError, NotImplementedError, zlib.error, lzma.LZMAError, OSError)
 #: The namespace of a DOCX body; reasons are those of the contract.
@@ -56,6 +59,13 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: worked out once however often it is used, and of known size to Spark."""
+    path = scratch(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows to all cores where the input has splits for less than half of them; a larger input stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -95,6 +105,13 @@ def _paragraphs(content: bytes | None) -> tuple[str | None, str | None]:
     return ("\n".join(shown), None) if shown else (None, "Resume DOCX contains no extractable text")
 
 
+def few_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few files at a time, so that a task never holds the Python objects of a whole batch."""
+    for batch in batches:
+        for at in range(0, len(batch), PART_FILES):
+            yield batch.slice(at, PART_FILES)
+
+
 def docx_blocks(files: DataFrame) -> DataFrame:
     """``doc_id, content`` of DOCX files -> one block each, paragraphs joined by line feeds, or a reason.
 
@@ -102,12 +119,13 @@ def docx_blocks(files: DataFrame) -> DataFrame:
     a reason like any other; no file ends the job.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [_paragraphs(c) for c in batch["content"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "block_id": "p1-b1", "page": 1, "text": [x[0] for x in found], "reason": [x[1] for x in found]})
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in few_files(batches):
+            found = [_paragraphs(c) for c in part.column("content").to_pylist()]
+            texts, reasons = (pa.array([x[i] for x in found], pa.string()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(["p1-b1"] * len(found)), pa.array([1] * len(found), pa.int32()), texts, reasons], names=["doc_id", "block_id", "page", "text", "reason"])
 
-    return files.select("doc_id", "content").mapInPandas(read, files.select("doc_id").schema.simpleString()[7:-1] + ", block_id string, page int, text string, reason string")
+    return files.select("doc_id", "content").mapInArrow(read, files.select("doc_id").schema.simpleString()[7:-1] + ", block_id string, page int, text string, reason string")
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:

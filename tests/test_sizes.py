@@ -1,11 +1,14 @@
 """What keeps a job in proportion to its input: one test per kind of growth."""
 
+import io
+import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from citewell.functions import text
-from citewell.operators import admission, integrity, ranking, search
+from citewell.operators import admission, integrity, matching, ranking, search
 from citewell.plans import facts
 from citewell.sources import documents as source
 
@@ -68,3 +71,8 @@ def test_blanks_are_trimmed_without_a_pattern(spark):
     assert [r[0] for r in rows.select(text.strip(F.col("v"))).collect()] == [None if v is None else v.strip() for v in values]
     assert all(chr(c).isspace() == (chr(c) in text.BLANKS) for c in range(0x11000))
     assert "regexp" not in rows.select(text.strip(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_docx_files_are_read_a_few_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["doc_id"])
+    assert [len(x) for x in source.few_files([batch])] == [64] * 15 + [40]
