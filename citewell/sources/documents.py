@@ -11,7 +11,6 @@ import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -169,14 +168,23 @@ def archive_entries(archives: DataFrame) -> DataFrame:
     is larger than a document may be, comes without content.
     """
     schema = "archive_id string, entry_name string, compress_size long, file_size long, external_attr long, content binary, reason string"
+    kinds = pa.schema([(x.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in schema.split(", ")])
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for archive_id, content in zip(batch["archive_id"], batch["content"], strict=True):
-                rows = _entries(archive_id, content)
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-
-    return archives.select(F.col("archive_id").cast("string").alias("archive_id"), "content").mapInPandas(read, schema)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        whole = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+        for part in few_files(batches):
+            for archive_id, content in zip(part.column("archive_id").to_pylist(), part.column("content"), strict=True):
+                for row in _entries(archive_id, content.as_py()):
+                    rows.append(row)
+                    held += 100 + len(row[5] or b"")
+                    if held >= PART_BYTES:
+                        yield whole()
+                        rows, held = [], 0
+        if rows:
+            yield whole()
+
+    return archives.select(F.col("archive_id").cast("string").alias("archive_id"), "content").mapInArrow(read, schema)
 
 
 def scan_vocab_tech(spark: SparkSession, path: str) -> DataFrame:

@@ -73,6 +73,19 @@ def test_blanks_are_trimmed_without_a_pattern(spark):
     assert "regexp" not in rows.select(text.strip(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_archives_share_batches_and_large_ones_do_not(spark, monkeypatch):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for i in range(3):
+            z.writestr(f"{i}.txt", bytes([65 + i]) * 3_000_000)
+    rows = spark.createDataFrame([(str(i), data.getvalue() if i == 7 else b"x") for i in range(500)], "archive_id string, content binary").coalesce(1)
+    found = source.archive_entries(rows)
+    assert sorted((r.archive_id, r.n) for r in found.groupBy("archive_id").agg(F.count("*").alias("n")).collect()) == sorted((str(i), 3 if i == 7 else 1) for i in range(500))
+    assert {r.entry_name: bytes(r.content) for r in found.filter("entry_name IS NOT NULL").collect()} == {f"{i}.txt": bytes([65 + i]) * 3_000_000 for i in range(3)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan  # a batch of its own per archive took most of the time
+
+
 def test_docx_files_are_read_a_few_at_a_time():
     batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["doc_id"])
     assert [len(x) for x in source.few_files([batch])] == [64] * 15 + [40]
