@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import BLANK, fold, lines, missing, strip, tokens, words
+from ..sources.documents import settled
 from . import trie
 from .vocabulary import MAX_PHRASE_TOKENS
 
@@ -46,6 +49,31 @@ def ngrams(texts: DataFrame, keys: list[str], longest: int) -> DataFrame:
     return _each(_tokens(texts, keys), keys, spans).select(*keys, "x.p", "x.n", "x.span")
 
 
+def ngram_counts(texts: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """``keys, n, spans, distinct_spans``: how many token spans of each size a key's texts have, and how many different ones.
+
+    A key of one text is counted in its row, without a row per span. Only texts whose keys repeat (a null key is a key
+    like any other) have their spans dealt out and met, each text's different spans once.
+    """
+    again = settled(texts.groupBy(*keys).agg(F.count("*").alias("_texts")).filter("_texts > 1").select(*(F.col(k).alias(f"_{k}") for k in keys)))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    span = lambda n: F.transform(F.slice("_tokens", 1, F.col("_size") - n + 1), lambda t, i: F.concat_ws(" ", t, *(F.get("_tokens", i + j) for j in range(1, n))))
+    different = lambda n: F.array_distinct(span(n) if n > 1 else F.col("_tokens"))
+
+    def per_text(rows: DataFrame, name: str, made) -> DataFrame:
+        sizes = F.array(*(F.when(F.col("_size") >= n, F.struct(F.lit(n).alias("n"), (F.col("_size") - n + 1).cast("long").alias("spans"), made(n).alias(name))) for n in range(1, longest + 1)))
+        return _each(_tokens(rows, keys), keys, sizes).select(*keys, "x.*")
+
+    alone = per_text(texts.join(again, same, "left_anti"), "distinct_spans", lambda n: F.size(different(n)).cast("long"))
+    if again.isEmpty():
+        return alone
+    met = per_text(texts.join(again, same, "left_semi"), "found", different)
+    spans = met.groupBy(*keys, "n").agg(F.sum("spans").alias("spans"))
+    found = met.select(*keys, "n", F.explode("found").alias("span")).distinct().groupBy(*(F.col(k).alias(f"_{k}") for k in keys), F.col("n").alias("_n")).agg(F.count("*").alias("distinct_spans"))
+    both = spans.join(found, same & (F.col("n") == F.col("_n"))).select(*keys, "n", "spans", "distinct_spans")
+    return alone.unionByName(both)
+
+
 def _tries(phrases: DataFrame, trie_phrases: int) -> list:
     """Broadcast tries of about ``trie_phrases`` phrases at most, dealt by first token, so that one trie decides for a place."""
     spark = phrases.sparkSession

@@ -73,6 +73,16 @@ def test_blanks_are_trimmed_without_a_pattern(spark):
     assert "regexp" not in rows.select(text.strip(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_ngrams_are_counted_in_the_row(spark):
+    values = [(1, "a b a b c"), (2, "a"), (3, ""), (4, None), (None, "x y x"), (None, "x y z"), (7, "a b"), (7, "a b a b"), (8, "a b c a b c a b c")]
+    rows = spark.createDataFrame(values, "doc_id long, text string")
+    want = matching.ngrams(rows, ["doc_id"], 3).groupBy("doc_id", "n").agg(F.count("*").alias("spans"), F.countDistinct("span").alias("distinct_spans"))
+    order = lambda df: sorted(map(str, df.select("doc_id", "n", "spans", "distinct_spans").collect()))
+    assert order(matching.ngram_counts(rows, ["doc_id"], 3)) == order(want)
+    alone = matching.ngram_counts(rows.filter("doc_id < 5"), ["doc_id"], 3)
+    assert "Exchange hashpartitioning" not in alone._jdf.queryExecution().executedPlan().toString() and alone.count() == 4
+
+
 def test_archives_share_batches_and_large_ones_do_not(spark, monkeypatch):
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
