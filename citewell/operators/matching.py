@@ -76,7 +76,7 @@ def ngram_counts(texts: DataFrame, keys: list[str], longest: int) -> DataFrame:
 
 def _tries(phrases: DataFrame, trie_phrases: int) -> list:
     """Broadcast tries of about ``trie_phrases`` phrases at most, dealt by first token, so that one trie decides for a place."""
-    spark = phrases.sparkSession
+    spark, phrases = phrases.sparkSession, settled(phrases)
     size = phrases.agg(F.max("max_tokens").alias("longest"), F.count("*").alias("n")).first()
     if size["longest"] is None:
         return []

@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from citewell.functions import text
-from citewell.operators import admission, integrity, matching, ranking, search
-from citewell.plans import facts
+from citewell.operators import admission, integrity, matching, ranking, search, vocabulary
+from citewell.plans import QUERIES, facts
 from citewell.sources import documents as source
 
 
@@ -99,3 +99,26 @@ def test_archives_share_batches_and_large_ones_do_not(spark, monkeypatch):
 def test_docx_files_are_read_a_few_at_a_time():
     batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["doc_id"])
     assert [len(x) for x in source.few_files([batch])] == [64] * 15 + [40]
+
+
+def test_a_vocabulary_is_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    names = spark.range(30).coalesce(1).select(F.concat(F.lit("w"), "id").alias("alias")).mapInArrow(count, "alias string")
+    known = vocabulary.phrase_table(names.withColumn("canonical", F.upper("alias")), spark.createDataFrame([], "phrase string"))
+    shared = matching.settled(known)
+    once, seen.value = seen.value, 0
+    found = matching.leftmost_longest(spark.createDataFrame([(1, "w1 w29 x")], "k int, text string"), ["k"], known, trie_phrases=10)
+    assert sorted(r.canonical for r in found.collect()) == ["W1", "W29"] and shared.count() == 30
+    assert seen.value == once > 0
+
+
+def test_plain_texts_are_folded_without_a_pattern(spark):
+    values = ["ABC ß", "ABC", "ﬃx", "É", "", None]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    assert [r[0] for r in rows.select(text.fold(F.col("v"))).collect()] == ["abc ss", "abc", "ffix", "é", "", None]
