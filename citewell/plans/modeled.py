@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import matching, modelio, readiness
+from ..sources.documents import settled
 from . import fixtures as fx
 from .registry import query
 from .screening import JOB_TEXTS_SQL, _job_texts, pick
@@ -97,8 +98,13 @@ ok AS (SELECT ev.*, block_pos FROM ev JOIN blocks USING (doc_id, block_id)),
 pruned AS (SELECT doc_id, position, name, list(block_id ORDER BY e) AS block_ids FROM ok GROUP BY ALL)"""
 
 
-def _pruned(spark, sf):
-    rows = _facts(spark, sf).filter("facts IS NOT NULL").join(_ids(spark, sf), "doc_id")
+def _facts_once(spark, sf):
+    """The validated facts, written: several parts of a merge read them."""
+    return settled(_facts(spark, sf).select("doc_id", "facts"))
+
+
+def _pruned(spark, sf, facts=None):
+    rows = (_facts(spark, sf) if facts is None else facts).filter("facts IS NOT NULL").join(_ids(spark, sf), "doc_id")
     return rows.withColumn("kept", modelio.prune_evidence(F.col("facts.skills"), F.col("ids")))
 
 
@@ -126,13 +132,13 @@ def _own(spark, sf):
     return evidence.join(fx.categories(spark).select(F.col("name").alias("canonical"), "category"), "canonical", "left").select("doc_id", "canonical", "category", "evidence")
 
 
-def _extracted(spark, sf):
-    rows = _pruned(spark, sf).select("doc_id", F.posexplode("kept").alias("position", "s"))
+def _extracted(spark, sf, facts=None):
+    rows = _pruned(spark, sf, facts).select("doc_id", F.posexplode("kept").alias("position", "s"))
     return rows.select("doc_id", "position", F.col("s.canonicalName").alias("name"), F.transform("s.evidence", lambda e: e["blockId"]).alias("evidence"))
 
 
-def _merged(spark, sf):
-    return modelio.merge_skills(_own(spark, sf), _extracted(spark, sf), fx.aliases(spark), fx.categories(spark))
+def _merged(spark, sf, facts=None):
+    return modelio.merge_skills(settled(_own(spark, sf)), _extracted(spark, sf, facts), fx.aliases(spark), fx.categories(spark))
 
 
 MERGED_SQL = f"""WITH RECURSIVE {fx.VOCABULARY_SQL}, {CITED_SQL}, {fx.spans_sql('blocks', 'doc_id, block_pos, block_id', 'spans')}, {fx.EVIDENCE_SQL}, {fx.CATEGORIES_SQL},
@@ -163,8 +169,9 @@ def j8_merge_contact(spark, sf):
     return both.select("doc_id", modelio.merge_contact(F.col("contact"), F.col("facts")["contact"]).alias("c")).select("doc_id", "c.*")
 
 
-def _merged_facts(spark, sf):
-    return modelio.merge_facts(_contact(spark, sf), _facts(spark, sf), _merged(spark, sf))
+def _merged_facts(spark, sf, facts=None, merged=None):
+    facts = _facts_once(spark, sf) if facts is None else facts
+    return modelio.merge_facts(_contact(spark, sf), facts, _merged(spark, sf, facts) if merged is None else merged)
 
 
 SKILL_LIST_SQL = "skill_lists AS (SELECT doc_id, list(canonical ORDER BY lower(canonical)) AS names FROM merged GROUP BY doc_id)"
@@ -175,12 +182,11 @@ def j9_merge_facts(spark, sf):
     return _merged_facts(spark, sf).select("doc_id", "contact.name", F.transform("skills", lambda s: s["canonical"]).alias("names"), F.size("employment").alias("jobs"), "warnings")
 
 
-def _suggestions(spark, sf):
+def _suggestions(spark, sf, facts, merged_facts):
     """Deterministic ones (rank 0) and those of the model (rank 1)."""
-    facts = _merged_facts(spark, sf)
-    named = facts.withColumn("skills", F.transform("skills", lambda s: F.struct(s["canonical"].alias("canonicalName"))))
+    named = merged_facts.withColumn("skills", F.transform("skills", lambda s: F.struct(s["canonical"].alias("canonicalName"))))
     own = readiness.readiness_report(named, F.lit(None).cast("array<string>")).select("doc_id", F.lit(0).alias("rank"), F.posexplode("suggestions").alias("position", "s"))
-    model = _facts(spark, sf).filter("facts IS NOT NULL").select("doc_id", F.lit(1).alias("rank"), F.posexplode("facts.suggestions").alias("position", "s"))
+    model = facts.filter("facts IS NOT NULL").select("doc_id", F.lit(1).alias("rank"), F.posexplode("facts.suggestions").alias("position", "s"))
     return own.unionByName(model).select("doc_id", "rank", "position", "s.title", "s.detail")
 
 
@@ -198,7 +204,8 @@ placed AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY r
 
 @query(f"{ALL_ADVICE_SQL} SELECT * FROM placed WHERE place <= 10")
 def j10_merge_suggestions(spark, sf):
-    return modelio.merge_suggestions(_suggestions(spark, sf))
+    facts = _facts_once(spark, sf)
+    return modelio.merge_suggestions(_suggestions(spark, sf, facts, _merged_facts(spark, sf, facts)))
 
 
 RESPONSES = (
@@ -298,5 +305,8 @@ lines AS (SELECT doc_id, 0 AS section_no, 'Heading' AS section, coalesce(name, '
   UNION ALL SELECT doc_id, 4, 'Certifications', 'Cert' FROM rep WHERE has UNION ALL SELECT doc_id, 5, 'Improvement notes', title || ': ' || detail FROM placed WHERE place <= 10)
 SELECT doc_id, section_no, section, line FROM lines""")
 def p7_corrected_lines(spark, sf):
-    notes = modelio.merge_suggestions(_suggestions(spark, sf))
-    return readiness.corrected_lines(_merged_facts(spark, sf), readiness.skills_by_category(_merged(spark, sf)), notes).select("doc_id", "section_no", "section", "line")
+    facts = _facts_once(spark, sf)
+    merged = settled(_merged(spark, sf, facts))
+    whole = settled(_merged_facts(spark, sf, facts, merged))
+    notes = modelio.merge_suggestions(_suggestions(spark, sf, facts, whole))
+    return readiness.corrected_lines(whole, readiness.skills_by_category(merged), notes).select("doc_id", "section_no", "section", "line")

@@ -118,6 +118,14 @@ def test_a_vocabulary_is_worked_out_once(spark):
     assert seen.value == once > 0
 
 
+def test_merges_work_out_their_parts_once(spark):
+    plan = QUERIES["p7_corrected_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "parse_json" not in plan.lower()  # matching and validation are read, not repeated
+    for name in ("j7_merge_skills", "j9_merge_facts", "p1_readiness_score"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan and ("parse_json" not in plan.lower() or name == "j7_merge_skills")
+
+
 def test_plain_texts_are_folded_without_a_pattern(spark):
     values = ["ABC ß", "ABC", "ﬃx", "É", "", None]
     rows = spark.createDataFrame([(v,) for v in values], "v string")
