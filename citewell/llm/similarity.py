@@ -5,8 +5,9 @@
    the first ``n - ceil(t n) + 1`` shingles of this order (their prefix).
 2. Sets with identical prefix and size collapse into one group. Groups that share a prefix shingle form pairs, filtered
    by size and by the shingle's position; where more than LIST groups share one, they are connected through pivots.
-3. Each connected candidate set is expanded to its distinct members and cut into blocks; each pair of blocks is verified
-   by exact counts of common shingles, and only a spanning set of links leaves the task.
+3. The members of each connected candidate set are packed into blocks, a row each. Each pair of blocks that can hold
+   links is verified by exact counts of common shingles; a block goes to a fixed number of tasks at most, which read the
+   pairs one by one, and only counts and a spanning set of links leave the task.
 """
 
 from __future__ import annotations
@@ -16,16 +17,20 @@ from collections.abc import Iterator
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, mix, release_memory, rolling, word_hashes
+from .common import materialize, release_memory, rolling, word_hashes
 from .components import EDGE, connected_components
 
 #: Documents in a block, and shingles that make a block of one candidate set.
-BLOCK_DOCS, BLOCK_TOKENS = 64, 1_000_000
+BLOCK_DOCS, BLOCK_TOKENS = 512, 250_000
+#: Classes of blocks in a size band; a pair of classes is a task's share of a candidate set.
+GRID = 8
+PLACE = ["comp", "band", "h", "cuts", "above", "below"]
+#: Documents whose links a task adds up before it passes them on.
+TASK_DOCS = 200_000
 #: Groups that share a prefix shingle and meet in pairs; more are connected through pivots.
 LIST = 64
 UNRANKED = 1 << 60
@@ -145,81 +150,200 @@ def candidate_edges(found: DataFrame, percent: int) -> DataFrame:
     return expand.unionByName(pairs).unionByName(to_pivot).unionByName(across).filter("a <> b")
 
 
-def blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Deal the members of each candidate set to pairs of blocks: columns of ``members`` with ``key`` and ``side``.
+def token_sets(texts: DataFrame, k: int) -> DataFrame:
+    """Rows whose text has the set that ``n, s1, s2`` name, with ``tokens``, its sorted shingles, in place of the text."""
+    names = [*PLACE, "doc_id", "n", "s1", "copies"]
 
-    A small set is one block. A larger one is cut by size band and then by hash; only blocks of the same or of
-    neighbouring bands meet, each pair of blocks once. side: 0 both, 1 left, 2 right.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                own, keep = [], []
+                for i, (text, n, s1, s2) in enumerate(zip(*(part.column(c).to_pylist() for c in ("text", "n", "s1", "s2")), strict=True)):
+                    tokens = np.unique(shingles(text, k) >> np.uint64(1))
+                    if len(tokens) == n and signature(tokens) == (s1, s2):
+                        own.append(tokens.astype(np.int64)), keep.append(i)
+                if keep:
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate(own)))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(keep)) for c in names), lists], names=[*names, "tokens"])
+
+    return texts.select(*names, "s2", "text").mapInArrow(run, "comp long, band long, h int, cuts int, above int, below int, doc_id long, n long, s1 long, copies long, tokens array<long>")
+
+
+def placed(members: DataFrame, percent: int) -> DataFrame:
+    """Members of candidate sets with the place of their block: ``comp, band, h, cuts, above, below``.
+
+    A small set is one block. A larger one is cut by size band and then by hash into ``cuts`` blocks a band; ``above``
+    and ``below`` are the cuts of the neighbouring bands, as linked sets lie in the same or in neighbouring ones.
     """
-    sets = materialize(members.groupBy("comp").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).filter("docs > 1"))
-    small = (F.col("docs") <= BLOCK_DOCS) & (F.col("tokens") <= BLOCK_TOKENS)
+    sets = materialize(members.groupBy("comp").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).filter("docs > 1"))
+    small = (F.col("docs") <= BLOCK_DOCS) & (F.col("shingles") <= BLOCK_TOKENS)
     band = F.floor(F.log(F.col("n")) / (1.001 * math.log(100 / percent))).cast("long") if percent < 100 else F.col("n")
-    own = materialize(members.join(sets, "comp").withColumn("band", F.when(small, 0).otherwise(band)).drop("docs", "tokens"))
+    own = materialize(members.join(sets, "comp").withColumn("band", F.when(small, 0).otherwise(band)).drop("docs", "shingles"))
     cuts = own.groupBy("comp", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("cuts"))
     cuts = materialize(cuts)
     above = cuts.select("comp", (F.col("band") - 1).alias("band"), F.col("cuts").alias("above"))
     below = cuts.select("comp", (F.col("band") + 1).alias("band"), F.col("cuts").alias("below"))
-    own = own.join(cuts.join(above, ["comp", "band"], "left").join(below, ["comp", "band"], "left"), ["comp", "band"])
-    h = F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int")
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    none = F.lit(0)
-    keys = F.concat(
-        F.transform(upto(F.col("cuts")), lambda j: F.struct(none.alias("step"), F.least(F.col("h"), j).alias("i"), F.greatest(F.col("h"), j).alias("j"), F.when(F.col("h") == j, 0).when(F.col("h") < j, 1).otherwise(2).alias("side"))),
-        F.transform(upto(F.coalesce("above", none)), lambda j: F.struct(F.lit(1).alias("step"), F.col("h").alias("i"), j.alias("j"), F.lit(1).alias("side"))),
-        F.transform(upto(F.coalesce("below", none)), lambda j: F.struct(F.lit(-1).alias("step"), j.alias("i"), F.col("h").alias("j"), F.lit(2).alias("side"))),
+    cuts = materialize(cuts.join(above, ["comp", "band"], "left").join(below, ["comp", "band"], "left").na.fill(0))
+    return own.join(cuts, ["comp", "band"]).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
+
+
+def blocks(held: DataFrame) -> DataFrame:
+    """One row per block: its place, ``id`` and its members in ``block``."""
+    packed = held.groupBy(*PLACE).agg(F.collect_list(F.struct("doc_id", "s1", "copies", "tokens")).alias("block"))
+    return packed.select(*PLACE, F.xxhash64("comp", "band", "h").alias("id"), "block")
+
+
+def deal(packed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The left and right sides of all pairs of different blocks: ``key, h, id, block``; those of one ``key`` meet.
+
+    Blocks of a band fall into at most GRID classes, and pairs of classes are the keys: a block goes to at most four
+    times GRID of them, however many blocks a band has, and each pair of blocks meets under one key.
+    """
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), F.least(n, F.lit(GRID)) - 1)).otherwise(F.array().cast("array<int>"))
+    own = F.pmod(F.col("h"), F.least("cuts", F.lit(GRID)))
+    cell = lambda band, step, x, y: F.struct(F.col("comp").alias("comp"), band.alias("band"), F.lit(step).alias("step"), x.cast("int").alias("x"), y.cast("int").alias("y"))
+    classes, band = upto(F.col("cuts")), F.col("band")
+    several = F.col("cuts") > 1
+    none = F.array().cast("array<struct<comp:bigint,band:bigint,step:int,x:int,y:int>>")
+    left = F.concat(
+        F.when(several, F.transform(F.filter(classes, lambda y: y >= own), lambda y: cell(band, 0, own, y))).otherwise(none),
+        F.transform(upto(F.col("above")), lambda y: cell(band, 1, own, y)),
+    )
+    right = F.concat(
+        F.when(several, F.transform(F.filter(classes, lambda x: x <= own), lambda x: cell(band, 0, x, own))).otherwise(none),
+        F.transform(upto(F.col("below")), lambda x: cell(band - 1, 1, x, own)),
     )
-    dealt = own.withColumn("h", h).withColumn("k", F.explode(keys))
-    left_band = F.col("band") + F.when(F.col("k.step") == -1, -1).otherwise(0)
-    key = F.xxhash64("comp", left_band, F.abs("k.step"), "k.i", "k.j")
-    return dealt.select(*members.columns, key.alias("key"), F.col("k.side").alias("side"))
-
-
-def verify(pdf: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
-    """Exact links of one pair of blocks: per document its linked documents (copies counted) and a root it reaches."""
-    sets, keep, seen = [], [], set()
-    for i, (doc_id, text, n, s1, s2) in enumerate(zip(pdf.doc_id, pdf.text, pdf.n, pdf.s1, pdf.s2, strict=True)):
-        if (doc_id, s1, s2) in seen:
-            continue
-        tokens = np.unique(shingles(text, k) >> np.uint64(1))
-        if len(tokens) == n and signature(tokens) == (s1, s2):
-            sets.append(tokens)
-            keep.append(i)
-            seen.add((doc_id, s1, s2))
-    pdf = pdf.iloc[keep].reset_index(drop=True)
-    out = pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64")})
-    if len(pdf) < 2:
-        return out
-    sizes = np.array([len(s) for s in sets])
-    side = pdf.side.to_numpy()
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    common = times[column] > 1
-    row, column = row[common], column[common]
-    names, column = np.unique(column, return_inverse=True)
-    shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for start in range(0, len(names), 8192):
-        a, b = np.searchsorted(column, (start, start + 8192))
-        hit = np.zeros((len(sets), min(8192, len(names) - start)), dtype=np.float32)
-        hit[row[a:b], column[a:b] - start] = 1
-        shared += hit @ hit.T
-    shared = np.rint(shared).astype(np.int64)
-    linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
-    linked &= (side[:, None] + side[None, :] == 3) | ((side[:, None] == 0) & (side[None, :] == 0))
-    np.fill_diagonal(linked, False)
+    met = packed.filter("cuts > 1 OR above > 0 OR below > 0")
+    return tuple(met.select(F.explode(side).alias("key"), "h", "id", "block") for side in (left, right))
+
+
+class Block:
+    """The sets of a block: ids, copies, sizes, and its distinct shingles with the rows that have them."""
+
+    def __init__(self, rows: pa.StructArray) -> None:
+        ids, s1 = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "s1"))
+        lists = rows.field("tokens")
+        sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+        keep = np.zeros(len(ids), bool)
+        keep[np.unique(np.stack([ids, s1]), axis=1, return_index=True)[1]] = True  # a repeated row is one of the copies
+        row = np.repeat(np.arange(len(ids)), sizes)
+        flat, row = flat[keep[row]], (np.cumsum(keep) - 1)[row[keep[row]]]
+        self.ids, self.copies, self.sizes = ids[keep], rows.field("copies").to_numpy(zero_copy_only=False)[keep], sizes[keep].astype(np.int64)
+        order = np.argsort(flat, kind="stable")
+        self.row = row[order]
+        self.names, self.start, self.times = np.unique(flat[order], return_index=True, return_counts=True)
+
+
+def _entries(block: Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that have the shingles ``at``, and which of them."""
+    times = block.times[at]
+    which = np.repeat(np.arange(len(at)), times)
+    return block.row[np.repeat(block.start[at] - np.cumsum(times) + times, times) + np.arange(len(which))], which
+
+
+def common_shingles(left: Block, right: Block) -> np.ndarray:
+    """How many shingles each set of ``left`` shares with each of ``right``: few pairs are counted, many multiplied."""
+    shape = (len(left.ids), len(right.ids))
+    shared = np.zeros(shape, np.int64)
+    _, a, b = np.intersect1d(left.names, right.names, assume_unique=True, return_indices=True)
+    pairs = left.times[a] * right.times[b]
+    rare = 100 * pairs < shape[0] * shape[1]
+    la, lb, upto = a[rare], b[rare], np.cumsum(pairs[rare])
+    at = 0
+    while at < len(la):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 1_000_000, "right")))
+        x, y = la[at:end], lb[at:end]
+        row, which = _entries(left, x)
+        many = right.times[y][which]
+        place = np.repeat(right.start[y][which] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        shared += np.bincount(np.repeat(row, many) * shape[1] + right.row[place], minlength=shape[0] * shape[1]).reshape(shape)
+        at = end
+    la, lb = a[~rare], b[~rare]
+    for at in range(0, len(la), 4096):
+        sides = []
+        for block, some in ((left, la[at : at + 4096]), (right, lb[at : at + 4096])):
+            hit = np.zeros((len(block.ids), len(some)), np.float32)
+            hit[_entries(block, some)] = 1
+            sides.append(hit)
+        shared += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    return shared
+
+
+def linked_pairs(left: Block, right: Block | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Exact links of two blocks, or inside one: ids with links, a root that each reaches by them, and linked copies."""
+    other = left if right is None else right
+    shared = common_shingles(left, other)
+    linked = 100 * shared >= percent * (left.sizes[:, None] + other.sizes[None, :] - shared)
+    if right is None:
+        np.fill_diagonal(linked, False)
     if not linked.any():
-        return out
-    ids, copies = pdf.doc_id.to_numpy(), pdf.copies.to_numpy()
-    links = linked.astype(np.int64) @ copies
-    root = ids.copy()
+        return
+    above, a, b = np.iinfo(np.int64).max, left.ids.copy(), other.ids.copy()
     while True:  # smallest id among the neighbours until nothing changes
-        low = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1))
-        if (low == root).all():
+        low = np.minimum(a, np.where(linked, b[None, :], above).min(axis=1))
+        back = np.minimum(b, np.where(linked, low[:, None], above).min(axis=0))
+        if right is None:
+            low = back = np.minimum(low, back)
+        if (low == a).all() and (back == b).all():
             break
-        root = low
-    at = np.flatnonzero(links)
-    return pd.DataFrame({"doc_id": ids[at], "root": root[at], "links": links[at]})
+        a, b = low, back
+    for block, root, links in ((left, a, linked @ other.copies), (other, b, linked.T @ left.copies))[: 1 if right is None else 2]:
+        at = np.flatnonzero(links)
+        yield block.ids[at], root[at], links[at]
+
+
+def verify(pairs: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, root, links`` of ``pairs(left_id, left, right)`` of blocks, added up in each task; a null ``right``: inside ``left``.
+
+    ``links`` are linked documents, copies counted; ``root`` is a document reached by links, so that all of them span
+    the components.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
+        up: dict[int, int] = {}
+        count: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        def flush() -> pa.RecordBatch:
+            out = [pa.array(x, pa.int64()) for x in (list(count), [root(x) for x in count], list(count.values()))]
+            up.clear(), count.clear()
+            return pa.RecordBatch.from_arrays(out, names=["doc_id", "root", "links"])
+
+        last, left = None, None
+        for batch in batches:
+            for at, block in enumerate(batch.column("left_id").to_pylist()):
+                if left is None or block != last:
+                    last, left = block, Block(batch.column("left")[at].values)
+                right = batch.column("right")[at]
+                for ids, roots, links in linked_pairs(left, Block(right.values) if right.is_valid else None, percent):
+                    for x, y, n in zip(ids.tolist(), roots.tolist(), links.tolist(), strict=True):
+                        count[x] = count.get(x, 0) + n
+                        x, y = root(x), root(y)
+                        up[max(x, y)] = min(x, y)
+                if len(count) > TASK_DOCS:
+                    yield flush()
+        yield flush()
+
+    return pairs.select("left_id", "left", "right").mapInArrow(run, "doc_id long, root long, links long")
+
+
+def links_of(packed: DataFrame, percent: int) -> DataFrame:
+    """Exact links inside the blocks of ``packed`` and between them."""
+    left, right = deal(packed)
+    left = left.select("key", F.col("h").alias("left_h"), F.col("id").alias("left_id"), F.col("block").alias("left"))
+    right = right.select("key", "h", F.col("block").alias("right"))
+    once = (F.col("key.x") < F.col("key.y")) | (F.col("key.step") == 1) | (F.col("left_h") < F.col("h"))
+    across = left.hint("merge").join(right, "key").filter(once).select("left_id", "left", "right")
+    inside = packed.select(F.col("id").alias("left_id"), F.col("block").alias("left"), F.lit(None).cast(packed.schema["block"].dataType).alias("right"))
+    return verify(inside, percent).unionByName(verify(across, percent))
 
 
 def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -239,11 +363,10 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     found = materialize(prefixes(own, percent))
     comps = materialize(connected_components(candidate_edges(found, percent)))
     members = sets.join(comps.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("component").alias("comp"), "n", "s1", "s2", "doc_id", "copies")
-    dealt = materialize(blocks(materialize(members), percent))
-    wanted = materialize(dealt.select("doc_id").distinct())
+    place = materialize(placed(materialize(members), percent))
+    wanted = materialize(place.select("doc_id").distinct())
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
-    checked = dealt.join(texts, "doc_id").groupBy("key").applyInPandas(lambda pdf: verify(pdf, k, percent), "doc_id long, root long, links long")
-    checked = materialize(checked)
+    checked = materialize(links_of(materialize(blocks(token_sets(place.join(texts, "doc_id"), k))), percent))
     final = connected_components(checked.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     links = checked.groupBy("doc_id").agg(F.sum("links").alias("links"))
     linked = materialize(links.join(final.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "component", "links"))

@@ -108,6 +108,21 @@ def test_similarity_equals_brute_force(spark, k, percent, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in found} == brute_links(shingle_sets(rows, k), percent)
 
 
+def test_a_candidate_set_is_dealt_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_DOCS", 4)
+    sent = {}
+    for m in (400, 1600):
+        members = spark.range(m).selectExpr("0L AS comp", "id % 2 + 100 AS n", "id AS s1", "id AS s2", "id AS doc_id", "1L AS copies")
+        packed = common.materialize(similarity.blocks(similarity.placed(members, 90).withColumn("tokens", F.array(F.col("doc_id")))))
+        left, right = similarity.deal(packed)
+        sent[m] = sum(x.agg(F.sum(F.size("block"))).first()[0] for x in (left, right))
+        met = left.alias("a").join(right.alias("b"), "key").filter("key.x < key.y OR key.step = 1 OR a.h < b.h").select("a.id", "b.id")
+        met = [frozenset(r) for r in met.collect()]
+        n = packed.count()
+        assert len(met) == len(set(met)) == n * (n - 1) // 2  # each pair of blocks once
+    assert sent[1600] <= 4 * sent[400] <= 4 * 4 * similarity.GRID * 400
+
+
 def test_similarity_defines_odd_rows(spark, odd, none):
     found = [tuple(r) for r in similarity.similarity_components(odd).collect()]
     assert sorted(x for x in found if x[0] == 4) == [(4, 1, 4, 1)] * 2  # repeated rows: copies of one node
