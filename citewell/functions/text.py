@@ -31,6 +31,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0))
 
 
+def first_two_tokens(text: Column) -> Column:
+    """The first two tokens, or none if there are fewer; the rest of the text isn't cut up."""
+    return F.regexp_extract_all(F.regexp_extract(fold(text), rf"^[^a-z0-9]*+{TOKEN}[^a-z0-9]*+{TOKEN}", 0), F.lit(TOKEN), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 

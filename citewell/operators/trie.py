@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -52,21 +53,22 @@ class Trie:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
-def build(rows: list[tuple[str, str | None]], longest: int) -> Trie:
-    """The trie of ``(phrase, canonical)``, tokens parted by single spaces; phrases of more than ``longest`` tokens are left out."""
-    split = [(p.split(" "), p, c) for p, c in rows]
-    split = [x for x in split if len(x[0]) <= longest]
-    tokens = sorted({t for words, _, _ in split for t in words})
-    number = {t: i for i, t in enumerate(tokens)}
-    width = max(1, len(tokens))
-    sizes = np.array([len(words) for words, _, _ in split], np.int64)
-    parent = np.zeros(len(split), np.int64)
+def build(phrases: pa.Array, canonical: pa.Array, longest: int) -> Trie:
+    """The trie of phrases, tokens parted by single spaces; those of more than ``longest`` tokens are left out."""
+    lists = pc.split_pattern(phrases, " ")
+    short = pc.less_equal(lists.value_lengths(), longest)
+    phrases, canonical, lists = (x.filter(short) for x in (phrases, canonical, lists))
+    coded = lists.flatten().dictionary_encode()
+    number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    width = max(1, len(coded.dictionary))
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    parent = np.zeros(len(sizes), np.int64)
     edges, ends = [], [np.full(1, -1, np.int64)]
     total = 0
     for n in range(int(sizes.max(initial=0))):
         alive = np.flatnonzero(sizes > n)
-        own = np.fromiter((number[split[i][0][n]] for i in alive), np.int64, len(alive))
-        level, place = np.unique(parent[alive] * width + own, return_inverse=True)
+        level, place = np.unique(parent[alive] * width + number[starts[alive] + n], return_inverse=True)
         end = np.full(len(level), -1, np.int64)
         last = sizes[alive] == n + 1
         end[place[last]] = alive[last]
@@ -74,7 +76,62 @@ def build(rows: list[tuple[str, str | None]], longest: int) -> Trie:
         edges.append(level), ends.append(end)
         total += len(level)
     flat = np.concatenate(edges) if edges else np.zeros(0, np.int64)
-    return Trie(pa.array(tokens, pa.string()), flat, np.concatenate(ends), pa.array([p for _, p, _ in split], pa.string()), pa.array([c for _, _, c in split], pa.string()), longest)
+    return Trie(coded.dictionary, flat, np.concatenate(ends), phrases, canonical, longest)
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes that are the same in every process."""
+    return np.fromiter((int.from_bytes(blake2b(w, digest_size=8).digest()) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+
+
+def _append(h: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """What stands for spans that are one token longer."""
+    return h * np.uint64(0x9E3779B97F4A7C15) + token
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def phrase_hashes(phrases: pa.Array, longest: int) -> np.ndarray:
+    """A hash of each phrase; of more than ``longest`` tokens only the first count."""
+    lists = pc.split_pattern(phrases, " ")
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    token = _hashes(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+    starts, h = np.cumsum(sizes) - sizes, np.zeros(len(sizes), np.uint64)
+    for n in range(longest):
+        alive = np.flatnonzero(sizes > n)
+        h[alive] = _append(h[alive], token[starts[alive] + n])
+    return _mix(h)
+
+
+def hash_places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each hash in a map of 2^``bits`` bits, at most 2^32."""
+    return h >> np.uint64(64 - bits), h & np.uint64((1 << bits) - 1)
+
+
+def _is_set(filled: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (filled[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def hashes_in_map(tokens: pa.Array, left: np.ndarray, longest: int, filled: np.ndarray, bits: int) -> np.ndarray:
+    """The hashes of all spans of ``longest`` tokens at most that a map holds; ``left`` as for ``matches``."""
+    coded = tokens.dictionary_encode()
+    token = _hashes(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+    at, h = np.arange(len(token)), np.zeros(len(token), np.uint64)
+    found = []
+    for n in range(1, longest + 1):
+        inside = left[at] >= n
+        at, h = at[inside], h[inside]
+        h = _append(h, token[at + n - 1])
+        whole = _mix(h)
+        one, two = hash_places(whole, bits)
+        hit = np.flatnonzero(_is_set(filled, one))
+        found.append(whole[hit[_is_set(filled, two[hit])]])
+    return np.concatenate(found)
 
 
 def first_to_last(at: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -1,6 +1,7 @@
 """What keeps a job in proportion to its input: one test per kind of growth."""
 
 import io
+import random
 import zipfile
 from pathlib import Path
 
@@ -130,3 +131,41 @@ def test_plain_texts_are_folded_without_a_pattern(spark):
     values = ["ABC ß", "ABC", "ﬃx", "É", "", None]
     rows = spark.createDataFrame([(v,) for v in values], "v string")
     assert [r[0] for r in rows.select(text.fold(F.col("v"))).collect()] == ["abc ss", "abc", "ffix", "é", "", None]
+
+
+def _vocabulary(spark, n, longest=6):
+    """``n`` phrases of up to ``longest`` of eight tokens; every third one is an absorber."""
+    rng = random.Random(n)
+    names = {" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, longest))) for _ in range(n)}
+    rows = [(p, None if i % 3 == 0 else p.upper(), longest) for i, p in enumerate(sorted(names))]
+    return spark.createDataFrame(rows, "phrase string, canonical string, max_tokens int")
+
+
+def test_what_a_large_vocabulary_moves_does_not_grow_with_its_tries(spark):
+    texts = spark.createDataFrame([(1, "a b c"), (2, "d e f g h")], "k int, text string")
+    plans = [matching.leftmost_longest(texts, ["k"], _vocabulary(spark, n), trie_phrases=4)._jdf.queryExecution().executedPlan().toString() for n in (12, 60)]
+    assert plans[0].count("Exchange ") == plans[1].count("Exchange ") and plans[0].count("MapInArrow") == plans[1].count("MapInArrow")
+    assert not any("RoundRobinPartitioning" in p for p in plans)  # each trie had all tokens dealt anew
+    assert all("Bucketed: true" in p for p in plans)  # texts are read where they were written
+
+
+def test_parts_of_texts_find_what_one_trie_finds(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(rng.choice([None, 1, 2]), i % 7, " ".join(rng.choice("abcdefghxyz") for _ in range(rng.randint(0, 60)))) for i in range(120)]
+    texts = spark.createDataFrame([*rows, (3, None, None), (None, None, "A b--c.D")], "k int, j int, text string").repartition(3)
+    known = _vocabulary(spark, 300)
+    for job in (matching.leftmost_longest, matching.dictionary_candidates):
+        one = sorted(map(repr, job(texts, ["k", "j"], known).collect()))
+        # a map with room or a full one; hashes that many phrases share; parts that end by tokens or by what they ask for
+        for map_bits, hash_bits, tokens, asked, packed in ((27, 40, 10**6, 10**6, 10**6), (6, 4, 50, 10**6, 7), (12, 40, 10**6, 3, 1)):
+            for name, value in (("MAP_BITS", map_bits), ("HASH_BITS", hash_bits), ("PART_TOKENS", tokens), ("PART_PHRASES", asked), ("PACKED", packed), ("BATCH_TOKENS", 40)):
+                monkeypatch.setattr(matching, name, value)
+            found = job(texts, ["k", "j"], known, trie_phrases=10)
+            assert found.columns == ["k", "j", "p", "n", "span", "canonical"] and sorted(map(repr, found.collect())) == one
+    assert len(one) > 1000
+
+
+def test_first_two_tokens_are_those_of_all(spark):
+    values = ["c++x y", "--A.b/c  d#", "one", "", None, "a#-b", "ﬁx\n\nSTRASSE ß", "a..b c", "1 2 3", "é a é b"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select(text.first_two_tokens(F.col("v")), F.slice(text.tokens(F.col("v")), 1, 2))
+    assert [r[0] for r in rows.collect()] == [r[1] if r[1] is None or len(r[1]) == 2 else [] for r in rows.collect()]
